@@ -63,7 +63,7 @@ def source_targets(sizes: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5
     )
 
 
-def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, block: int = 16, shard_words: int = 4_000_000, seed: int = 20) -> DataFrame:
+def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, block: int = 16, shard_words: int = 250_000, seed: int = 20) -> DataFrame:
     """Per row of docs (doc_id, source, text): doc_id, source, size, source_size, target, taken.
 
     size: words of the whole text, null or empty 0. taken: words that the mix takes of the document, repeats
