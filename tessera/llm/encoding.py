@@ -9,13 +9,14 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 
 _WORKERS: dict[tuple[str, int], "Encoder"] = {}
 
 
-def encoder(path: str, memo_entries: int = 700_000) -> "Encoder":
+def encoder(path: str, memo_entries: int = 2_000_000) -> "Encoder":
     """This process's encoder of the tokenizer file at path."""
     key = (path, memo_entries)
     if key not in _WORKERS:
@@ -72,7 +73,8 @@ class Encoder:
         elif plain and steps == ["Split", "ByteLevel"] and norm == ["NFC", "Replace", "Lowercase"] and pre["pretokenizers"][0]["invert"] and not pre["pretokenizers"][1]["add_prefix_space"]:
             self.kind = "dropped"
             self.pretoken = regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"]).findall
-        self.bytes = byte_alphabet()
+        self.model = self.tokenizer.model
+        self.bytes = dict(enumerate(byte_alphabet()))
         self.words = _Memo(self._word if self.kind == "dropped" else self._piece, memo_entries)
         self.separators = re.compile(r"[\x1c-\x1f]").search  # white space to str.split alone
         self.odd = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]\Z|\x01").search
@@ -81,10 +83,11 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _model(self, pretoken: str) -> bytes:
-        alphabet = self.bytes
-        return np.array([t.id for t in self.tokenizer.model.tokenize("".join([alphabet[b] for b in pretoken.encode()]))], "<u4").tobytes()
+        return array("I", [t.id for t in self.model.tokenize(pretoken.encode().decode("latin-1").translate(self.bytes))]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
+        if piece.isalpha() or piece[1:].isalpha() and piece[0] == " ":
+            return self._model(piece)
         if any(s in piece for s in self.specials):
             return self._whole(piece)
         parts = self.pretoken(piece)
@@ -97,6 +100,8 @@ class Encoder:
         low = word.lower()
         if low != word:
             return self.words[low]
+        if low.isalpha():
+            return self._model(low)
         parts = self.pretoken(low)
         return self._model(low) if parts == [low] else b"".join([self.words[p] if len(p) < len(low) else self._model(p) for p in parts])
 
