@@ -48,10 +48,14 @@ def schema_of(key: str, kinds: dict[str, str]) -> str:
     return f"{key} int, " + ", ".join(f"{k} binary" for k in kinds)
 
 
-def post(docs: DataFrame, n: int, kinds: dict[str, str], hash_name: str, postings: Callable[[np.ndarray, np.ndarray, np.ndarray], Iterator[Columns]], most: int = 1_500_000) -> DataFrame:
-    """(bucket, packed columns): what postings(bytes, offsets, doc_ids) yields for the texts, dealt by column hash_name."""
+def post(docs: DataFrame, n: int, kinds: dict[str, str], hash_name: str, postings: Callable, most: int = 1_500_000, per_task: Callable | None = None) -> DataFrame:
+    """(bucket, packed columns): what postings(bytes, offsets, doc_ids) yields for the texts, dealt by column hash_name.
+
+    With per_task, postings is what makes that function from a per_task() of each task's own.
+    """
 
     def work(batches):
+        each = postings(per_task()) if per_task else postings
         held: list[Columns] = []
         size = 0
 
@@ -62,7 +66,7 @@ def post(docs: DataFrame, n: int, kinds: dict[str, str], hash_name: str, posting
         for b in batches:
             for part in slices(b):
                 data, offsets = text_bytes(part.column(1))
-                for columns in postings(data, offsets, part.column(0).to_numpy(zero_copy_only=False)):
+                for columns in each(data, offsets, part.column(0).to_numpy(zero_copy_only=False)):
                     held.append(columns)
                     size += len(columns[hash_name])
                     if size >= most:
