@@ -13,13 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import cell, cell_of, text_bytes
+from tessera.llm.shared import cell, cell_of, mix64, text_bytes
 
 Columns = dict[str, np.ndarray]
 
 
 def bucket_of(hashed: np.ndarray, n: int) -> np.ndarray:
-    return ((hashed >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
+    """Scrambled first: anchors are the lowest of many hashes, and not spread evenly as they are."""
+    return ((mix64(hashed) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
 
 
 def dealt(columns: Columns, to: np.ndarray, key: str, kinds: dict[str, str]) -> pa.RecordBatch:
