@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import jaccard, mixing, packing, permutation, repeats, token_files, topk, toxicity
+from tessera.llm import chunking, jaccard, mixing, packing, permutation, repeats, token_files, topk, toxicity, unigram
 
 
 def tokenizer(name: str) -> str:
@@ -28,16 +28,27 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
 
 
-def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+def _digest(kept: DataFrame) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return kept.select("doc_id", (F.octet_length("kept") + removed).cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(repeats.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+def op6_content_defined_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(chunking.remove_chunks(table(spark, sf_dir, "documents")))
+
+
 def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 100 == 0)
 
