@@ -3,25 +3,70 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import packing
+from tessera.llm import jaccard, mixing, packing, repeats, toxicity
 from tessera.llm.queries import tokenizer
 from tessera.llm.shared import keep
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity operator doesn't reject. Rows without doc_id stay: nothing is decided of them."""
+    judged = toxicity.score_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rejected = judged.where("predicted = 1").select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, similarity 0.8): the one with the smallest doc_id."""
+    groups = jaccard.similar_groups(docs, width=5, num=4, den=5)
+    dropped = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def trim(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 50 bytes or more that a document with a smaller doc_id holds.
+
+    A character cut by a passage's edge goes with it; documents of which no word is left go.
+    """
+    kept = repeats.remove_repeats(docs.where("doc_id IS NOT NULL").select("doc_id", "text")).where(F.size("spans") > 0)
+    cut = kept.groupBy("doc_id").agg(F.make_valid_utf8(F.min("kept").cast("string")).alias("cut_text"))
+    out = docs.join(cut, "doc_id", "left")
+    text = F.when(F.col("cut_text").isNull(), F.col("text")).otherwise(F.replace(F.col("cut_text"), F.lit("�"), F.lit("")))
+    out = out.withColumn("text", text).withColumn("n_chars", F.when(F.col("cut_text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return out.where(F.col("cut_text").isNull() | (F.trim("text") != "")).select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document with the words that the mix takes of it: whole copies and a cut one, joined; none, and it goes."""
+    taken = mixing.mix(docs).select("doc_id", "size", "taken").where("taken > 0")
+    taken = taken.groupBy("doc_id").agg(F.max("size").alias("size"), F.max("taken").alias("taken"))
+    out = docs.join(taken, "doc_id")
+    copies, rest = F.expr("CAST(taken div size AS INT)"), F.expr("taken % size")
+    words = F.expr(r"slice(filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> ''), 1, CAST(taken % size AS INT))")
+    text = F.concat_ws("\n", F.array_repeat("text", copies), F.when(rest > 0, F.array_join(words, " ")))
+    out = out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return out.unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents into sequences of at most 2048 tokens; rows are pieces."""
     return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"))
 
 
-STAGES = [("packing", pack)]
+STAGES = [("toxicity", clean), ("n-gram Jaccard join", distinct), ("suffix-array dedup", trim), ("mixing sources to target weights", mix), ("packing", pack)]
 
 #: Tokenizers, models and seeded hashes aren't expressible in SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents, each stage's rows written and read again as the next one's input."""
+    """Applies STAGES to documents, each stage's rows written and read again as the next one's input.
+
+    Rows that share a doc_id stay or go together; rows with a null doc_id pass unchanged until they are packed.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir))
