@@ -49,7 +49,7 @@ def schema_of(key: str, kinds: dict[str, str]) -> str:
     return f"{key} int, " + ", ".join(f"{k} binary" for k in kinds)
 
 
-def post(docs: DataFrame, n: int, kinds: dict[str, str], hash_name: str, postings: Callable, most: int = 1_500_000, per_task: Callable | None = None) -> DataFrame:
+def post(docs: DataFrame, n: int, kinds: dict[str, str], hash_name: str, postings: Callable, most: int = 800_000, per_task: Callable | None = None) -> DataFrame:
     """(bucket, packed columns): what postings(bytes, offsets, doc_ids) yields for the texts, dealt by column hash_name.
 
     With per_task, postings is what makes that function from a per_task() of each task's own.
@@ -80,7 +80,7 @@ def post(docs: DataFrame, n: int, kinds: dict[str, str], hash_name: str, posting
     return slim.mapInArrow(work, schema_of("bucket", kinds))
 
 
-def slices(batch: pa.RecordBatch, bytes_each: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, bytes_each: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about bytes_each of text each; one long text is a run of its own."""
     if batch.nbytes <= bytes_each:
         yield batch

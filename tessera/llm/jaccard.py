@@ -4,12 +4,15 @@ Sets are put into bands of sizes within the similarity of each other; a pair tha
 or in two that follow, so each set is signed for its own band and the next. In a band whose largest size is r, similar
 sets differ in at most k shingles, k known from r. The shingle domain is partitioned into n > k parts by hash; similar
 sets agree on all but k of the parts, so of the subsets of n - k parts that can be enumerated at least one is common.
-With subsets of one part each, ordered by how much they hold, the k + 1 fullest of each set must share one with the
-other's: n - k parts agree, and only n - k - 1 of them can be left out. Parts that say little are thus never posted.
+With subsets of t parts each, parts ordered by how much they hold, the k + t fullest of each set must share t with the
+other's: n - k parts agree, and only n - k - t of them can be left out. Parts that say little are thus never posted.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,8 +43,18 @@ class Bands:
         return 2 * self.last[band] * (self.den - self.num) // (self.den + self.num)
 
 
+def subset_size(k: int) -> int:
+    """Parts to a signature. Small sets have few parts, one of which may hold no more than a passage that many share, so
+    theirs are signed by two or three together; sets that differ in many shingles have enough in a part."""
+    return 3 if k <= 2 else 2 if k <= 12 else 1
+
+
 def signatures(shingles: np.ndarray, bands: Bands, spare: float = 0.2) -> np.ndarray:
-    """The set's signatures; none for a band in which similar sets are equal sets."""
+    """The set's signatures; none for a band in which similar sets are equal sets.
+
+    With t parts to a signature the k + t fullest parts are taken: of similar sets' at least t are common, and so is
+    one of the subsets of t.
+    """
     out, size = [], len(shingles)
     own = bands.of(size)
     scrambled = mix64(shingles)
@@ -49,20 +62,26 @@ def signatures(shingles: np.ndarray, bands: Bands, spare: float = 0.2) -> np.nda
         k = bands.differ(band)
         if not k:
             continue
-        parts = k + 1 + max(1, int(spare * (k + 1)))
+        t = subset_size(k)
+        parts = k + t + max(1, int(spare * (k + t)))
         part = ((shingles >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         # shingles are sorted, so each part is a run of them
         edges = np.searchsorted(part, np.arange(parts + 1))
         held = np.diff(edges)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(scrambled)])
         value = mix64((sums[edges[1:]] - sums[edges[:-1]]) ^ mix64(np.arange(parts, dtype=np.uint64) + (np.uint64(band) << np.uint64(32))))
-        if k + 1 < parts:
-            order = np.lexsort((value, -held))[: k + 1]
-            value = value[order]
+        value = value[np.lexsort((value, -held))[: k + t]]
+        if t > 1:
+            value = mix64(np.sort(value)[_subsets(k + t, t)]).sum(1, dtype=np.uint64)
         out.append(value)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+@lru_cache(None)
+def _subsets(n: int, t: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), t)))
+
+
 def _slim(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -72,7 +91,7 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
 
     def work(batches):
         for b in batches:
-            for part in exchange.slices(b, 4 << 20):
+            for part in exchange.slices(b, 2 << 20):
                 rows = [(len(s), *set_digest(s)) for s in shingle_sets(*text_bytes(part.column(1)), width)]
                 n, d1, d2 = zip(*rows, strict=True) if rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], names=["doc_id", "n", "d1", "d2"])
@@ -83,7 +102,7 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     def work(batches):
         for b in batches:
-            for part in exchange.slices(b, 4 << 20):
+            for part in exchange.slices(b, 2 << 20):
                 sets = [s.tobytes() for s in shingle_sets(*text_bytes(part.column(1)), width)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
 

@@ -28,20 +28,25 @@ def scratch(spark: SparkSession) -> str:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
+#: Held while an intermediate table is written: shuffle files of a finished write are of no more use, and a batch of
+#: records that goes to Python is small enough for the longest texts.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
 def keep(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read back: lineage ends here, so a lost executor costs one read."""
-    spark, path = df.sparkSession, scratch(df.sparkSession)
-    key, old = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", None
-    try:  # shuffle files of a finished write are of no more use
-        old = spark.conf.get(key)
-        spark.conf.set(key, "true")
-    except Exception:  # noqa: BLE001  a Spark without this setting
-        key = ""
+    spark, path, old = df.sparkSession, scratch(df.sparkSession), {}
+    for key, value in WRITING.items():
+        try:
+            old[key] = spark.conf.get(key)
+        except Exception:  # noqa: BLE001  a Spark without this setting
+            continue
+        spark.conf.set(key, value)
     try:
         df.write.parquet(path)
     finally:
-        if key:
-            spark.conf.set(key, old)
+        for key, value in old.items():
+            spark.conf.set(key, value)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out

@@ -20,13 +20,13 @@ _powers: dict[str, np.ndarray] = {}
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
-        n = max(n, 1 << 21)
+        n = max(n, 1 << 19)
         _powers["up"] = np.multiply.accumulate(np.full(n, _BASE, np.uint64))
         _powers["down"] = np.multiply.accumulate(np.full(n, pow(_BASE, -1, 2**64), np.uint64))
     return _powers["up"], _powers["down"]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, strip: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, strip: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word of all texts, A-Z taken as lower case, and each text's number of words."""
     solid = ~_SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
