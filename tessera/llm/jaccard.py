@@ -15,12 +15,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import exchange
 from tessera.llm.components import components
-from tessera.llm.shared import keep, mix64, partitions, text_bytes
+from tessera.llm.shared import keep, mix64, open_file, partitions, scratch, text_bytes
 from tessera.llm.shingles import set_digest, shingle_sets
 
 KINDS = {"sig": "<u8", "doc": "<i8"}
@@ -138,8 +139,9 @@ def similar_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     table gives no rows.
 
     Copies, however many, are collapsed by digest before anything else. Of the sets that share a signature all are
-    verified against the smallest doc_id; where some then still lie in different components, all pairs across those
-    are verified too, so no link that would join two components is missed.
+    verified against the smallest doc_id. Where some then still lie in different components, the sets go to blocks of
+    like size, and a task counts what two blocks share, set against set; of the links found it passes on those that join
+    components. So no link that would join two is missed, and pairs are never rows.
     """
     n_parts = partitions(docs, 8 << 20)
     info = keep(profiles(docs, width))
@@ -182,11 +184,7 @@ def similar_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     grouped = members.join(to_node, "doc").select("gid", "node").distinct().join(found, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("component"))
     grouped = keep(grouped)
     split = grouped.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gid")
-    mixed = grouped.join(split, "gid")
-    left, right = mixed.select("gid", F.col("node").alias("a"), F.col("component").alias("c_a")), mixed.select("gid", F.col("node").alias("b"), F.col("component").alias("c_b"))
-    across = left.join(right, "gid").where("a < b AND c_a <> c_b").select("a", "b").distinct()
-    across = fitting(across).join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    more = keep(_verified(across, sets, num, den).where("ok").select("a", "b"))
+    more = keep(_across(keep(grouped.join(split, "gid")), nodes, sets, num, den))
     links = links.union(more)
     if not more.isEmpty():
         found = components(links)
@@ -198,6 +196,117 @@ def similar_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     return out.unionByName(sized)
 
 
+def _across(mixed: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den: int, block_shingles: int = 200_000) -> DataFrame:
+    """(a, b): links between nodes of different components that share a group, enough of them to join what links join.
+
+    mixed: (gid, node, component) of groups over several components. Their sets are written in blocks by size; the
+    blocks that hold nodes of one group, and sizes near enough, meet in a task that reads both.
+    """
+    spark, folder = mixed.sparkSession, scratch(mixed.sparkSession)
+    wanted = mixed.select("node", "component").distinct().join(nodes, "node")
+    total = wanted.agg(F.sum("n")).first()[0] or 0
+    n_blocks = max(1, -(-total // block_shingles))
+
+    def write(batches):
+        ids, labels, data, n = [], [], [], []
+        for b in batches:
+            ids += b.column(0).to_pylist()
+            labels += b.column(1).to_pylist()
+            data += [x.as_buffer().to_pybytes() for x in b.column(2)]
+        if ids:
+            n = [len(x) // 8 for x in data]
+            task = TaskContext.get()
+            name, mark = f"{folder}/block-{task.partitionId():06d}.arrow", f".{task.taskAttemptId()}.tmp"
+            store, path, sink = open_file(name + mark, True)
+            batch = pa.record_batch({"node": pa.array(ids, pa.int64()), "component": pa.array(labels, pa.int64()), "set": pa.array(data, pa.large_binary())})
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch)
+            sink.close()
+            store.move(path, path[: -len(mark)])
+            k = len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()] * k, pa.int64()), pa.array([name] * k), pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["block", "path", "node", "n"])
+
+    sized = wanted.join(sets, "node").repartitionByRange(n_blocks, "n", "node").select("node", "component", "set")
+    placed = keep(sized.mapInArrow(write, "block long, path string, node long, n long"))
+    blocks = placed.groupBy("block", "path").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    held = mixed.join(placed.select("node", "block"), "node").select("gid", "block").distinct()
+    meet = held.select("gid", F.col("block").alias("i")).join(held.select("gid", F.col("block").alias("j")), "gid").where("i <= j").select("i", "j").distinct()
+    meet = meet.join(blocks.select(F.col("block").alias("i"), F.col("path").alias("path_i"), F.col("high").alias("high_i")), "i").join(blocks.select(F.col("block").alias("j"), F.col("path").alias("path_j"), F.col("low").alias("low_j")), "j")
+    meet = meet.where(num * F.col("low_j") <= den * F.col("high_i")).select("path_i", "path_j")
+
+    def read(path):
+        b = pa.ipc.open_stream(open_file(path, False)[2]).read_next_batch()
+        return b.column(0).to_numpy(), b.column(1).to_numpy(), [np.frombuffer(x.as_buffer(), "<u8") for x in b.column(2)]
+
+    def work(batches):
+        for b in batches:
+            for path_i, path_j in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                node_i, label_i, sets_i = read(path_i)
+                node_j, label_j, sets_j = (node_i, label_i, sets_i) if path_i == path_j else read(path_j)
+                n_i, n_j = np.array([len(s) for s in sets_i]), np.array([len(s) for s in sets_j])
+                root: dict[int, int] = {}
+
+                def top(x, root=root):
+                    while root.get(x, x) != x:
+                        x = root[x]
+                    return x
+
+                a_out, b_out = [], []
+                for at in range(0, len(sets_i), 512):
+                    part = slice(at, at + 512)
+                    shared = common_counts(sets_i[part], sets_j)
+                    similar = den * shared >= num * (n_i[part, None] + n_j[None] - shared)
+                    similar &= label_i[part, None] != label_j[None]
+                    for x, y in zip(*np.nonzero(similar), strict=True):
+                        u, v = top(int(label_i[at + x])), top(int(label_j[y]))
+                        if u != v:
+                            root[u] = v
+                            a_out.append(int(node_i[at + x]))
+                            b_out.append(int(node_j[y]))
+                yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+
+    found = meet.repartition(max(n_blocks, 1), "path_i", "path_j").mapInArrow(work, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], heavy: int = 2048) -> np.ndarray:
+    """How many elements each set on the left shares with each on the right; sets are sorted and without repeats.
+
+    An element held by few is counted pair by pair, those held by many as products of 0-1 matrices, some columns at a time.
+    """
+    out = np.zeros((len(left), len(right)), np.int64)
+    owner = [np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (left, right)]
+    value = [np.concatenate([*s, np.zeros(0, np.uint64)]) for s in (left, right)]
+    order = [np.argsort(v, kind="stable") for v in value]
+    value, owner = [v[o] for v, o in zip(value, order, strict=True)], [w[o] for w, o in zip(owner, order, strict=True)]
+    both = np.intersect1d(value[0], value[1])
+    first = [np.searchsorted(v, both, "left") for v in value]
+    count = [np.searchsorted(v, both, "right") - f for v, f in zip(value, first, strict=True)]
+    product = count[0] * count[1]
+    light = np.flatnonzero(product <= heavy)
+    for at in range(0, len(light), 20_000):
+        some = light[at : at + 20_000]
+        sizes = product[some]
+        inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        wide = np.repeat(count[1][some], sizes)
+        x = owner[0][np.repeat(first[0][some], sizes) + inner // wide]
+        y = owner[1][np.repeat(first[1][some], sizes) + inner % wide]
+        out += np.bincount(x * len(right) + y, minlength=out.size).reshape(out.shape)
+    dense = np.flatnonzero(product > heavy)
+    for at in range(0, len(dense), 1024):
+        some = dense[at : at + 1024]
+        m = []
+        for side, rows in ((0, len(left)), (1, len(right))):
+            n = count[side][some]
+            column = np.repeat(np.arange(len(some)), n)
+            row = owner[side][np.repeat(first[side][some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            matrix = np.zeros((rows, len(some)), np.float32)
+            matrix[row, column] = 1
+            m.append(matrix)
+        out += np.rint(m[0] @ m[1].T).astype(np.int64)
+    return out
+
+
 def _shared(posted: DataFrame, n_parts: int) -> DataFrame:
     """(gid, leader, doc): the distinct lists of documents that share a signature, leader their smallest doc_id."""
 

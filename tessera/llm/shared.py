@@ -59,10 +59,31 @@ def discard(df: DataFrame) -> None:
     p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def open_file(uri: str, write: bool):
+    """A file of any store that pyarrow knows; local files are mapped, not read."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    if write:
+        store.create_dir(path.rpartition("/")[0], recursive=True)
+        return store, path, store.open_output_stream(path)
+    return store, path, pa.memory_map(path) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(path)
+
+
 def partitions(df: DataFrame, bytes_each: int = 16 << 20) -> int:
-    """How many parts df's data should be dealt out to: by Catalyst's size estimate, at least the session's number."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size, 1 << 50) // bytes_each)
+    """How many parts df's data should be dealt out to, at least the session's number.
+
+    Of a plan over files Catalyst knows the size; others, for which it guesses, are measured: their texts' bytes.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    if leaves.size() == 1 and leaves.apply(0).getClass().getSimpleName() == "LogicalRelation":
+        size = int(plan.stats().sizeInBytes())
+    else:
+        texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+        size = df.select(sum(texts, F.lit(16)).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // bytes_each)
 
 
 def cell(doc_id: Column, n: int) -> Column:

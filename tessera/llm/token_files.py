@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.encoding import encoder
-from tessera.llm.shared import keep, partitions, scratch
+from tessera.llm.shared import keep, open_file, partitions, scratch
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -100,17 +100,6 @@ class TokenFile:
         return self.slice(i * self.length, self.length)
 
 
-def _open(uri: str, write: bool):
-    """A file of any store that pyarrow knows; local files are mapped, not read."""
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(uri)
-    if write:
-        store.create_dir(path.rpartition("/")[0], recursive=True)
-        return store, path, store.open_output_stream(path)
-    return store, path, pa.memory_map(path) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(path)
-
-
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = 2048, folder: str | None = None) -> DataFrame:
     """Encodes every whole text and writes the ids, documents in ascending doc_id order over all files.
 
@@ -129,8 +118,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, length:
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if writer is None:
-                    store, at, sink = _open(f"{name}.arrow{mark}", True)
-                    _, index_at, index_sink = _open(f"{name}.index{mark}", True)
+                    store, at, sink = open_file(f"{name}.arrow{mark}", True)
+                    _, index_at, index_sink = open_file(f"{name}.index{mark}", True)
                     writer = TokenFileWriter(sink, index_sink, length, code.size > 1 << 16)
                 writer.add(doc, code.ids(text.as_py()) + tail)
                 n_docs += 1
@@ -154,7 +143,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
     def work(batches):
         for b in batches:
             for r in b.to_pylist():
-                file = TokenFile(_open(r["path"], False)[2], _open(r["index_path"], False)[2])
+                file = TokenFile(open_file(r["path"], False)[2], open_file(r["index_path"], False)[2])
                 for part in file.index.to_batches(max_chunksize=20_000):
                     doc, start, n = part.column(0), part.column(1).to_numpy(), part.column(2).to_numpy()
                     sums = [zlib.crc32(file.slice(a, c).astype("<u4").tobytes()) for a, c in zip(start.tolist(), n.tolist(), strict=True)]

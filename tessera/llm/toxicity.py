@@ -15,7 +15,6 @@ from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -179,17 +178,17 @@ def score_documents(docs: DataFrame, labels: DataFrame, k: int = 12, stem: int =
     chosen = keep(known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample))
     examples = keep(slim.join(F.broadcast(chosen), "doc_id").dropDuplicates(["text"]).select("doc_id", "toxic", "text"))
 
-    def tally(frames):
+    def tally(batches):
         n: dict[str, list[int]] = {}
-        for frame in frames:
-            for text, toxic in zip(frame.text, frame.toxic, strict=True):
-                for f in features(text, stem):
-                    n.setdefault(f, [0, 0])[int(toxic)] += 1
-        yield pd.DataFrame({"term": list(n), "clean": [x[0] for x in n.values()], "toxic": [x[1] for x in n.values()]})
+        for b in batches:
+            for text, toxic in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                for f in features(text.as_py(), stem):
+                    n.setdefault(f, [0, 0])[toxic] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), *(pa.array([x[i] for x in n.values()], pa.int64()) for i in (0, 1))], names=["term", "clean", "toxic"])
 
     size = {r.toxic: r.n for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
-    tallied = examples.select("text", "toxic").mapInPandas(tally, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    tallied = examples.select("text", "toxic").mapInArrow(tally, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (n1 + 1.0)) - F.log((F.col("clean") + 0.5) / (n0 + 1.0))
     # the log ratio over its standard error: how surely the term is more common in toxic texts
     sure = odds / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
