@@ -46,9 +46,9 @@ def churn(touches: DataFrame, by: str = "path") -> DataFrame:
 
     recency: sum of 1 / (1 + age in days / 30). hotspot: recency * ln(1 + touches) + ln(1 + volume) / 10.
     """
-    newest = touches.agg(F.max("touched_at").alias("now"))
+    newest = touches.agg(F.max("touched_at")).scalar()
     age = (F.unix_micros("now") - F.unix_micros("touched_at")) / (1e6 * DAY)
-    aged = touches.crossJoin(F.broadcast(newest)).withColumn("age", age)
+    aged = touches.withColumn("now", newest).withColumn("age", age)
     out = aged.groupBy(by).agg(F.count("*").alias("touches"), F.sum(F.when(F.col("age") <= 30, 1).otherwise(0)).alias("last_30d"), F.sum(F.when(F.col("age") <= 90, 1).otherwise(0)).alias("last_90d"), F.sum(1 / (1 + F.col("age") / 30)).alias("r"), F.sum("additions").alias("volume"))
     hotspot = F.col("r") * F.log1p("touches") + F.log1p("volume") / 10
     return out.select(by, "touches", "last_30d", "last_90d", F.round("r", 6).alias("recency"), "volume", F.round(hotspot, 6).alias("hotspot"))
@@ -91,8 +91,8 @@ def shares(touches: DataFrame, who: str, stale_days: int = 365) -> DataFrame:
     score: (0.30 + 0.32 * share) * (0.6 + 0.4 * min(touches / 3, 1)) * (0.55 if the last is older than stale_days
     before the newest touch of all), at most 0.62.
     """
-    newest = touches.agg(F.max("touched_at").alias("now"))
-    each = touches.groupBy("path", who).agg(F.count("*").alias("touches"), F.max("touched_at").alias("last")).crossJoin(F.broadcast(newest))
+    newest = touches.agg(F.max("touched_at")).scalar()
+    each = touches.groupBy("path", who).agg(F.count("*").alias("touches"), F.max("touched_at").alias("last")).withColumn("now", newest)
     share = F.col("touches") / F.sum("touches").over(Window.partitionBy("path"))
     stale = F.datediff("now", "last") > stale_days
     score = (0.30 + 0.32 * F.col("share")) * (0.6 + 0.4 * F.least(F.col("touches") / 3, F.lit(1.0))) * F.when(F.col("stale"), 0.55).otherwise(1.0)
@@ -117,8 +117,8 @@ def similar_commits(commits: DataFrame, touches: DataFrame, query: int, tokens:
     files = touches.select("commit_id", "path").distinct()
     mine = files.where(F.col("commit_id") == query).select("path")
     paths = files.where(F.col("commit_id") != query).join(F.broadcast(mine), "path").groupBy("commit_id").agg(F.count("*").alias("shared_paths"))
-    words = commits.where(F.col("commit_id") == query).select(F.array_distinct(tokens).alias("asked"))
-    text = commits.where(F.col("commit_id") != query).crossJoin(F.broadcast(words)).select("commit_id", F.size(F.array_intersect(F.array_distinct(tokens), "asked")).cast("long").alias("shared_tokens"))
+    words = commits.where(F.col("commit_id") == query).select(F.array_distinct(tokens)).scalar()
+    text = commits.where(F.col("commit_id") != query).withColumn("asked", words).select("commit_id", F.size(F.array_intersect(F.array_distinct(tokens), "asked")).cast("long").alias("shared_tokens"))
     both = text.join(paths, "commit_id", "left").withColumn("shared_paths", F.coalesce("shared_paths", F.lit(0)))
     score = F.least(F.col("shared_paths") * 0.42, F.lit(0.5)) + F.least(F.col("shared_tokens") * 0.08, F.lit(0.32))
     return both.withColumn("score", F.round(F.least(score, F.lit(1.0)), 3)).where("score > 0").orderBy(F.col("score").desc(), "commit_id").limit(limit).select("commit_id", "shared_paths", "shared_tokens", "score")

@@ -45,8 +45,8 @@ def samples(records: DataFrame, key: str, message: str, order: str, n: int = 3)
 
 def stale(records: DataFrame, key: str, days: int = 30) -> DataFrame:
     """(key, last, stale): whether the last record is more than `days` before the newest of all."""
-    newest = records.agg(F.max("ts").alias("now"))
-    return records.groupBy(key).agg(F.max("ts").alias("last")).crossJoin(F.broadcast(newest)).select(key, "last", ((F.unix_micros("now") - F.unix_micros("last")) / 86_400_000_000 > days).alias("stale"))
+    newest = records.agg(F.max("ts")).scalar()
+    return records.groupBy(key).agg(F.max("ts").alias("last")).withColumn("now", newest).select(key, "last", ((F.unix_micros("now") - F.unix_micros("last")) / 86_400_000_000 > days).alias("stale"))
 
 
 def facts(records: DataFrame) -> DataFrame:

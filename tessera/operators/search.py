@@ -24,8 +24,8 @@ def bm25(docs: DataFrame, key: str, text: str, asked: DataFrame, k: int = 10, k1
     terms = asked.select("query", F.explode(F.array_distinct(word_tokens(F.col("text")))).alias("term"))
     wanted = postings(docs, key, text).join(terms.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    size = docs.agg(F.count("*").alias("n"), F.avg(F.size(word_tokens(F.col(text)))).alias("mean"))
-    weighed = wanted.join(df, "term").crossJoin(F.broadcast(size))
+    size = docs.agg(F.struct(F.count("*").alias("n"), F.avg(F.size(word_tokens(F.col(text)))).alias("mean"))).scalar()
+    weighed = wanted.join(df, "term").withColumn("_size", size).withColumn("n", F.col("_size.n")).withColumn("mean", F.col("_size.mean"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     scored = weighed.select(key, "term", (idf * tf).alias("part")).join(terms, "term").groupBy("query", key).agg(F.round(F.sum("part"), 6).alias("score"))

@@ -49,7 +49,7 @@ QUERIES = {
     "graph_all_nodes": (lambda t: t.nodes, f"WITH {NODES_SQL} SELECT * FROM nodes"),
     "graph_node_type_stats": (lambda t: G.type_stats(t.nodes, "node_type", "label"), f"WITH {NODES_SQL} SELECT node_type AS type, count(*) AS n, max(label) AS best FROM nodes GROUP BY 1"),
     "graph_edge_type_stats": (lambda t: G.type_stats(_confidence(t), "edge_type", "rank"), BOTH + f"SELECT edge_type AS type, count(*) AS n, max({_RANK}) AS best FROM edges GROUP BY 1"),
-    "graph_counts": (lambda t: t.nodes.agg(F.count("*").alias("nodes")).join(F.broadcast(t.edges.agg(F.count("*").alias("edges")))), BOTH + "SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges"),
+    "graph_counts": (lambda t: t.nodes.agg(F.count("*").alias("nodes")).withColumn("edges", t.edges.agg(F.count("*")).scalar()), BOTH + "SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges"),
     "graph_schema_counts": (lambda t: G.schema_catalogue(EDGE_TYPES, G.type_counts(t.edges, "edge_type")).unionByName(G.schema_catalogue(NODE_TYPES, G.type_counts(t.nodes, "node_type"))), BOTH + "SELECT type, coalesce(n, 0) AS n FROM (SELECT unnest(" + str(EDGE_TYPES + NODE_TYPES) + ") AS type) LEFT JOIN (SELECT edge_type AS type, count(*) AS n FROM edges GROUP BY 1 UNION ALL SELECT node_type, count(*) FROM nodes GROUP BY 1) USING (type)"),
     "graph_degrees": (lambda t: G.degrees(t.edges), BOTH + "SELECT id, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM (SELECT from_id AS id, 0 AS i, 1 AS o FROM edges UNION ALL SELECT to_id, 1, 0 FROM edges) GROUP BY 1"),
     "graph_reachable": (lambda t: G.reachable(t.edges.where("edge_type IN ('CONTAINS', 'DEFINES')"), t.nodes.where("node_type = 'architecture_component'"), 3), BOTH + ", l0 AS (SELECT id AS start, id FROM nodes WHERE node_type = 'architecture_component'), k AS (SELECT * FROM edges WHERE edge_type IN ('CONTAINS', 'DEFINES')), l1 AS (SELECT DISTINCT start, to_id AS id FROM l0 JOIN k ON from_id = l0.id), l2 AS (SELECT DISTINCT start, to_id AS id FROM l1 JOIN k ON from_id = l1.id), l3 AS (SELECT DISTINCT start, to_id AS id FROM l2 JOIN k ON from_id = l2.id) SELECT start, id, min(depth) AS depth FROM (SELECT *, 1 AS depth FROM l1 UNION ALL SELECT *, 2 FROM l2 UNION ALL SELECT *, 3 FROM l3) WHERE start <> id GROUP BY 1, 2"),
