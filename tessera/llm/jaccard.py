@@ -226,7 +226,8 @@ def _across(mixed: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den:
             k = len(ids)
             yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()] * k, pa.int64()), pa.array([name] * k), pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["block", "path", "node", "n"])
 
-    sized = wanted.join(sets, "node").repartitionByRange(n_blocks, "n", "node").select("node", "component", "set")
+    # ranges of sizes, however many the session makes of them, are merged to the blocks wanted: few blocks hold a group
+    sized = wanted.join(sets, "node").repartitionByRange(n_blocks, "n", "node").coalesce(n_blocks).select("node", "component", "set")
     placed = keep(sized.mapInArrow(write, "block long, path string, node long, n long"))
     blocks = placed.groupBy("block", "path").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     held = mixed.join(placed.select("node", "block"), "node").select("gid", "block").distinct()
