@@ -40,12 +40,15 @@ def trim(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document with the words that the mix takes of it: whole copies and a cut one, joined; none, and it goes."""
-    taken = mixing.mix(docs).select("doc_id", "size", "taken").where("taken > 0")
-    taken = taken.groupBy("doc_id").agg(F.max("size").alias("size"), F.max("taken").alias("taken"))
-    out = docs.join(taken, "doc_id")
+    """Each document with the words that the mix takes of it: whole copies and the words of its chosen blocks, joined;
+    none, and it goes."""
+    taken = mixing.mix(docs).select("doc_id", "size", "taken", "ranges").where("taken > 0")
+    # rows of one doc_id and size get the same words
+    taken = taken.groupBy("doc_id", "size").agg(F.max(F.struct("taken", "ranges")).alias("took")).select("doc_id", "size", "took.*")
+    out = docs.withColumn("size", mixing.word_count(F.col("text"))).join(taken, ["doc_id", "size"])
     copies, rest = F.expr("CAST(taken div size AS INT)"), F.expr("taken % size")
-    words = F.expr(r"slice(filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> ''), 1, CAST(taken % size AS INT))")
+    # the words are bound to a name, else they would be split for each range anew
+    words = F.expr(r"transform(array(filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')), ws -> flatten(transform(ranges, r -> slice(ws, CAST(r.first + 1 AS INT), CAST(r.after - r.first AS INT)))))[0]")
     text = F.concat_ws("\n", F.array_repeat("text", copies), F.when(rest > 0, F.array_join(words, " ")))
     out = out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
     return out.unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))

@@ -64,10 +64,11 @@ def source_targets(sizes: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5
 
 
 def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, block: int = 16, shard_words: int = 250_000, seed: int = 20) -> DataFrame:
-    """Per row of docs (doc_id, source, text): doc_id, source, size, source_size, target, taken.
+    """Per row of docs (doc_id, source, text): doc_id, source, size, source_size, target, taken, ranges.
 
     size: words of the whole text, null or empty 0. taken: words that the mix takes of the document, repeats
-    counted, at most `most` times size. Documents are dealt to shards by a seeded hash of doc_id, so that no source,
+    counted, at most `most` times size: so many whole copies, and the words [first, after) of each of ranges, which are
+    the parts of chosen blocks that lie in the document, in order and apart from each other. Documents are dealt to shards by a seeded hash of doc_id, so that no source,
     however large, is in one place; in each shard equal blocks of `block` words are allocated to the sources by
     Sainte-Laguë with the sources' targets as votes, and each source takes its quota of blocks from its documents in
     seeded order: whole passes, then evenly spaced blocks from a seeded start. The same rows, parameters and seed
@@ -98,15 +99,11 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: floa
     # after whole passes, block i of a source's blocks is taken if the i-th step of `extra` / `blocks` from a seeded start reaches a new integer
     passes, extra = F.expr("CASE WHEN blocks > 0 THEN seats div blocks ELSE 0 END"), F.expr("CASE WHEN blocks > 0 THEN seats % blocks ELSE 0 END")
     start = F.pmod(F.xxhash64(F.lit(seed + 2), "shard", "name"), F.greatest("blocks", F.lit(1)))
-    j = j.withColumn("passes", passes).withColumn("extra", extra).withColumn("start", start)
-
-    def before(x: str) -> Column:
-        """Words of taken blocks among a source's first x words: block i holds words [i * words div blocks, (i + 1) * words div blocks)."""
-        i = f"least(blocks - 1, (({x} + 1) * blocks - 1) div words)"
-        full = f"((start + ({i}) * extra) div blocks - start div blocks)"
-        # blocks are within a word of one size: those before block i that are taken are counted, and the words of each by its number
-        here = f"((start + ({i} + 1) * extra) div blocks - (start + ({i}) * extra) div blocks)"
-        return F.expr(f"CASE WHEN blocks = 0 OR words = 0 OR extra = 0 THEN 0L WHEN {x} >= words THEN (extra * words) div blocks ELSE ({full}) * words div blocks + {here} * ({x} - ({i}) * words div blocks) END")
-
-    taken = F.col("passes") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), before("end") - before("(end - size)")))
-    return j.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    j = j.withColumn("passes", passes).withColumn("extra", extra).withColumn("start", start).withColumn("begin", F.col("end") - F.col("size"))
+    # block i holds a source's words [i * words div blocks, (i + 1) * words div blocks); the document holds [begin, end)
+    inside = "sequence(((begin + 1) * blocks - 1) div words, (end * blocks - 1) div words)"
+    stepped = f"filter({inside}, i -> (start + (i + 1) * extra) div blocks > (start + i * extra) div blocks)"
+    spans = f"transform({stepped}, i -> named_struct('first', greatest(i * words div blocks, begin) - begin, 'after', least((i + 1) * words div blocks, end) - begin))"
+    j = j.withColumn("ranges", F.expr(f"CASE WHEN size > 0 AND extra > 0 THEN {spans} ELSE CAST(array() AS array<struct<first: bigint, after: bigint>>) END"))
+    taken = F.col("passes") * F.col("size") + F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + r["after"] - r["first"])
+    return j.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "ranges")

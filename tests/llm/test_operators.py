@@ -288,6 +288,26 @@ def test_mixing(docs, rows, spark):
     assert again == {(r.doc_id, r.size): r.taken for r in got}
 
 
+def test_mixed_words(spark):
+    """The stage's texts hold the words of the chosen blocks, wherever they lie in a document."""
+    import corpus_pipeline as pipeline
+
+    rows = [(i, " ".join(f"{i}w{k}" for k in range(20 + 37 * i)), "en", "abc"[i % 3], 0) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    texts = {r.doc_id: r.text for r in pipeline.mix(spark, docs, "").collect()}
+    cut = 0
+    for i, t, *_ in rows:
+        r, w = got[i], t.split()
+        ends = [0, *[x for a in r.ranges for x in (a["first"], a["after"])], r.size]
+        assert ends == sorted(ends) and all(a["first"] < a["after"] for a in r.ranges)
+        rest = [x for a in r.ranges for x in w[a["first"] : a["after"]]]
+        assert (r.taken - len(rest)) % len(w) == 0
+        assert texts.get(i, "").split() == w * ((r.taken - len(rest)) // len(w)) + rest
+        cut += 0 < len(rest) < len(w) and rest != w[: len(rest)]
+    assert cut > 10
+
+
 def test_sainte_lague():
     rng = random.Random(6)
     for _ in range(200):
