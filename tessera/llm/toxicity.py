@@ -1,33 +1,49 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, votes by distance.
 
-Texts are seen through the terms that labelled toxic texts hold more often than labelled clean ones: words, and the
-first letters of longer words, since abuse is inflected. Document frequencies are those of the whole table. Examples
-with one vector are one entry with a tally of labels. The k nearest entries vote by distance; what the votes of left-out
-examples were worth, by pooled adjacent violators, makes a score of them.
+Vectors have all terms of a text: words, and the first letters of longer words, since abuse is inflected. Document
+frequencies are those of the whole table; terms that labelled toxic texts surely hold more often than labelled clean ones
+weigh more. Examples with one vector are one entry with a tally of labels. The k nearest entries vote by distance; what
+the votes of left-out examples were worth, by pooled adjacent violators, makes a score of them.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
+import pickle
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import keep
+from tessera.llm.shared import keep, open_file, scratch
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
-def features(text: str | None, stem: int) -> set[str]:
-    """A text's distinct words in lower case, and the first `stem` letters of the longer ones, marked with *."""
-    found = set(_WORDS((text or "").lower()))
-    return found | {w[:stem] + "*" for w in found if len(w) > stem}
+def features(text: str | None, stem: int) -> Counter:
+    """How often a text has its words in lower case, and the first `stem` letters of the longer ones, marked with *."""
+    found = Counter(_WORDS((text or "").lower()))
+    for w, n in list(found.items()):
+        if len(w) > stem:
+            found[w[:stem] + "*"] += n
+    return found
+
+
+def term_hash(term: str) -> int:
+    return int.from_bytes(hashlib.blake2b(term.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 class BlockMaxIndex:
@@ -97,49 +113,118 @@ def pooled(raw: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[list
     return [g[0] for g in out], [g[2] / g[1] for g in out]
 
 
+class Examples:
+    """Unit vectors of entries as rows and as lists of terms; the lists of frequent terms as a dense matrix with block maxima."""
+
+    def __init__(self, terms: list[np.ndarray], weights: list[np.ndarray], n_terms: int, block: int = 64, frequent: float = 0.08):
+        self.n, self.n_terms, self.block = len(terms), n_terms, block
+        self.row = np.cumsum([0, *map(len, terms)])
+        self.term = np.concatenate([*terms, np.zeros(0, np.int32)]).astype(np.int32)
+        self.weight = np.concatenate([*weights, np.zeros(0)]).astype(np.float32)
+        self.frequent = frequent
+        self.lists = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"lists": None}
+
+    def _listed(self):
+        """Lists by term are made where they are used, so only rows are sent."""
+        if self.lists is None:
+            owner = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.row))
+            count = np.bincount(self.term, minlength=self.n_terms)
+            n_blocks = -(-self.n // self.block)
+            heavy = np.flatnonzero(count > max(self.frequent * self.n, 32))
+            place = np.full(self.n_terms, -1, np.int32)
+            place[heavy] = np.arange(len(heavy))
+            dense = np.zeros((n_blocks * self.block, len(heavy)), np.float32)
+            at = place[self.term] >= 0
+            dense[owner[at], place[self.term[at]]] = self.weight[at]
+            count[heavy] = 0
+            first, rare = np.concatenate([[0], np.cumsum(count)]), np.flatnonzero(~at)
+            rare = rare[np.argsort(self.term[rare], kind="stable")]
+            tops = dense.reshape(n_blocks, self.block, len(heavy)).max(1)
+            self.lists = owner[rare], self.weight[rare], first, place, dense, tops
+        return self.lists
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+        """For each query (terms, weights) the k entries of the highest positive products (product, entry), ties to the earlier.
+
+        Rare terms' lists are added first. The k-th sum so far bounds the k-th product from below, so of the frequent
+        terms only blocks whose best sum and maxima reach it are multiplied. What is near the k-th is then summed anew in
+        double precision.
+        """
+        if not self.n or not queries:
+            return [[] for _ in queries]
+        owner, weight, first, place, dense, tops = self._listed()
+        n_blocks, size = len(tops), self.block
+        out: list[list[tuple[float, int]]] = []
+        full = np.zeros(self.n_terms)
+        for a in range(0, len(queries), 64):
+            part = queries[a : a + 64]
+            sums = np.zeros((len(part), n_blocks * size), np.float32)
+            asked = np.zeros((len(part), dense.shape[1]), np.float32)
+            for i, (t, w) in enumerate(part):
+                heavy = place[t] >= 0
+                asked[i, place[t[heavy]]] = w[heavy]
+                t, w = t[~heavy], w[~heavy]
+                begin, count = first[t], first[t + 1] - first[t]
+                spots = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
+                sums[i] = np.bincount(owner[spots], weight[spots] * np.repeat(w, count), minlength=sums.shape[1])
+            floor = np.partition(sums, -k, axis=1)[:, -k] if k < sums.shape[1] else np.zeros(len(part), np.float32)
+            most = sums.reshape(len(part), n_blocks, size).max(2) + asked @ tops.T
+            wanted = (most >= floor[:, None] * (1 - 1e-4) - 1e-6) & (most > 0)
+            for b in range(n_blocks):
+                rows = np.flatnonzero(wanted[:, b])
+                if len(rows):
+                    sums[rows, b * size : (b + 1) * size] += asked[rows] @ dense[b * size : (b + 1) * size].T
+            for i, (t, w) in enumerate(part):
+                s = sums[i]
+                least = np.partition(s, -k)[-k] if k < len(s) else 0.0
+                full[t] = w
+                found = []
+                for e in np.flatnonzero((s > 0) & (s >= least * (1 - 1e-4))).tolist():
+                    span = slice(self.row[e], self.row[e + 1])
+                    found.append((-float(full[self.term[span]] @ self.weight[span].astype(float)), e))
+                full[t] = 0
+                out.append([(-x, e) for x, e in sorted(found)[:k]])
+        return out
+
+
 class Model:
-    """The entries' index, their tallies, idf and calibration."""
+    """The entries with their tallies, terms' weights and the calibration."""
 
-    def __init__(self, rows: list[tuple[tuple[int, ...], tuple[int, ...], int, int, int]], idf: dict[int, float], k: int):
-        """rows: (terms, counts, examples, toxic examples, one example's doc_id) of each distinct vector."""
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray, int, int, int]], idf: np.ndarray, k: int):
+        """rows: (terms, counts, examples, toxic examples, one example's doc_id) of each distinct vector; idf: by term."""
         self.idf, self.k = idf, k
-        rows = sorted(rows)
-        # a text with none of the terms is like the examples with none
-        self.n_none, self.toxic_none = (sum(r[i] for r in rows if not r[0]) for i in (2, 3))
-        rows = [r for r in rows if r[0]]
-        vectors = [self.vector(r[0], r[1]) for r in rows]
+        rows = sorted(rows, key=lambda r: r[4])
+        # a text without any term is like the examples with none
+        self.n_none, self.toxic_none = (sum(r[i] for r in rows if not len(r[0])) for i in (2, 3))
+        rows = [r for r in rows if len(r[0])]
         self.n, self.toxic = np.array([r[2] for r in rows] or [0]), np.array([r[3] for r in rows] or [0])
         self.doc = [r[4] for r in rows]
         self.base = (self.toxic.sum() + self.toxic_none + 1) / (self.n.sum() + self.n_none + 2)
-        self.index = BlockMaxIndex(vectors)
-        raw, label, weight = [], [], []
-        for i, v in enumerate(vectors):
+        vectors = [self.weights(r[0], r[1]) for r in rows]
+        self.index = Examples([r[0] for r in rows], [v / math.sqrt(v @ v) for v in vectors], len(idf))
+
+    def weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return (1 + np.log(counts)) * self.idf[terms]
+
+    def left_out(self, entries: Sequence[int]) -> list[tuple[float, int, int]]:
+        """(raw share, label, examples): what the others' votes make of the entries' examples, one at a time."""
+        x, out = self.index, []
+        queries = [(x.term[x.row[i] : x.row[i + 1]], x.weight[x.row[i] : x.row[i + 1]].astype(float)) for i in entries]
+        for i, near in zip(entries, x.nearest(queries, self.k + 1), strict=True):
             n, y = int(self.n[i]), int(self.toxic[i])
-            for own, count in ((1, y), (0, n - y)):
-                if count:  # one of this vector's examples with this label is left out
-                    raw.append(self._votes(v, (i, own))[0])
-                    label.append(own)
-                    weight.append(count)
-        if self.n_none:
-            raw += [self._none()] * 2
-            label += [1, 0]
-            weight += [self.toxic_none, self.n_none - self.toxic_none]
-        fit = pooled(np.array(raw), np.array(label, float), np.array(weight, float)) if sum(weight) else ([0.0], [0.5])
-        self.starts, self.scores = np.array(fit[0]), np.array(fit[1])
-
-    def vector(self, terms: Sequence[int], counts: Sequence[int]) -> dict[int, float]:
-        v = {t: (1 + math.log(c)) * self.idf[t] for t, c in zip(terms, counts, strict=True)}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / norm for t, x in v.items()}
-
-    def _none(self) -> float:
+            near = [p for p in near if p[1] != i or n > 1][: self.k]
+            out += [(self.votes(near, (i, own)), own, count) for own, count in ((1, y), (0, n - y)) if count]
+        return out
+
+    def none(self) -> float:
         return (self.toxic_none + self.base) / (self.n_none + 1)
 
-    def _votes(self, v: dict[int, float], left_out: tuple[int, int] | None = None) -> tuple[float, list]:
+    def votes(self, near: list[tuple[float, int]], left_out: tuple[int, int] | None = None) -> float:
         """The distance-weighted share of toxic examples; the prior votes as one example at the distance of no likeness."""
         total, toxic = 1.0, self.base
-        alone = left_out and self.n[left_out[0]] == 1
-        near = self.index.nearest(v, self.k, left_out[0] if alone else -1)
         for s, i in near:
             n, y = int(self.n[i]), int(self.toxic[i])
             if left_out and i == left_out[0]:
@@ -147,15 +232,20 @@ class Model:
             w = 1 / max(1.02 - s, 0.02)
             total += w * n
             toxic += w * y
-        return toxic / total, near
+        return toxic / total
 
-    def score(self, terms: Sequence[int], counts: Sequence[int]) -> tuple[float, list[int]]:
-        """A calibrated score between 0 and 1, and the doc_ids of the nearest examples."""
-        raw, near = self._votes(self.vector(terms, counts)) if len(terms) else (self._none(), [])
-        at = int(np.searchsorted(self.starts, raw, "right")) - 1
+    def score(self, near: list[tuple[float, int]], some: bool, starts: list[float], scores: list[float]) -> float:
+        """A score between 0 and 1 by the steps of pooled(); some: whether the text has any term."""
+        raw = self.votes(near) if some else self.none()
         # the step's score, with the raw share as the finer order within it
-        low = float(self.scores[max(at, 0)])
-        return min(1.0, max(0.0, 0.999 * low + 0.001 * raw)), [self.doc[i] for _, i in near]
+        low = scores[max(bisect_right(starts, raw) - 1, 0)]
+        return min(1.0, max(0.0, 0.999 * low + 0.001 * raw))
+
+
+@lru_cache(1)
+def loaded(path: str) -> Model:
+    with open_file(path, False)[2] as f:
+        return pickle.loads(f.read())
 
 
 def held_out(doc_id: Column) -> Column:
@@ -166,13 +256,16 @@ def score_documents(docs: DataFrame, labels: DataFrame, k: int = 12, stem: int =
     """(doc_id, held_out, score, predicted, evidence) per row of docs (doc_id, text); labels: (doc_id, toxic 0 or 1).
 
     Labels are learnt from rows that are not held out: `sample` of them at most, the first in a seeded hash order of
-    doc_id, are the examples, and at most n_terms terms are told apart; both bound what the driver holds and sends.
-    Terms' document frequencies, and the scores, are over all rows of docs and whole texts. evidence: doc_ids of the
-    nearest examples, nearest first. Null and empty texts have no terms and score like examples without any; a null
-    doc_id is scored and not held out; rows with one doc_id are scored each; without labels all scores are one; an
-    empty table gives no rows. Columns of other names are left alone. source, lang and doc_id are no inputs.
+    doc_id, are the examples, with all their terms; n_terms terms at most, those surest of toxic texts, get an extra
+    weight by how sure they are. Terms' document frequencies, norms and scores are over all rows of docs and whole texts,
+    terms that no example has included. evidence: doc_ids of the nearest examples, nearest first. Null and empty texts
+    have no terms and score like examples without any; a null doc_id is scored and not held out; rows with one doc_id are
+    scored each; without labels all scores are one; an empty table gives no rows. Columns of other names are left alone.
+    source, lang and doc_id are no inputs.
     """
+    spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = slim.withColumn("key", F.xxhash64("text", "doc_id"))
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id").cast("long")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = keep(known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample))
@@ -188,55 +281,131 @@ def score_documents(docs: DataFrame, labels: DataFrame, k: int = 12, stem: int =
 
     size = {r.toxic: r.n for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
-    tallied = examples.select("text", "toxic").mapInArrow(tally, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    odds = F.log((F.col("toxic") + 0.5) / (n1 + 1.0)) - F.log((F.col("clean") + 0.5) / (n0 + 1.0))
+    tallied = examples.select("text", "toxic").mapInArrow(tally, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    clean, toxic = (tallied.column(c).to_numpy().astype(float) for c in ("clean", "toxic"))
+    order = np.argsort(np.array(tallied.column("term").to_pylist(), object), kind="stable") if len(tallied) else np.zeros(0, int)
+    clean, toxic, names = clean[order], toxic[order], tallied.column("term").take(pa.array(order)).to_pylist()
+    del tallied
+    odds = np.log((toxic + 0.5) / (n1 + 1.0)) - np.log((clean + 0.5) / (n0 + 1.0))
     # the log ratio over its standard error: how surely the term is more common in toxic texts
-    sure = odds / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    terms = tallied.where((F.col("toxic") >= 3) & (odds > math.log(3)) & (sure > 3)).orderBy(sure.desc(), "term").limit(n_terms)
-    terms = {r.term: i for i, r in enumerate(terms.select("term").collect())}
-
-    def sparse(batches):
+    sure = odds / np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+    telling = np.flatnonzero((toxic >= 3) & (odds > math.log(3)) & (sure > 3))
+    telling = telling[np.argsort(-sure[telling], kind="stable")][:n_terms]
+    extra_weight = np.ones(len(names))
+    extra_weight[telling] += sure[telling]
+    terms = spark.sparkContext.broadcast({t: i for i, t in enumerate(names)})
+
+    def count(batches):
+        """A row of all terms with the number of rows that have them, key null; a row for each text of terms that no example has."""
+        number, n_rows = terms.value, 0
+        held = np.zeros(len(number), np.int64)
+        for b in batches:
+            keys, others, counts, every = [], [], [], []
+            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                found = features(text.as_py(), stem)
+                ids = list(map(number.get, found))
+                n_rows += 1
+                if None in ids:
+                    other = [(term_hash(f), n) for (f, n), i in zip(found.items(), ids, strict=True) if i is None] if number else []
+                    ids = [i for i in ids if i is not None]
+                    if other:
+                        keys.append(key)
+                        others.append([h for h, _ in other])
+                        counts.append([n for _, n in other])
+                every += ids
+            held += np.bincount(np.array(every, np.int64), minlength=len(number))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(others, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], names=["key", "terms", "counts"])
+        seen = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([np.r_[-1, seen]], pa.list_(pa.int64())), pa.array([np.r_[n_rows, held[seen]]], pa.list_(pa.int64()))], names=["key", "terms", "counts"])
+
+    counted = keep(slim.select("key", "text").mapInArrow(count, "key long, terms array<long>, counts array<long>"))
+    df = counted.where("key IS NULL").select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts").alias("n")).toArrow()
+    at, n = df.column("terms").to_numpy(), df.column("n").to_numpy()
+    total, held = int(n[at < 0].sum()), np.zeros(len(names))
+    held[at[at >= 0]] = n[at >= 0]
+    idf = (np.log((1 + total) / (1 + held)) + 1) * extra_weight
+    # what a text's terms that no example has add to its squared norm
+    other = counted.where("key IS NOT NULL")
+    rare = other.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    each = other.dropDuplicates(["key"]).select("key", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("key", F.col("x.terms").alias("term"), F.col("x.counts").alias("c"))
+    squared = F.pow((1 + F.log("c")) * (F.log(F.lit(1.0 + total) / (1 + F.col("n"))) + 1), F.lit(2.0))
+    norms = each.join(rare, "term").groupBy("key").agg(F.sum(squared).alias("more"))
+
+    def sparse(found: Counter) -> tuple[np.ndarray, np.ndarray]:
+        number = terms.value
+        ids = np.fromiter((number.get(f, -1) for f in found), np.int32, len(found))
+        order = np.argsort(ids, kind="stable")[np.count_nonzero(ids < 0) :]
+        return ids[order], np.fromiter(found.values(), np.int32, len(found))[order]
+
+    def vectors(batches):
         for b in batches:
-            found_terms, found_counts = [], []
-            for text in b.column(1):
-                words = _WORDS((text.as_py() or "").lower())
-                counts: Counter = Counter()
-                for w in {*words}:
-                    if w in terms or len(w) > stem and w[:stem] + "*" in terms:
-                        n = words.count(w)
-                        if w in terms:
-                            counts[terms[w]] += n
-                        if len(w) > stem and w[:stem] + "*" in terms:
-                            counts[terms[w[:stem] + "*"]] += n
-                found = sorted(counts.items())
-                found_terms.append([t for t, _ in found])
-                found_counts.append([c for _, c in found])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found_terms, pa.list_(pa.int32())), pa.array(found_counts, pa.list_(pa.int32()))], names=["doc_id", "terms", "counts"])
-
-    schema = "doc_id long, terms array<int>, counts array<int>"
-    seen = keep(slim.mapInArrow(sparse, schema))
-    total = seen.count()
-    df = {r.term: r.n for r in seen.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
-    idf = {t: math.log((1 + total) / (1 + df.get(t, 0))) + 1 for t in range(len(terms))}
+            rows = [sparse(features(t.as_py(), stem)) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r[0].tobytes() for r in rows], pa.binary()), pa.array([r[1].tobytes() for r in rows], pa.binary())], names=["doc_id", "toxic", "terms", "counts"])
+
     # at most `sample` rows: one for each distinct vector of the examples
-    rows = examples.select("doc_id", "text").mapInArrow(sparse, schema).join(F.broadcast(chosen), "doc_id")
-    rows = rows.groupBy("terms", "counts").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.min("doc_id").alias("doc_id")).collect()
-    model = Model([(tuple(r.terms), tuple(r.counts), r.n, r.toxic, r.doc_id) for r in rows], idf, k)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = examples.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, terms binary, counts binary")
+    rows = rows.groupBy("terms", "counts").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
+    folder, weight_of = scratch(spark), spark.sparkContext.broadcast(idf)
+
+    def build(batches):
+        """One task writes the model, which the others read from the shared folder: the driver never holds it."""
+        entries = []
+        for b in batches:
+            for t, c, *x in zip(b.column(0), b.column(1), *(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                entries.append((np.frombuffer(t.as_py(), np.int32), np.frombuffer(c.as_py(), np.int32), *x))
+        model = Model(entries, weight_of.value, k)
+        path = f"{folder}/model-{TaskContext.get().taskAttemptId()}"
+        with open_file(path, True)[2] as f:
+            f.write(pickle.dumps(model, 5))
+        fields = [path, model.index.n, int(model.n_none), int(model.toxic_none), float(model.none())]
+        yield pa.RecordBatch.from_pylist([dict(zip(("path", "entries", "n", "toxic", "none"), fields, strict=True))], pa.schema([("path", pa.string()), ("entries", pa.int64()), ("n", pa.int64()), ("toxic", pa.int64()), ("none", pa.float64())]))
+
+    # a row of no examples, for tables that have none
+    nothing = spark.createDataFrame([(b"", b"", 0, 0, -1)], "terms binary, counts binary, n long, toxic long, doc_id long")
+    built = rows.unionByName(nothing).repartition(1).mapInArrow(build, "path string, entries long, n long, toxic long, none double").first()
+    path = built.path
+
+    def left_out(batches):
+        for b in batches:
+            seen = loaded(path).left_out(b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in seen], kind) for i, kind in ((0, pa.float64()), (1, pa.int64()), (2, pa.int64()))], names=["raw", "label", "n"])
+
+    tried = spark.range(0, built.entries, 1, 32).mapInArrow(left_out, "raw double, label long, n long").collect() if built.entries else []
+    tried = sorted([*map(tuple, tried), *([(built.none, 1, built.toxic), (built.none, 0, built.n - built.toxic)] if built.n else [])])
+    starts, scores = pooled(*(np.array(x, float) for x in zip(*tried, strict=True))) if tried else ([0.0], [0.5])
+
+    def search(batches):
+        m, memo = loaded(path), {}
+        for b in batches:
+            texts = [t.as_py() or "" for t in b.column(2)]
+            if len(memo) > 20_000:
+                memo.clear()
+            new = list(dict.fromkeys(d for d in (_digest(t) for t in texts) if d not in memo))
+            text_of = {_digest(t): t for t in texts}
+            queries, norm, some = [], [], []
+            for d in new:
+                found = features(text_of[d], stem)
+                t, c = sparse(found)
+                w = m.weights(t, c)
+                queries.append((t, w))
+                norm.append(float(w @ w))
+                some.append(bool(found))
+            for d, near, x, has in zip(new, m.index.nearest(queries, k), norm, some, strict=True):
+                memo[d] = x, has, [s for s, _ in near], [i for _, i in near]
+            out = [memo[_digest(t)] for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.float64(), pa.bool_(), pa.list_(pa.float64()), pa.list_(pa.int32()))))], names=["doc_id", "key", "norm", "some", "products", "entries"])
+
+    found = slim.select("doc_id", "key", "text").mapInArrow(search, "doc_id long, key long, norm double, some boolean, products array<double>, entries array<int>")
+    found = found.join(norms, "key", "left").select("doc_id", F.sqrt(F.col("norm") + F.coalesce("more", F.lit(0.0))).alias("norm"), "some", "products", "entries")
 
     def judge(batches):
-        memo: dict = {}
+        m = loaded(path)
         for b in batches:
-            scores, evidence = [], []
-            for t, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                key = (*t, -1, *c)
-                if key not in memo:
-                    if len(memo) >= 100_000:
-                        memo.clear()
-                    memo[key] = shared.value.score(t, c)
-                scores.append(memo[key][0])
-                evidence.append(memo[key][1])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
-
-    scored = seen.mapInArrow(judge, "doc_id long, score double, evidence array<long>")
+            found, evidence = [], []
+            for norm, some, products, entries in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
+                found.append(m.score([(p / norm, i) for p, i in zip(products, entries, strict=True)], some, starts, scores))
+                evidence.append([m.doc[i] for i in entries])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
+
+    scored = found.mapInArrow(judge, "doc_id long, score double, evidence array<long>")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")

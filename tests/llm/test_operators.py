@@ -401,6 +401,37 @@ def test_toxicity(spark, empty):
     assert {r.score for r in toxicity.score_documents(df, known.limit(0)).collect()} != set()
 
 
+def test_toxicity_all_terms(spark):
+    """The cosine is over all terms: brute force finds the same nearest examples, by neutral words too."""
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(400):
+        words = [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(rng.randint(3, 30))]
+        if i % 7 == 0:
+            words += ["grobian"] * 2
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 7 == 0)))
+    # abuse that stands in a single labelled text, and a near copy of it; a word that no example has
+    rows += [(1000, "zwyk blorf quandle narsty ka lo mi"), (1001, "zwyk blorf quandle narsty ka lo re"), (1002, "only new words"), (1003, "karp blorf unheard")]
+    assert not any(zlib.crc32(str(i).encode()) % 4 == 2 for i in (1000,))
+    labels.append((1000, 1))
+    df, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_documents(df, known, n_terms=0).collect()}
+    grams = {i: toxicity.features(t, 4) for i, t in rows}
+    held = Counter(f for g in grams.values() for f in g)
+    vectors = {}
+    for i, g in grams.items():
+        v = {f: (1 + math.log(c)) * (math.log((1 + len(rows)) / (1 + held[f])) + 1) for f, c in g.items()}
+        vectors[i] = {f: x / math.sqrt(sum(y * y for y in v.values())) for f, x in v.items()}
+    example = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 4 != 2]
+    for i in grams:
+        near = sorted(((-round(sum(x * vectors[e].get(f, 0) for f, x in vectors[i].items()), 6), e) for e in example))
+        want = [s for s, _ in near[:12] if s < 0]
+        scores = dict((e, s) for s, e in near)
+        assert [scores[e] for e in got[i].evidence] == want
+    assert got[1001].evidence[0] == 1000 and got[1002].evidence == []
+
+
 def test_unigram(docs, rows, empty):
     path = tokenizer("piece_bpe_32k.model")
     model = unigram.Unigram(unigram.zipf_scores(path))
