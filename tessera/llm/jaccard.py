@@ -110,23 +110,6 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(work, "node long, set binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, ok): whether the two nodes' sets are similar enough."""
-
-    def work(batches):
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
-                both = np.sort(np.concatenate([x, y]))
-                shared = int((both[1:] == both[:-1]).sum())
-                ok.append(den * shared >= num * (len(both) - shared))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
-
-    a, b = (sets.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(work, "a long, b long, ok boolean")
-
-
 def similar_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) per row of docs (doc_id, text).
 
@@ -134,14 +117,12 @@ def similar_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     runs of anything but ASCII white space, A-Z lower-cased. component_id is the smallest doc_id that links reach, the
     document's own included. A document of fewer words is one shingle; one without words or text has none and links
     with nothing. Rows with one doc_id are one document; a null doc_id gets its size and no component. n_links counts
-    the links verified on the way to the components, which is every link of a group of two, and at least one for each
-    document of a larger group; copies are linked through their smallest doc_id. Extra columns are left alone, an empty
-    table gives no rows.
-
-    Copies, however many, are collapsed by digest before anything else. Of the sets that share a signature all are
-    verified against the smallest doc_id. Where some then still lie in different components, the sets go to blocks of
-    like size, and a task counts what two blocks share, set against set; of the links found it passes on those that join
-    components. So no link that would join two is missed, and pairs are never rows.
+    the other distinct sets that a document's set links with; copies are folded, so each has the links of their set.
+    Extra columns are left alone, an empty table gives no rows.
+
+    Copies, however many, are collapsed by digest before anything else. The sets that share a signature with others go to
+    blocks of like size, and a task counts what two blocks share, set against set; it passes on each set's number of
+    links, and of the links those that join components. So every link is counted, and pairs are never rows.
     """
     n_parts = partitions(docs, 8 << 20)
     info = keep(profiles(docs, width))
@@ -166,29 +147,14 @@ def similar_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     posted = exchange.post(docs, n_parts, KINDS, "sig", postings, per_task=set)
     members = keep(_shared(posted, n_parts))
     to_node = info.select(F.col("doc_id").alias("doc"), "node")
-    pairs = members.select("leader", "doc").distinct()
-    pairs = pairs.join(to_node, "doc").select(F.col("leader").alias("doc"), F.col("node").alias("b")).distinct().join(to_node, "doc").select(F.col("node").alias("a"), "b")
-    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    def fitting(p: DataFrame) -> DataFrame:
-        p = p.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
-        return p.where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")).select("a", "b")
-
-    pairs = keep(fitting(pairs))
-    wanted = members.join(to_node, "doc").select(F.col("node").alias("doc_id")).distinct()
-    sets = keep(_sets(_slim(docs).join(wanted, "doc_id", "left_semi"), width))
-    checked = keep(_verified(pairs, sets, num, den))
-    links = checked.where("ok").select("a", "b")
-    found = components(links)
-
-    grouped = members.join(to_node, "doc").select("gid", "node").distinct().join(found, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("component"))
-    grouped = keep(grouped)
-    split = grouped.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gid")
-    more = keep(_across(keep(grouped.join(split, "gid")), nodes, sets, num, den))
-    links = links.union(more)
-    if not more.isEmpty():
-        found = components(links)
-    ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
+    grouped = members.join(to_node, "doc").select("gid", "node").distinct()
+    several = grouped.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1").select("gid")
+    grouped = keep(grouped.join(several, "gid"))
+    wanted = grouped.select(F.col("node").alias("doc_id")).distinct()
+    sets = keep(_sets(_slim(docs).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width))
+    met = keep(_met(grouped, nodes, sets, num, den))
+    found = components(met.where("n IS NULL").select("a", "b").distinct())
+    ends = met.where("n IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     out = info.join(found, "node", "left").join(ends, "node", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     nulls = docs.where(F.col("doc_id").isNull()).select(F.lit(-1).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -196,29 +162,28 @@ def similar_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     return out.unionByName(sized)
 
 
-def _across(mixed: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den: int, block_shingles: int = 200_000) -> DataFrame:
-    """(a, b): links between nodes of different components that share a group, enough of them to join what links join.
+def _met(grouped: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den: int, block_shingles: int = 200_000) -> DataFrame:
+    """(a, b, n): n null, links a - b that join what links join; b null, n links that node a has in a pair of blocks.
 
-    mixed: (gid, node, component) of groups over several components. Their sets are written in blocks by size; the
-    blocks that hold nodes of one group, and sizes near enough, meet in a task that reads both.
+    grouped: (gid, node). The sets are written in blocks by size; the blocks that hold nodes of one group, and sizes near
+    enough, meet in a task that reads both. A node is in one block, so a pair of nodes is counted once.
     """
-    spark, folder = mixed.sparkSession, scratch(mixed.sparkSession)
-    wanted = mixed.select("node", "component").distinct().join(nodes, "node")
+    spark, folder = grouped.sparkSession, scratch(grouped.sparkSession)
+    wanted = grouped.select("node").distinct().join(nodes, "node")
     total = wanted.agg(F.sum("n")).first()[0] or 0
     n_blocks = max(1, -(-total // block_shingles))
 
     def write(batches):
-        ids, labels, data, n = [], [], [], []
+        ids, data, n = [], [], []
         for b in batches:
             ids += b.column(0).to_pylist()
-            labels += b.column(1).to_pylist()
-            data += [x.as_buffer().to_pybytes() for x in b.column(2)]
+            data += [x.as_buffer().to_pybytes() for x in b.column(1)]
         if ids:
             n = [len(x) // 8 for x in data]
             task = TaskContext.get()
             name, mark = f"{folder}/block-{task.partitionId():06d}.arrow", f".{task.taskAttemptId()}.tmp"
             store, path, sink = open_file(name + mark, True)
-            batch = pa.record_batch({"node": pa.array(ids, pa.int64()), "component": pa.array(labels, pa.int64()), "set": pa.array(data, pa.large_binary())})
+            batch = pa.record_batch({"node": pa.array(ids, pa.int64()), "set": pa.array(data, pa.large_binary())})
             with pa.ipc.new_stream(sink, batch.schema) as out:
                 out.write_batch(batch)
             sink.close()
@@ -227,47 +192,53 @@ def _across(mixed: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den:
             yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()] * k, pa.int64()), pa.array([name] * k), pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["block", "path", "node", "n"])
 
     # ranges of sizes, however many the session makes of them, are merged to the blocks wanted: few blocks hold a group
-    sized = wanted.join(sets, "node").repartitionByRange(n_blocks, "n", "node").coalesce(n_blocks).select("node", "component", "set")
+    sized = wanted.join(sets, "node").repartitionByRange(n_blocks, "n", "node").coalesce(n_blocks).select("node", "set")
     placed = keep(sized.mapInArrow(write, "block long, path string, node long, n long"))
     blocks = placed.groupBy("block", "path").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    held = mixed.join(placed.select("node", "block"), "node").select("gid", "block").distinct()
+    held = grouped.join(placed.select("node", "block"), "node").select("gid", "block").distinct()
     meet = held.select("gid", F.col("block").alias("i")).join(held.select("gid", F.col("block").alias("j")), "gid").where("i <= j").select("i", "j").distinct()
     meet = meet.join(blocks.select(F.col("block").alias("i"), F.col("path").alias("path_i"), F.col("high").alias("high_i")), "i").join(blocks.select(F.col("block").alias("j"), F.col("path").alias("path_j"), F.col("low").alias("low_j")), "j")
     meet = meet.where(num * F.col("low_j") <= den * F.col("high_i")).select("path_i", "path_j")
 
     def read(path):
         b = pa.ipc.open_stream(open_file(path, False)[2]).read_next_batch()
-        return b.column(0).to_numpy(), b.column(1).to_numpy(), [np.frombuffer(x.as_buffer(), "<u8") for x in b.column(2)]
+        return b.column(0).to_numpy(), [np.frombuffer(x.as_buffer(), "<u8") for x in b.column(1)]
 
     def work(batches):
         for b in batches:
             for path_i, path_j in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                node_i, label_i, sets_i = read(path_i)
-                node_j, label_j, sets_j = (node_i, label_i, sets_i) if path_i == path_j else read(path_j)
+                same = path_i == path_j
+                node_i, sets_i = read(path_i)
+                node_j, sets_j = (node_i, sets_i) if same else read(path_j)
                 n_i, n_j = np.array([len(s) for s in sets_i]), np.array([len(s) for s in sets_j])
-                root: dict[int, int] = {}
-
-                def top(x, root=root):
-                    while root.get(x, x) != x:
-                        x = root[x]
-                    return x
-
+                label = np.arange(len(sets_j) + (0 if same else len(sets_i)))
+                off = 0 if same else len(sets_j)
+                links_i, links_j = np.zeros(len(sets_i), np.int64), np.zeros(len(sets_j), np.int64)
                 a_out, b_out = [], []
                 for at in range(0, len(sets_i), 512):
                     part = slice(at, at + 512)
                     shared = common_counts(sets_i[part], sets_j)
                     similar = den * shared >= num * (n_i[part, None] + n_j[None] - shared)
-                    similar &= label_i[part, None] != label_j[None]
-                    for x, y in zip(*np.nonzero(similar), strict=True):
-                        u, v = top(int(label_i[at + x])), top(int(label_j[y]))
-                        if u != v:
-                            root[u] = v
-                            a_out.append(int(node_i[at + x]))
-                            b_out.append(int(node_j[y]))
-                yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
-
-    found = meet.repartition(max(n_blocks, 1), "path_i", "path_j").mapInArrow(work, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+                    if same:
+                        similar[np.arange(len(similar)), at + np.arange(len(similar))] = False
+                    links_i[part] = similar.sum(1)
+                    if not same:
+                        links_j += similar.sum(0)
+                    for x in np.flatnonzero(links_i[part]).tolist():
+                        others = np.flatnonzero(similar[x])
+                        own = label[off + at + x]
+                        roots, first = np.unique(label[others], return_index=True)
+                        first = first[roots != own]
+                        if len(first):
+                            label[np.isin(label, roots)] = own
+                            a_out += [int(node_i[at + x])] * len(first)
+                            b_out += node_j[others[first]].tolist()
+                ends = [(node_i, links_i), (node_j, links_j)]
+                counted, links = (np.concatenate([e[i][e[1] > 0] for e in ends]) for i in (0, 1))
+                k, m = len(a_out), len(counted)
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.array(a_out, np.int64), counted], pa.int64()), pa.array(b_out + [None] * m, pa.int64()), pa.array([None] * k + links.tolist(), pa.int64())], names=["a", "b", "n"])
+
+    return meet.repartition(max(n_blocks, 1), "path_i", "path_j").mapInArrow(work, "a long, b long, n long")
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray], heavy: int = 2048) -> np.ndarray:
@@ -309,7 +280,7 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray], heavy: int =
 
 
 def _shared(posted: DataFrame, n_parts: int) -> DataFrame:
-    """(gid, leader, doc): the distinct lists of documents that share a signature, leader their smallest doc_id."""
+    """(gid, doc): the distinct lists of documents that share a signature."""
 
     def work(batches):
         by: dict[int, list] = {}
@@ -337,6 +308,6 @@ def _shared(posted: DataFrame, n_parts: int) -> DataFrame:
             at = heads[group] + np.arange(len(group)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             for a in range(0, len(at), 500_000):
                 g, x = group[a : a + 500_000], at[a : a + 500_000]
-                yield pa.RecordBatch.from_arrays([pa.array(gid.view(np.int64)[g]), pa.array(doc[heads[g]]), pa.array(doc[x])], names=["gid", "leader", "doc"])
+                yield pa.RecordBatch.from_arrays([pa.array(gid.view(np.int64)[g]), pa.array(doc[x])], names=["gid", "doc"])
 
-    return posted.repartitionById(n_parts, F.col("bucket")).mapInArrow(work, "gid long, leader long, doc long")
+    return posted.repartitionById(n_parts, F.col("bucket")).mapInArrow(work, "gid long, doc long")

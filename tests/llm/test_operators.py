@@ -100,6 +100,22 @@ def test_jaccard_random(spark):
         assert got == linked(word_sets(rows, 3), num, den)
 
 
+def test_jaccard_links(spark):
+    """n_links has every link between different sets, those inside a component too."""
+    rows = []
+    for i in range(120):
+        words = [f"g{i % 10}w{k}" for k in range(40)]
+        words[(i // 10) % 6 * 6] = f"x{i // 10 % 6}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = word_sets(rows, 2)
+    for num, den in ((4, 5), (9, 10)):
+        got = {r.doc_id: r.n_links for r in jaccard.similar_groups(df, 2, num, den).collect()}
+        distinct = {frozenset(s) for s in sets.values()}
+        assert got == {i: sum(s != o and den * len(s & o) >= num * len(s | o) for o in distinct) for i, s in sets.items()}
+        assert num == 9 or max(got.values()) > 2
+
+
 def test_common_counts():
     rng = np.random.default_rng(4)
     for heavy in (0, 3, 10**9):
