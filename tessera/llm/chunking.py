@@ -60,12 +60,12 @@ def cuts(data: np.ndarray, offsets: np.ndarray, least: int, bits: int, most: int
     return np.array(starts, np.int64), np.array(ends, np.int64)
 
 
-def remove_chunks(docs: DataFrame, least: int = 32, bits: int = 5, most: int = 256) -> DataFrame:
+def remove_chunks(docs: DataFrame, least: int = 32, bits: int = 5, most: int = 256, compared: int = 32) -> DataFrame:
     """KEPT per row of docs (doc_id, text): what is left without the chunks that a smaller doc_id holds too.
 
-    A chunk of `least` bytes or more goes if a document with a smaller doc_id has one with the same 128-bit digest.
-    Since cuts depend on the bytes before them alone, an insertion moves the cuts near it and no others. Shorter
-    chunks, at the ends of texts, stay. Null texts are empty; rows with a null doc_id take no part and are kept
+    A chunk of `compared` bytes or more goes if a document with a smaller doc_id has one of the same length and
+    128-bit digest. Since cuts depend on the bytes before them alone, an insertion moves the cuts near it and no others.
+    Chunks under `least` bytes, all of them at the ends of texts, are compared if `compared` lets them. Null texts are empty; rows with a null doc_id take no part and are kept
     whole; rows that share a doc_id count as one document; other columns are left alone; an empty table gives none.
     """
     n = partitions(docs, 8 << 20)
@@ -73,7 +73,7 @@ def remove_chunks(docs: DataFrame, least: int = 32, bits: int = 5, most: int = 2
 
     def postings(data, offsets, ids):
         starts, ends = cuts(data, offsets, least, bits, most)
-        whole = ends - starts >= least
+        whole = ends - starts >= compared
         starts, ends = starts[whole], ends[whole]
         view = memoryview(data.tobytes())
         digests = b"".join([hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
@@ -82,9 +82,9 @@ def remove_chunks(docs: DataFrame, least: int = 32, bits: int = 5, most: int = 2
         yield {"hash": two[:, 0], "low": two[:, 1], "doc": ids[j], "pos": starts - offsets[j], "length": ends - starts}
 
     def judge(c: exchange.Columns):
-        order = np.lexsort((c["doc"], c["low"], c["hash"]))
-        h, low, doc = c["hash"][order], c["low"][order], c["doc"][order]
-        fresh = np.r_[True, (h[1:] != h[:-1]) | (low[1:] != low[:-1])][: len(h)]
+        order = np.lexsort((c["doc"], c["length"], c["low"], c["hash"]))
+        h, low, size, doc = c["hash"][order], c["low"][order], c["length"][order], c["doc"][order]
+        fresh = np.r_[True, (h[1:] != h[:-1]) | (low[1:] != low[:-1]) | (size[1:] != size[:-1])][: len(h)]
         gone = doc > doc[fresh][np.cumsum(fresh) - 1] if len(h) else np.zeros(0, bool)
         out = {"doc": doc[gone], "pos": c["pos"][order][gone], "length": c["length"][order][gone]}
         return out, exchange.cells(out["doc"], n_cells)

@@ -46,7 +46,7 @@ def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_content_defined_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _digest(chunking.remove_chunks(table(spark, sf_dir, "documents")))
+    return _digest(chunking.remove_chunks(table(spark, sf_dir, "documents"), compared=1))
 
 
 def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,6 +191,18 @@ def test_chunks(docs, rows):
     assert {r.doc_id: (bytes(r.kept), len(r.spans)) for r in got if r.doc_id is not None} == removed(list(plain.items()), chunks)
 
 
+def test_short_chunks(spark, tmp_path):
+    """The query compares short last chunks too: later copies of any text keep nothing."""
+    from tessera.llm.queries import op6_content_defined_chunks
+
+    long = prose(random.Random(2), 60)
+    rows = [(1, "short"), (2, "short"), (3, long), (4, long), (5, "x" * 256 + "tail"), (6, "y" * 256 + "tail"), (7, ""), (8, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in op6_content_defined_chunks(spark, str(tmp_path)).collect()}
+    n = len(long.encode())
+    assert got == {1: (5, 0), 2: (5, 5), 3: (n, 0), 4: (n, n), 5: (260, 0), 6: (260, 4), 7: (0, 0), 8: (0, 0)}
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoder(name, rows):
     from tokenizers import Tokenizer
