@@ -1,7 +1,9 @@
 """Postings of documents dealt to buckets and verdicts dealt back to cells of documents, as packed columns.
 
 A bucket is a range of a hash, a cell a hash class of doc_id; both grow in number with the data, so each fits a task.
-Packed columns cost the shuffle a row a (task, bucket) instead of a row a posting.
+Packed columns cost the shuffle a row a (task, bucket) instead of a row a posting. What a task can already settle among
+its own postings it folds: of equal things in many documents it posts those of its smallest doc_id, and sends its
+verdicts on the others along. So a thing that a third of all documents hold arrives as a few postings a task.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import cell, cell_of, mix64, text_bytes
+from tessera.llm.shared import cell, cell_of, mix64, text_bytes, trimmed
 
 Columns = dict[str, np.ndarray]
 
@@ -49,11 +51,23 @@ def schema_of(key: str, kinds: dict[str, str]) -> str:
     return f"{key} int, " + ", ".join(f"{k} binary" for k in kinds)
 
 
-def post(docs: DataFrame, n: int, kinds: dict[str, str], hash_name: str, postings: Callable, most: int = 800_000, per_task: Callable | None = None) -> DataFrame:
+def joined(parts: list[Columns], kinds: dict[str, str]) -> Columns:
+    """Columns of several parts, end to end."""
+    return {k: np.concatenate([np.zeros(0, kind), *(p[k] for p in parts)]).astype(kind, copy=False) for k, kind in kinds.items()}
+
+
+def _sure(kinds: dict[str, str]) -> dict[str, str]:
+    return {f"sure_{k}": v for k, v in kinds.items()}
+
+
+def post(docs: DataFrame, n: int, kinds: dict[str, str], hash_name: str, postings: Callable, most: int = 800_000, per_task: Callable | None = None, fold: Callable[[Columns], tuple[Columns, Columns]] | None = None, verdicts: dict[str, str] | None = None) -> DataFrame:
     """(bucket, packed columns): what postings(bytes, offsets, doc_ids) yields for the texts, dealt by column hash_name.
 
-    With per_task, postings is what makes that function from a per_task() of each task's own.
+    With per_task, postings is what makes that function from a per_task() of each task's own. fold(postings) gives the
+    postings that are left to settle and the verdicts that are sure already; those ride along to settle(), spread over
+    the buckets by doc_id.
     """
+    sure = _sure(verdicts) if fold else {}
 
     def work(batches):
         each = postings(per_task()) if per_task else postings
@@ -62,7 +76,18 @@ def post(docs: DataFrame, n: int, kinds: dict[str, str], hash_name: str, posting
 
         def flush():
             columns = {k: np.concatenate([h[k] for h in held]) for k in kinds}
-            return dealt(columns, bucket_of(columns[hash_name], n), "bucket", kinds)
+            if not fold:
+                yield dealt(columns, bucket_of(columns[hash_name], n), "bucket", kinds)
+                return
+            columns, found = fold(columns)
+            if len(found["doc"]):
+                columns |= {f"sure_{k}": found[k] for k in verdicts}
+            for names, to in ((kinds, columns[hash_name]), (sure, found["doc"])):
+                if len(to):
+                    part = dealt(columns, bucket_of(to.astype(np.int64).view(np.uint64) if names is sure else to, n), "bucket", names)
+                    empty = pa.nulls(part.num_rows, pa.binary())
+                    arrays = [part.column(part.schema.get_field_index(k)) if k in names else empty for k in (*kinds, *sure)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=["bucket", *kinds, *sure])
 
         for b in batches:
             for part in slices(b):
@@ -71,13 +96,13 @@ def post(docs: DataFrame, n: int, kinds: dict[str, str], hash_name: str, posting
                     held.append(columns)
                     size += len(columns[hash_name])
                     if size >= most:
-                        yield flush()
+                        yield from flush()
                         held, size = [], 0
         if size:
-            yield flush()
+            yield from flush()
 
     slim = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(work, schema_of("bucket", kinds))
+    return slim.mapInArrow(trimmed(work), schema_of("bucket", kinds | sure))
 
 
 def slices(batch: pa.RecordBatch, bytes_each: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -93,8 +118,10 @@ def slices(batch: pa.RecordBatch, bytes_each: int = 4 << 20) -> Iterator[pa.Reco
             yield batch.slice(a, b - a)
 
 
-def settle(posted: DataFrame, n: int, kinds: dict[str, str], judge: Callable[[Columns], tuple[Columns, np.ndarray] | None], out: dict[str, str], key: str) -> DataFrame:
-    """(key, packed columns): judge(all postings of a bucket) gives columns and the key that each entry is dealt to."""
+def settle(posted: DataFrame, n: int, kinds: dict[str, str], judge: Callable[[Columns], Columns | None], out: dict[str, str], key: str, deal: Callable[[Columns], np.ndarray]) -> DataFrame:
+    """(key, packed columns): the verdicts judge(all postings of a bucket) and those that rode along, dealt by deal()."""
+    sure = _sure(out)
+    rode = set(sure) <= set(posted.columns)
 
     def work(batches):
         by: dict[int, list] = {}
@@ -102,17 +129,23 @@ def settle(posted: DataFrame, n: int, kinds: dict[str, str], judge: Callable[[Co
             for i, k in enumerate(b.column(0).to_pylist()):
                 by.setdefault(k, []).append(b.slice(i, 1))
         for parts in by.values():
-            found = judge(gathered(parts, kinds))
+            c = gathered(parts, kinds)
+            found = [judge(c) if len(c[next(iter(kinds))]) else None]
+            if rode:
+                came = gathered(parts, sure)
+                found.append({k: came[f"sure_{k}"] for k in out})
             parts.clear()
-            if found is not None and len(found[1]):
-                yield dealt(*found, key, out)
+            found = joined([f for f in found if f is not None], out)
+            if len(found[next(iter(out))]):
+                yield dealt(found, deal(found), key, out)
 
-    return posted.repartitionById(n, F.col("bucket")).mapInArrow(work, schema_of(key, out))
+    return posted.repartitionById(n, F.col("bucket")).mapInArrow(trimmed(work), schema_of(key, out))
 
 
-def meet(docs: DataFrame, verdicts: DataFrame, n: int, kinds: dict[str, str], work: Callable[[pa.Table, Columns], pa.Table], schema: str) -> DataFrame:
-    """work(documents of a cell, all verdicts of that cell) for each of n cells that has documents."""
-    celled = docs.select(cell(F.col("doc_id"), n).alias("cell"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def meet(docs: DataFrame, verdicts: DataFrame, n: int, kinds: dict[str, str], work: Callable[[pa.Table, Columns], pa.Table], schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """work(documents of a cell, all verdicts of that cell) for each of n cells that has documents; rows without doc_id
+    have no verdicts and are left out. Columns to carry come along as one, `carried`."""
+    celled = docs.where(F.col("doc_id").isNotNull()).select(cell(F.col("doc_id"), n).alias("cell"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
 
     def group(left: pa.Table, right: pa.Table) -> pa.Table:
         return work(left, gathered(right.to_batches(), kinds))

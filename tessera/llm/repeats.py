@@ -10,9 +10,12 @@ interval tree gives the maximal repeats with all their occurrences.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.llm import exchange
 from tessera.llm.shared import keep, mix64, partitions, text_bytes
@@ -23,6 +26,7 @@ STRIP = 1 << 20
 ANCHORS = {"hash": "<u8", "context": "<u8", "doc": "<i8", "pos": "<i4"}
 VERDICTS = {"doc": "<i8", "pos": "<i4", "mask": "<u4", "hash": "<u8"}
 KEPT = "doc_id long, kept binary, spans array<struct<start:long,end:long>>"
+CARRIED = ", kept_text string, carried "
 
 
 def _table(seed: int) -> np.ndarray:
@@ -42,23 +46,31 @@ def k_hashes(data: np.ndarray) -> np.ndarray:
     return mix64(h[: len(h) - 4] * np.uint64(f1) + h1[16 : 16 + len(h) - 4])
 
 
-class _Powers:
+@lru_cache(1)
+def _powers(n: int, base: int = 0xD6E8FEB86659FD93) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64, for hashes of any range from prefix sums."""
-
-    def __init__(self, n: int, base: int = 0xD6E8FEB86659FD93):
-        self.up = np.multiply.accumulate(np.full(n, base, np.uint64))
-        self.down = np.multiply.accumulate(np.full(n, pow(base, -1, 2**64), np.uint64))
+    return tuple(np.multiply.accumulate(np.full(n, x, np.uint64)) for x in (base, pow(base, -1, 2**64)))
 
 
-_powers: list[_Powers] = []
+def window_hashes(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the `width` bytes at each of the starts, which rise; strip after strip, so tables stay small."""
+    out, table = np.empty(len(starts), np.uint64), _table(3)
+    up, down = _powers(STRIP + 2 * 4096)
+    for at in range(0, len(data), STRIP):
+        a, b = np.searchsorted(starts, [at, at + STRIP])
+        if b > a:
+            part = data[at : at + STRIP + width]
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[part] * up[: len(part)])])
+            here = starts[a:b] - at
+            out[a:b] = mix64((sums[here + width] - sums[here]) * down[here])
+    return out
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, doc_ids: np.ndarray, least: int):
     """Columns of ANCHORS for the texts, strip after strip, so memory is bounded however long a text is."""
     side, span, n = least - K, least - K + 1, len(data)
-    if not _powers:
-        _powers.append(_Powers(STRIP + 2 * 4096))
-    powers, table, last = _powers[0], _table(2), -1
+    up, down = _powers(STRIP + 2 * 4096)
+    table, last = _table(2), -1
     for at in range(0, n, STRIP):
         lo, hi = max(0, at - side), min(n, at + STRIP + least + side)
         part = data[lo:hi]
@@ -85,29 +97,38 @@ def anchors(data: np.ndarray, offsets: np.ndarray, doc_ids: np.ndarray, least: i
         last = int(p[-1]) + lo
         j = np.searchsorted(offsets, p + lo, "right") - 1
         left, right = np.maximum(offsets[j] - lo, p - side), np.minimum(offsets[j + 1] - lo, p + least)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[part] * powers.up[: len(part)])])
-        context = mix64((sums[right] - sums[left]) * powers.down[left] + ((p - left) * 4096 + right - p).astype(np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[part] * up[: len(part)])])
+        context = mix64((sums[right] - sums[left]) * down[left] + ((p - left) * 4096 + right - p).astype(np.uint64))
         yield {"hash": hashed[p], "context": context, "doc": doc_ids[j], "pos": p + lo - offsets[j]}
 
 
-def first_holders(c: exchange.Columns, n_cells: int, full: int):
+def _by_context(c: exchange.Columns) -> tuple[exchange.Columns, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors in order of hash, context and doc_id: where a hash begins, where a context begins, the first holder."""
+    order = np.lexsort((c["doc"], c["context"], c["hash"]))
+    c = {k: v[order] for k, v in c.items()}
+    new_h = np.r_[True, c["hash"][1:] != c["hash"][:-1]]
+    new_c = new_h | np.r_[True, c["context"][1:] != c["context"][:-1]]
+    return c, new_h, new_c, c["doc"][new_c][np.cumsum(new_c) - 1]
+
+
+def fold(c: exchange.Columns, full: int) -> tuple[exchange.Columns, exchange.Columns]:
+    """A task's own anchors: those of each context's first holder among them, and verdicts on the other documents'."""
+    c, _, _, holder = _by_context(c)
+    gone = c["doc"] > holder
+    sure = {k: c[k][gone] for k in ("doc", "pos", "hash")}
+    return {k: v[~gone] for k, v in c.items()}, sure | {"mask": np.full(gone.sum(), full, np.uint32)}
+
+
+def first_holders(c: exchange.Columns, full: int) -> exchange.Columns:
     """Verdicts on a bucket's anchors: mask full where an equal context has a smaller doc_id; mask 0 where that is to be
     looked into, because another document has the anchor in another context."""
-    if not len(c["hash"]):
-        return None
-    order = np.lexsort((c["doc"], c["context"], c["hash"]))
-    h, ctx, doc, pos = (c[k][order] for k in ("hash", "context", "doc", "pos"))
-    new_h = np.r_[True, h[1:] != h[:-1]]
-    new_c = new_h | np.r_[True, ctx[1:] != ctx[:-1]]
-    at_h = np.flatnonzero(new_h)
-    group = np.cumsum(new_h) - 1
-    holder = doc[new_c][np.cumsum(new_c) - 1]
+    c, new_h, new_c, holder = _by_context(c)
+    doc, at_h, group = c["doc"], np.flatnonzero(new_h), np.cumsum(new_h) - 1
     across = np.minimum.reduceat(doc, at_h) != np.maximum.reduceat(doc, at_h)
     several = np.add.reduceat(new_c.astype(np.int64), at_h) > 1
     gone, open_ = doc > holder, (doc == holder) & (across & several)[group]
     take = gone | open_
-    out = {"doc": doc[take], "pos": pos[take], "mask": np.where(gone[take], full, 0), "hash": h[take]}
-    return out, exchange.cells(out["doc"], n_cells)
+    return {"doc": doc[take], "pos": c["pos"][take], "mask": np.where(gone[take], full, 0), "hash": c["hash"][take]}
 
 
 CONTEXTS = {"hash": "<u8", "doc": "<i8", "pos": "<i4", "left": "u1", "right": "u1", "bytes": "u1"}
@@ -124,9 +145,8 @@ def repeated_windows(c: exchange.Columns, least: int):
     owner = np.repeat(np.arange(n), per)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
     # strings whose hash nothing shares can't repeat, and aren't sorted
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_table(3)[data] * _wide(len(data)).up[: len(data)])])
     start = offsets[owner] + place
-    value = mix64((sums[start + least] - sums[start]) * _wide(len(data)).down[start])
+    value = window_hashes(data, start, least)
     ranked = np.sort(value)
     twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
     if not len(twice):
@@ -156,22 +176,17 @@ def repeated_windows(c: exchange.Columns, least: int):
     return {"doc": c["doc"][some], "pos": c["pos"][some], "mask": masks[some] & np.uint64(2 ** (side + 1) - 1), "hash": c["hash"][some]}
 
 
-def _wide(n: int) -> _Powers:
-    if len(_powers[0].up) < n if _powers else True:
-        _powers[:] = [_Powers(max(n, STRIP + 2 * 4096))]
-    return _powers[0]
-
-
 def cut(table: pa.Table, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
-    """KEPT for the documents of table, without the bytes of the intervals [start, end) of their doc."""
-    docs = table.column("doc_id").to_numpy(zero_copy_only=False) if not table.column("doc_id").null_count else np.array([-(2**63) if x is None else x for x in table.column("doc_id").to_pylist()], np.int64)
+    """KEPT for the documents of table, without the bytes of the intervals [start, end) of their doc; with a column
+    carried, also that and the whole letters of what is left."""
+    docs = table.column("doc_id").to_numpy()
     by = np.argsort(doc, kind="stable")
     doc, start, end = doc[by], start[by], end[by]
     a, b = np.searchsorted(doc, docs, "left"), np.searchsorted(doc, docs, "right")
     kept, spans = [], []
     for i, text in enumerate(table.column("text")):
         whole = text.as_buffer().to_pybytes() if text.is_valid else b""
-        if a[i] == b[i] or docs[i] == -(2**63):
+        if a[i] == b[i]:
             kept.append(whole)
             spans.append([])
             continue
@@ -183,29 +198,34 @@ def cut(table: pa.Table, doc: np.ndarray, start: np.ndarray, end: np.ndarray) ->
         edges = np.flatnonzero(np.diff(np.r_[False, gone, False]))
         spans.append([{"start": x, "end": y} for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    return pa.table({"doc_id": table.column("doc_id").combine_chunks(), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, kind)})
+    out = pa.table({"doc_id": table.column("doc_id").combine_chunks(), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, kind)})
+    if "carried" in table.column_names:
+        out = out.append_column("kept_text", pa.array([k.decode(errors="ignore") for k in kept], pa.string())).append_column("carried", table.column("carried"))
+    return out
 
 
-def remove_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
     """KEPT per row of docs (doc_id, text): the bytes left, and the maximal removed runs [start, end) of the text's bytes.
 
     A byte goes if it is covered by a string of `least` bytes (K + 1 to 51) that also starts in a document with a
     smaller doc_id; strings are judged on the whole input. Null texts are empty. Rows with a null doc_id take no part
     and are kept whole. Rows that share a doc_id count as one document: what goes, goes from each. Other columns, of
     any name, are left alone, and an empty table gives no rows. Text is never decoded or cut; the order of rows,
-    their partitions and equal texts make no difference.
+    their partitions and equal texts make no difference. With columns to carry, the result has those of each row as
+    `carried`, and as `kept_text` what is left of whole letters: a letter cut by a run's edge goes with it.
     """
     assert K < least <= K + 31
     side, n = least - K, partitions(docs, 8 << 20)
     n_cells, full = 4 * n, 2 ** (side + 1) - 1
-    posted = exchange.post(docs, n, ANCHORS, "hash", lambda data, offsets, ids: anchors(data, offsets, ids, least))
-    sure = keep(exchange.settle(posted, n, ANCHORS, lambda c: first_holders(c, n_cells, full), VERDICTS, "cell"))
+    to_cell = lambda found: exchange.cells(found["doc"], n_cells)
+    posted = exchange.post(docs, n, ANCHORS, "hash", lambda data, offsets, ids: anchors(data, offsets, ids, least), fold=lambda c: fold(c, full), verdicts=VERDICTS)
+    sure = keep(exchange.settle(posted, n, ANCHORS, lambda c: first_holders(c, full), VERDICTS, "cell", to_cell))
 
     def contexts(table: pa.Table, c: exchange.Columns) -> pa.Table:
         open_ = c["mask"] == 0
         doc, pos, hashed = c["doc"][open_], c["pos"][open_].astype(np.int64), c["hash"][open_]
         data, offsets = text_bytes(table.column("text"))
-        ids = table.column("doc_id").fill_null(-(2**63)).to_numpy()
+        ids = table.column("doc_id").to_numpy()
         by = np.argsort(ids, kind="stable")
         row = np.searchsorted(ids[by], doc)
         row = by[np.minimum(row, max(len(by) - 1, 0))] if len(by) else np.zeros(0, int)
@@ -227,12 +247,7 @@ def remove_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
         return pa.Table.from_batches([batch]).append_column("bytes", pa.array([taken[a:b] for a, b in zip(bounds, bounds[1:])], pa.binary()))
 
     fetched = exchange.meet(docs, sure, n_cells, VERDICTS, contexts, exchange.schema_of("bucket", CONTEXTS))
-
-    def judge(c: exchange.Columns):
-        found = repeated_windows(c, least)
-        return found and (found, exchange.cells(found["doc"], n_cells))
-
-    searched = keep(exchange.settle(fetched, n, CONTEXTS, judge, VERDICTS, "cell"))
+    searched = keep(exchange.settle(fetched, n, CONTEXTS, lambda c: repeated_windows(c, least), VERDICTS, "cell", to_cell))
 
     def finish(table: pa.Table, c: exchange.Columns) -> pa.Table:
         whole = c["mask"] == full
@@ -245,4 +260,17 @@ def remove_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
             end.append(start[-1] + least)
         return cut(table, *(np.concatenate(x) for x in (doc, start, end)))
 
-    return exchange.meet(docs, sure.unionByName(searched), n_cells, VERDICTS, finish, KEPT)
+    return with_unnamed(docs, exchange.meet(docs, sure.unionByName(searched), n_cells, VERDICTS, finish, carried(docs, carry), carry), carry)
+
+
+def carried(docs: DataFrame, carry: tuple[str, ...]) -> str:
+    """KEPT, with the columns that the result carries."""
+    return KEPT + (CARRIED + docs.select(F.struct(*carry)).schema[0].dataType.simpleString() if carry else "")
+
+
+def with_unnamed(docs: DataFrame, out: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """out, and the rows of docs without doc_id, whole: they are read where they lie, not dealt to one place."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    nothing = [F.lit(None).cast("long").alias("doc_id"), text.cast("binary").alias("kept"), F.array().cast("array<struct<start:long,end:long>>").alias("spans")]
+    more = [text.alias("kept_text"), F.struct(*carry).alias("carried")] if carry else []
+    return out.unionByName(docs.where(F.col("doc_id").isNull()).select(*nothing, *more))

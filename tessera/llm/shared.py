@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,6 +62,69 @@ def discard(df: DataFrame) -> None:
     p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_resident: list = [None, None]
+
+
+def resident(key, make: Callable):
+    """What make() gave for key, kept between the tasks of a Python worker. A worker keeps one such thing: the next
+    key's takes its place, so what a stage needed is gone once another stage needs something."""
+    if _resident[0] != key:
+        _resident[:] = [None, None]
+        release()
+        _resident[:] = [key, make()]
+    return _resident[1]
+
+
+def release() -> None:
+    """Gives memory that nothing uses any more back to the machine, as far as its allocators let it."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def trimmed(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """work, with release() after its last batch: workers outlive tasks, their buffers shouldn't."""
+
+    @wraps(work)
+    def run(batches):
+        yield from work(batches)
+        release()
+
+    return run
+
+
+class Memo:
+    """What compute gives for a piece of text, as bytes, in two generations: what is asked for again outlives the rest. A generation has `most`
+    pieces of at most `longest` letters, so memory is bounded by some tens of MB."""
+
+    def __init__(self, compute, most: int, longest: int = 64):
+        self.compute, self.most, self.longest = compute, most, longest
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def __getitem__(self, piece: str) -> bytes:
+        found = self.young.get(piece)
+        if found is None:
+            found = self.old.get(piece)
+            if found is None:
+                found = self.compute(piece)
+            if len(piece) <= self.longest:
+                if len(self.young) >= self.most:
+                    self.old, self.young = self.young, {}
+                self.young[piece] = found
+        return found
+
+    def joined(self, pieces: list[str]) -> bytes:
+        """All pieces' bytes, one after the other."""
+        found = list(map(self.young.get, pieces))
+        if None in found:
+            found = [self[p] if x is None else x for p, x in zip(pieces, found, strict=True)]
+        return b"".join(found)
+
+
 def open_file(uri: str, write: bool):
     """A file of any store that pyarrow knows; local files are mapped, not read."""
     import pyarrow as pa
