@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm import exchange
-from tessera.llm.repeats import KEPT, cut
+from tessera.llm.repeats import KEPT, cut, with_unnamed
 from tessera.llm.shared import keep, mix64, partitions
 
 CHUNKS = {"hash": "<u8", "low": "<u8", "doc": "<i8", "pos": "<i4", "length": "<i4"}
@@ -65,8 +65,10 @@ def remove_chunks(docs: DataFrame, least: int = 32, bits: int = 5, most: int = 2
 
     A chunk of `compared` bytes or more goes if a document with a smaller doc_id has one of the same length and
     128-bit digest. Since cuts depend on the bytes before them alone, an insertion moves the cuts near it and no others.
-    Chunks under `least` bytes, all of them at the ends of texts, are compared if `compared` lets them. Null texts are empty; rows with a null doc_id take no part and are kept
-    whole; rows that share a doc_id count as one document; other columns are left alone; an empty table gives none.
+    Chunks under `least` bytes, all of them at the ends of texts, are compared if `compared` lets them. Null texts are
+    empty, and no text is too long: it is cut in strips. Rows with a null doc_id take no part and are kept whole; rows
+    that share a doc_id count as one document, so their equal chunks all stay or all go; other columns, of any name,
+    are left alone; an empty table gives none.
     """
     n = partitions(docs, 8 << 20)
     n_cells = 4 * n
@@ -81,18 +83,19 @@ def remove_chunks(docs: DataFrame, least: int = 32, bits: int = 5, most: int = 2
         j = np.searchsorted(offsets, starts, "right") - 1
         yield {"hash": two[:, 0], "low": two[:, 1], "doc": ids[j], "pos": starts - offsets[j], "length": ends - starts}
 
-    def judge(c: exchange.Columns):
+    def fold(c: exchange.Columns) -> tuple[exchange.Columns, exchange.Columns]:
         order = np.lexsort((c["doc"], c["length"], c["low"], c["hash"]))
-        h, low, size, doc = c["hash"][order], c["low"][order], c["length"][order], c["doc"][order]
-        fresh = np.r_[True, (h[1:] != h[:-1]) | (low[1:] != low[:-1]) | (size[1:] != size[:-1])][: len(h)]
-        gone = doc > doc[fresh][np.cumsum(fresh) - 1] if len(h) else np.zeros(0, bool)
-        out = {"doc": doc[gone], "pos": c["pos"][order][gone], "length": c["length"][order][gone]}
-        return out, exchange.cells(out["doc"], n_cells)
+        c = {k: v[order] for k, v in c.items()}
+        h, low, size, doc = c["hash"], c["low"], c["length"], c["doc"]
+        fresh = np.r_[True, (h[1:] != h[:-1]) | (low[1:] != low[:-1]) | (size[1:] != size[:-1])]
+        gone = doc > doc[fresh][np.cumsum(fresh) - 1]
+        return {k: v[~gone] for k, v in c.items()}, {k: c[k][gone] for k in VERDICTS}
 
-    gone = keep(exchange.settle(exchange.post(docs, n, CHUNKS, "hash", postings), n, CHUNKS, judge, VERDICTS, "cell"))
+    posted = exchange.post(docs, n, CHUNKS, "hash", postings, fold=fold, verdicts=VERDICTS)
+    gone = keep(exchange.settle(posted, n, CHUNKS, lambda c: fold(c)[1], VERDICTS, "cell", lambda found: exchange.cells(found["doc"], n_cells)))
 
     def finish(table: pa.Table, c: exchange.Columns) -> pa.Table:
         start = c["pos"].astype(np.int64)
         return cut(table, c["doc"], start, start + c["length"])
 
-    return exchange.meet(docs, gone, n_cells, VERDICTS, finish, KEPT)
+    return with_unnamed(docs, exchange.meet(docs, gone, n_cells, VERDICTS, finish, KEPT))
