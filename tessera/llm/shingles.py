@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 
@@ -15,18 +16,26 @@ _LOWER[65:91] += 32
 _VALUE = mix64(_LOWER.astype(np.uint64) + np.uint64(0x51ED)) | np.uint64(1)
 _BASE = 0xD6E8FEB86659FD93
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_powers: dict[str, np.ndarray] = {}
+STRIP = 1 << 18
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        n = max(n, 1 << 19)
-        _powers["up"] = np.multiply.accumulate(np.full(n, _BASE, np.uint64))
-        _powers["down"] = np.multiply.accumulate(np.full(n, pow(_BASE, -1, 2**64), np.uint64))
-    return _powers["up"], _powers["down"]
+@lru_cache(1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, for one strip."""
+    return tuple(np.multiply.accumulate(np.full(STRIP + 1, b, np.uint64)) for b in (_BASE, pow(_BASE, -1, 2**64)))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, strip: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+def _long_word(data: np.ndarray) -> int:
+    """The sum of a word's weighed bytes, strip after strip, if it is longer than one."""
+    up, _ = _powers()
+    total = 0
+    for at in range(0, len(data), STRIP):
+        part = data[at : at + STRIP]
+        total += int((_VALUE[part] * up[: len(part)]).sum(dtype=np.uint64)) * pow(_BASE, at, 2**64)
+    return total * pow(_BASE, -1, 2**64) % 2**64
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word of all texts, A-Z taken as lower case, and each text's number of words."""
     solid = ~_SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
@@ -36,9 +45,14 @@ def words(data: np.ndarray, offsets: np.ndarray, strip: int = 1 << 18) -> tuple[
     out, at = np.empty(len(starts), np.uint64), 0
     while at < len(starts):
         lo = int(starts[at])
-        to = max(at + 1, int(np.searchsorted(ends, lo + strip, "right")))
+        to = int(np.searchsorted(ends, lo + STRIP, "right"))
+        if to <= at:
+            n = int(ends[at]) - lo
+            out[at] = mix64(np.array([_long_word(data[lo : lo + n])], np.uint64) + np.uint64(n))[0]
+            at += 1
+            continue
         part = data[lo : int(ends[to - 1])]
-        up, down = _power(len(part) + 1)
+        up, down = _powers()
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[part] * up[: len(part)])])
         a, b = starts[at:to] - lo, ends[at:to] - lo
         out[at:to] = mix64((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -11,11 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import exchange
-from tessera.llm.shared import WORD
+from tessera.llm.shared import WORD, resident, trimmed
 
 MARK = "▁"
 _words = re.compile(WORD).findall
-_models: dict[str, "Unigram"] = {}
 
 
 def zipf_scores(path: str) -> dict[bytes, float]:
@@ -62,20 +63,43 @@ class Unigram:
     def count(self, words: list[bytes]) -> list[int]:
         """Tokens of each of the words, which are distinct and sorted.
 
-        Sorted words are their trie: a node, which is a prefix, belongs to the first word that has it. Level by level,
-        all nodes of a depth get their forward score from the nodes up to `longest` bytes above them; what stands at a
-        word's last node is its count. Words of more than `width` bytes are segmented one by one.
+        Sorted words are their trie: a node, which is a prefix, belongs to the first word that has it, and is scored once.
+        Words of like length are walked together, level by level; where these are few, one after the other.
         """
-        out = np.zeros(len(words), np.int64)
-        short = [i for i, w in enumerate(words) if 0 < len(w) <= self.width]
-        for i, w in enumerate(words):
-            if len(w) > self.width:
-                out[i] = self.one(w)
-        if not short:
-            return out.tolist()
-        n, lengths = len(short), np.array([len(words[i]) for i in short])
+        out, lengths, most = np.zeros(len(words), np.int64), np.array([len(w) for w in words], np.int64), self.width
+        left = np.flatnonzero(lengths)
+        while len(left):
+            now, left = left[lengths[left] <= most], left[lengths[left] > most]
+            if len(now) >= 32:
+                each = max(1, (1 << 22) // most)
+                for at in range(0, len(now), each):
+                    some = now[at : at + each]
+                    out[some] = self._levels([words[i] for i in some.tolist()])
+            elif len(now):
+                out[now] = self._walk([words[i] for i in now.tolist()])
+            most *= 4
+        return out.tolist()
+
+    def _walk(self, words: list[bytes]) -> list[int]:
+        """The trie depth first: what a word shares with the one before it stays on the stack of scores."""
+        score, tokens, before, out = array("d", [0.0]), array("q", [0]), b"", []
+        for word in words:
+            shared = len(os.path.commonprefix([before, word]))
+            del score[shared + 1 :], tokens[shared + 1 :]
+            for end in range(shared + 1, len(word) + 1):
+                best, fewest = max((score[a] + self.scores[word[a:end]], tokens[a] - 1) for a in range(max(0, end - self.longest), end) if word[a:end] in self.scores)
+                score.append(best)
+                tokens.append(fewest)
+            before = word
+            out.append(-tokens[-1])
+        return out
+
+    def _levels(self, words: list[bytes]) -> np.ndarray:
+        """The trie level by level: all nodes of a depth get their forward score from the nodes up to `longest` bytes above
+        them; what stands at a word's last node is its count."""
+        n, lengths = len(words), np.array([len(w) for w in words])
         deep = int(lengths.max())
-        letters = np.frombuffer(b"".join(words[i].ljust(deep, b"\0") for i in short), np.uint8).reshape(n, deep)
+        letters = np.frombuffer(b"".join(w.ljust(deep, b"\0") for w in words), np.uint8).reshape(n, deep)
         inside = np.arange(deep)[None] < lengths[:, None]
         same = np.zeros((n, deep), bool)
         same[1:] = np.logical_and.accumulate((letters[1:] == letters[:-1]) & inside[1:] & inside[:-1], 1)
@@ -104,22 +128,21 @@ class Unigram:
                 better = (total > best[hit]) | (total == best[hit]) & (parts < fewest[hit])
                 best[hit[better]], fewest[hit[better]] = total[better], parts[better]
             score[new, d], tokens[new, d] = best, fewest
-        out[short] = tokens[owner[rows, lengths], lengths]
-        return out.tolist()
+        return tokens[owner[rows, lengths], lengths]
 
 
-def count_tokens(docs: DataFrame, path: str, memo_words: int = 1_000_000) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, memo_words: int = 400_000) -> DataFrame:
     """(doc_id, n_pretokens, n_tokens) per row of docs (doc_id, text): tokens of the likeliest unigram segmentation.
 
     Pre-tokens are the runs of anything but ASCII white space in the whole text, each with the word mark before it.
     Distinct ones are segmented once a worker, which remembers memo_words of them at most. Null and empty texts have
-    none; a null doc_id stays null; equal rows are counted each; other columns are left alone; an empty table gives none.
+    none; a null doc_id stays null; equal rows are counted each; segmentations that tie in score have the fewer tokens;
+    texts and pre-tokens of any length go through the trie; other columns, of any name, are left alone; an empty table
+    gives none.
     """
 
     def work(batches):
-        if path not in _models:
-            _models[path] = Unigram(zipf_scores(path))
-        model = _models[path]
+        model = resident(("unigram", path), lambda: Unigram(zipf_scores(path)))
         memo = model.__dict__.setdefault("memo", {})
         for b in batches:
             for part in exchange.slices(b):
@@ -135,4 +158,4 @@ def count_tokens(docs: DataFrame, path: str, memo_words: int = 1_000_000) -> Dat
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(ws) for ws in words], pa.int64()), pa.array(n_tokens, pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(work, "doc_id long, n_pretokens long, n_tokens long")
+    return slim.mapInArrow(trimmed(work), "doc_id long, n_pretokens long, n_tokens long")
