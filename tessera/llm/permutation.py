@@ -11,8 +11,15 @@ from tessera.llm.vectors import search, sound
 
 def nearest_pivots(matrix: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     """Each vector's `length` nearest pivots, nearest first, ties to the earlier pivot."""
-    d = (pivots**2).sum(1)[None] - 2 * matrix @ pivots.T
-    return np.argsort(d, 1, kind="stable")[:, :length].astype(np.int32)
+    out, length = np.empty((len(matrix), min(length, len(pivots))), np.int32), min(length, len(pivots))
+    square = (pivots**2).sum(1)
+    for at in range(0, len(matrix), 1024):
+        d = square[None] - 2 * matrix[at : at + 1024] @ pivots.T
+        last = np.partition(d, length - 1, 1)[:, length - 1 : length]
+        for i, row in enumerate(d):
+            near = np.flatnonzero(row <= last[i])
+            out[at + i] = near[np.argsort(row[near], kind="stable")][:length]
+    return out
 
 
 def postings(orders: np.ndarray, n_pivots: int) -> dict[str, np.ndarray]:
@@ -22,24 +29,31 @@ def postings(orders: np.ndarray, n_pivots: int) -> dict[str, np.ndarray]:
     return {"starts": np.searchsorted(pivot[by], np.arange(n_pivots + 1)).astype(np.int64), "rows": (by // length).astype(np.int32), "ranks": (by % length).astype(np.int16)}
 
 
-def footrule(lists: dict[str, np.ndarray], order: np.ndarray, rows: int, length: int) -> np.ndarray:
-    """Each row's footrule distance to a query's pivot order; a pivot that one of the two lacks counts as ranked just past the end."""
-    out = np.full(rows, 2 * int((length - np.arange(len(order))).sum()), np.int32)
+def footrule(lists: dict[str, np.ndarray], order: np.ndarray, rows: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows in the lists of a query's pivots, and their footrule distances to its order; a pivot that one of the two
+    lacks counts as ranked just past the end. Rows in none of the lists are as far as rows can be."""
     starts, posted, ranks = lists["starts"], lists["rows"], lists["ranks"]
-    for place, p in enumerate(order.tolist()):
-        a, b = starts[p], starts[p + 1]
-        out[posted[a:b]] += np.abs(ranks[a:b] - np.int16(place)) + ranks[a:b] - np.int16(2 * length - place)
-    return out
+    spans = [slice(starts[p], starts[p + 1]) for p in order.tolist()]
+    at = np.concatenate([posted[s] for s in spans])
+    places = np.repeat(np.arange(len(order)), [s.stop - s.start for s in spans])
+    rank = np.concatenate([ranks[s] for s in spans]).astype(np.int64)
+    gain = 2 * length - rank - places - np.abs(rank - places)
+    near = np.bincount(at, gain, minlength=rows)
+    seen = np.flatnonzero(near)
+    return seen, 2 * int((length - np.arange(len(order))).sum()) - near[seen]
 
 
-def nearest(df: DataFrame, id_column: str, vector: str, is_query: Column, k: int = 10, n_pivots: int = 256, length: int = 64, rerank: float = 0.2, least: int = 256, sample: int = 4096, seed: int = 7) -> DataFrame:
+def nearest(df: DataFrame, id_column: str, vector: str, is_query: Column, k: int = 10, n_pivots: int = 2048, length: int = 64, rerank: float = 0.12, least: int = 256, sample: int = 8192, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score: for each query (is_query speaks of column id) its k nearest rows found, score Euclidean.
 
     Pivots are the n_pivots rows first in a seeded hash order of the ids, among at most `sample` read to the driver;
-    every row is indexed. In each block of the index the rows are ranked by footrule distance, and the nearest share
-    `rerank` (at least `least`, and all that tie with the last) are measured on the original vectors in double
-    precision. Null, empty and zero vectors and those with null or non-finite components take no part, nor do null
-    ids; fewer rows than k give all; rows with the query's own id are left out; an empty table gives no rows.
+    every row is indexed, by its `length` nearest pivots. In each block of the index the rows that share pivots with the
+    query are ranked by footrule distance, and the nearest, a share `rerank` of the block's rows at most (but at least
+    `least`, and all that tie with the last), are measured on the original vectors in double precision; where too few
+    share a pivot, all rows are. Null, empty and zero vectors and those with null or non-finite components take no part,
+    nor do null ids; fewer rows than k give all; ties go to the smaller vec_id; rows with the query's own id are left
+    out; rows that share a vec_id are rows of their own, as queries too; other columns, of any name, are left alone; an
+    empty table gives no rows.
     """
     vectors = sound(df, id_column, vector, zero=False)
     rows = vectors.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(min(sample, 4 * n_pivots)).collect()
@@ -62,8 +76,10 @@ def nearest(df: DataFrame, id_column: str, vector: str, is_query: Column, k: int
         at, rows, score = [], [], []
         p = of(matrix.shape[1])
         for i, order in enumerate(nearest_pivots(queries, p, length)):
-            far = footrule(payload, order, n, min(length, len(p)))
-            near = np.flatnonzero(far <= np.partition(far, take - 1)[take - 1])
+            seen, far = footrule(payload, order, n, len(order))
+            near = seen[far <= np.partition(far, take - 1)[take - 1]] if take < len(seen) else seen
+            if len(near) < min(n, least):
+                near = np.arange(n)
             d = np.sqrt(((matrix[near] - queries[i]) ** 2).sum(1))
             d[ids[near] == query_ids[i]] = np.inf
             best = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])

@@ -15,9 +15,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import keep
+from tessera.llm.shared import keep, trimmed
 
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "query_part int, dim int, place int, query_id long, vec_id long, score double"
 
 
 def sound(df: DataFrame, id_column: str, vector: str, zero: bool = True) -> DataFrame:
@@ -73,7 +73,7 @@ def search(vectors: DataFrame, is_query: Column, k: int, build, scan, nearest_fi
 
     scan(ids, payload, query_ids, query_matrix) gives arrays (query position, vec_id, score) with the k best of one
     index block at least. Every query block meets every index block in some task; a block holds block_rows or
-    query_rows vectors, and of a pair only k rows a query go on.
+    query_rows vectors, and of a pair only k rows a query go on. Query rows that share an id are queries of their own.
     """
     vectors = keep(vectors)
     n, n_queries = vectors.count(), vectors.where(is_query).count()
@@ -81,7 +81,7 @@ def search(vectors: DataFrame, is_query: Column, k: int, build, scan, nearest_fi
     index = blocks(vectors, parts, build)
     parts = max([0, *(r[0] for r in index.agg(F.max("part")).collect() if r[0] is not None)]) + 1
     asked = blocks(vectors.where(is_query), max(1, math.ceil(n_queries / query_rows)), lambda ids, m: {"m": m})
-    asked = asked.select("dim", F.col("ids").alias("query_ids"), F.col("payload").alias("query"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    asked = asked.select("dim", F.col("part").alias("query_part"), F.col("ids").alias("query_ids"), F.col("payload").alias("query"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     sign = 1 if nearest_first else -1
 
     def work(batches):
@@ -95,8 +95,9 @@ def search(vectors: DataFrame, is_query: Column, k: int, build, scan, nearest_fi
                 at, ids, score = at[order], ids[order], score[order]
                 place = np.arange(len(at)) - np.searchsorted(at, at)
                 at, ids, score = at[place < k], ids[place < k], score[place < k]
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[at], pa.int64()), pa.array(ids, pa.int64()), pa.array(score.astype(float), pa.float64())], names=["query_id", "vec_id", "score"])
+                whose = [pa.array(np.full(len(at), r[x]), pa.int32()) for x in ("query_part", "dim")]
+                yield pa.RecordBatch.from_arrays([*whose, pa.array(at, pa.int32()), pa.array(query_ids[at], pa.int64()), pa.array(ids, pa.int64()), pa.array(score.astype(float), pa.float64())], names=[c.split()[0] for c in FOUND.split(", ")])
 
-    found = index.join(asked, ["part", "dim"]).select("ids", "payload", "query_ids", "query").mapInArrow(work, FOUND)
-    best = Window.partitionBy("query_id").orderBy(F.col("score").asc() if nearest_first else F.col("score").desc(), "vec_id")
+    found = index.join(asked, ["part", "dim"]).select("ids", "payload", "query_ids", "query", "query_part", "dim").mapInArrow(trimmed(work), FOUND)
+    best = Window.partitionBy("query_id", "query_part", "dim", "place").orderBy(F.col("score").asc() if nearest_first else F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
