@@ -17,38 +17,54 @@ def sorted_lists(values: np.ndarray) -> dict[str, np.ndarray]:
     return {"m": values, "order": order, "depth": depth}
 
 
-def no_random_access(lists: dict[str, np.ndarray], queries: np.ndarray, k: int, first: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Shares of the lists after which bounds are drawn.
+DEPTHS = (1 / 8, 1 / 4, 1 / 2, 3 / 4, 13 / 16, 7 / 8, 29 / 32, 15 / 16, 1)
+
+
+class Reading:
+    """What was read of how many list entries, and how many rows were resolved."""
+
+    def __init__(self):
+        self.entries = self.of = self.resolved = self.queries = 0
+
+
+def no_random_access(lists: dict[str, np.ndarray], queries: np.ndarray, k: int, reading: Reading | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query position, row, score) with the k best inner products of each query at least, and all that tie with the last.
 
-    A component with positive weight is read from the top of its list, one with negative weight from the bottom. After
-    each round a row's score lies between what was read of it plus the least, and plus the most, that its unread
-    components can add: the list's last value and the value where reading stands. A query is done when its k-th lower
-    bound exceeds the upper bound of all but few rows; those are then resolved. Depth doubles from round to round;
-    reading all is the end. Products are of integers below 2**53, exact in double precision.
+    A component with positive weight is read from the top of its list, one with negative weight from the bottom, in slices;
+    each entry adds to what is known of its row. After a slice a row's score lies between what is known and the least, and
+    the most, that its unread components can add: the list's last value, and the value where reading stands. Rows whose
+    upper bound is below the k-th lower bound are out. Reading stops when so few rows are left that looking up their unread
+    components is less work; their scores are then resolved. Products are of integers below 2**53, exact in double
+    precision.
     """
-    values, depth = lists["m"].astype(float), lists["depth"]
-    rows, _ = values.shape
-    sorted_values = np.take_along_axis(values, lists["order"].astype(np.int64), 0)
-    k, out, left, read = min(k, rows), [], np.arange(len(queries)), min(first, rows)
-    low, high = sorted_values[-1], sorted_values[0]
-    while len(left):
-        q = queries[left].astype(float)
-        plus, minus = np.maximum(q, 0).T, np.minimum(q, 0).T
-        from_top, from_bottom = (depth < read).astype(float), (depth >= rows - read).astype(float)
-        known = (values * from_top) @ plus + (values * from_bottom) @ minus
-        stands_top, stands_bottom = sorted_values[read - 1][:, None], sorted_values[rows - read][:, None]
-        upper = known + (1 - from_top) @ (plus * stands_top) + (1 - from_bottom) @ (minus * stands_bottom)
-        lower = known + (1 - from_top) @ (plus * low[:, None]) + (1 - from_bottom) @ (minus * high[:, None])
-        bound = np.partition(lower, rows - k, 0)[rows - k]
-        open_rows = (upper >= bound).sum(0)
-        done = (open_rows <= max(4 * k, rows // 16)) | (read >= rows)
-        for i in np.flatnonzero(done):
-            at = np.flatnonzero(upper[:, i] >= bound[i])
-            score = values[at] @ q[i]
-            out.append((np.full(len(at), left[i]), at, score))
-        left, read = left[~done], min(rows, 2 * read)
-    at, row, score = (np.concatenate(x) if out else np.zeros(0, int) for x in zip(*out, strict=True)) if out else (np.zeros(0, int),) * 3
-    return at, row, score
+    values, depth, order = lists["m"].astype(float), lists["depth"], lists["order"]
+    rows, reading, out = len(values), reading or Reading(), []
+    few = max(4 * k, rows // 64)
+    by_rank = np.take_along_axis(values, order.astype(np.int64), 0)
+    stops = sorted({min(rows, max(1, round(rows * d))) for d in DEPTHS})
+    for i, q in enumerate(queries.astype(float)):
+        up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
+        used = np.r_[up, down]
+        known, left, at = np.zeros(rows), np.arange(rows), 0
+        for to in stops:
+            top, bottom = slice(at, to), slice(rows - to, rows - at)
+            seen = np.concatenate([order[top, up].ravel(), order[bottom, down].ravel()])
+            known += np.bincount(seen, np.concatenate([(by_rank[top, up] * q[up]).ravel(), (by_rank[bottom, down] * q[down]).ravel()]), minlength=rows)
+            reading.entries, at = reading.entries + len(seen), to
+            # what an unread component can add at most, and at least
+            most = np.r_[by_rank[to - 1, up], by_rank[rows - to, down]] * q[used]
+            least = np.r_[by_rank[-1, up], by_rank[0, down]] * q[used]
+            here = depth[left]
+            unread = np.concatenate([here[:, up] >= to, here[:, down] < rows - to], axis=1).astype(float)
+            upper, lower = known[left] + unread @ most, known[left] + unread @ least
+            if k < len(left):
+                left = left[upper >= np.partition(lower, len(lower) - k)[len(lower) - k]]
+            if len(left) <= few or to == rows:
+                break
+        reading.of, reading.resolved, reading.queries = reading.of + rows * len(used), reading.resolved + len(left), reading.queries + 1
+        out.append((np.full(len(left), i), left, values[left] @ q))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int),) * 3
 
 
 def top_products(df: DataFrame, id_column: str, vector: str, is_query: Column, k: int = 10, scale: int = 1024) -> DataFrame:
@@ -57,7 +73,8 @@ def top_products(df: DataFrame, id_column: str, vector: str, is_query: Column, k
     Every index block keeps its components as sorted lists, read by no_random_access(); its k best a query are merged.
     One more than k is asked of a block because the query's own row is no candidate. Null and empty vectors and those
     with null or non-finite components take no part, nor do null ids; zero vectors do; ties go to the smaller vec_id;
-    fewer rows than k give all; an empty table gives no rows.
+    fewer rows than k give all; rows that share a vec_id are rows of their own, as queries too, and rows with a query's own
+    id are no candidates; other columns, of any name, are left alone; an empty table gives no rows.
     """
     vectors = sound(df, id_column, vector).withColumn("v", F.transform("v", lambda x: F.floor(x * float(scale)).cast("double")))
 
