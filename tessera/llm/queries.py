@@ -58,7 +58,7 @@ def op8_no_random_access(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("ranges")
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("ranges", "text_key")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
