@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm import exchange
 from tessera.llm.components import components
-from tessera.llm.shared import keep, mix64, open_file, partitions, scratch, text_bytes
+from tessera.llm.shared import discard, keep, mix64, open_file, partitions, scratch, text_bytes, trimmed
 from tessera.llm.shingles import set_digest, shingle_sets
 
-KINDS = {"sig": "<u8", "doc": "<i8"}
+KINDS = {"sig": "<u8", "set": "<i8"}
 
 
 class Bands:
@@ -97,17 +97,21 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
                 n, d1, d2 = zip(*rows, strict=True) if rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], names=["doc_id", "n", "d1", "d2"])
 
-    return _slim(docs).mapInArrow(work, "doc_id long, n long, d1 long, d2 long")
+    return _slim(docs).mapInArrow(trimmed(work), "doc_id long, n long, d1 long, d2 long")
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """(node, set) of texts (node, text, d1, d2) whose set has that digest, as sorted 64-bit numbers."""
+
     def work(batches):
         for b in batches:
             for part in exchange.slices(b, 2 << 20):
-                sets = [s.tobytes() for s in shingle_sets(*text_bytes(part.column(1)), width)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
+                digests = zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)
+                rows = [(s.tobytes() if set_digest(s) == d else None) for s, d in zip(shingle_sets(*text_bytes(part.column(1)), width), digests, strict=True)]
+                sets = pa.array(rows, pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), sets], names=["node", "set"]).filter(sets.is_valid())
 
-    return docs.mapInArrow(work, "node long, set binary")
+    return texts.mapInArrow(trimmed(work), "node long, set binary")
 
 
 def similar_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -116,9 +120,11 @@ def similar_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     Documents link when the Jaccard similarity of their sets of `width`-word shingles is num / den at least; words are
     runs of anything but ASCII white space, A-Z lower-cased. component_id is the smallest doc_id that links reach, the
     document's own included. A document of fewer words is one shingle; one without words or text has none and links
-    with nothing. Rows with one doc_id are one document; a null doc_id gets its size and no component. n_links counts
+    with nothing. Rows that share a doc_id are documents of their own that share a name. A null doc_id gets its size and
+    no component. n_links counts
     the other distinct sets that a document's set links with; copies are folded, so each has the links of their set.
-    Extra columns are left alone, an empty table gives no rows.
+    Texts of any length are read whole, in strips; similarities that tie with num / den link; equal rows give equal
+    rows. Extra columns, of any name, are left alone, an empty table gives no rows.
 
     Copies, however many, are collapsed by digest before anything else. The sets that share a signature with others go to
     blocks of like size, and a task counts what two blocks share, set against set; it passes on each set's number of
@@ -126,42 +132,59 @@ def similar_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     """
     n_parts = partitions(docs, 8 << 20)
     info = keep(profiles(docs, width))
-    firsts = info.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"))
-    info = keep(info.join(firsts, ["d1", "d2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("node", "doc_id").alias("node")))
-    nodes = info.where("doc_id = node").groupBy("node").agg(F.max("n_shingles").alias("n"))
+    firsts = info.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    firsts = keep(firsts.withColumn("node", F.monotonically_increasing_id()))
 
     def postings(seen):
         def each(data, offsets, ids):
-            bands, sig, doc = Bands(num, den), [], []
-            for i, s in zip(ids.tolist(), shingle_sets(data, offsets, width), strict=True):
+            bands, sig, sets = Bands(num, den), [], []
+            for s in shingle_sets(data, offsets, width):
                 digest = set_digest(s)
                 if len(s) and digest not in seen:
                     seen.add(digest)
                     sig.append(signatures(s, bands))
-                    doc.append(np.full(len(sig[-1]), i, np.int64))
+                    sets.append(np.full(len(sig[-1]), digest[0], np.int64))
             if sig:
-                yield {"sig": np.concatenate(sig), "doc": np.concatenate(doc)}
+                yield {"sig": np.concatenate(sig), "set": np.concatenate(sets)}
 
         return each
 
     posted = exchange.post(docs, n_parts, KINDS, "sig", postings, per_task=set)
-    members = keep(_shared(posted, n_parts))
-    to_node = info.select(F.col("doc_id").alias("doc"), "node")
-    grouped = members.join(to_node, "doc").select("gid", "node").distinct()
-    several = grouped.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1").select("gid")
-    grouped = keep(grouped.join(several, "gid"))
-    wanted = grouped.select(F.col("node").alias("doc_id")).distinct()
-    sets = keep(_sets(_slim(docs).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width))
-    met = keep(_met(grouped, nodes, sets, num, den))
+    members = _shared(posted, n_parts)
+    grouped = keep(members.join(firsts.select(F.col("d1").alias("set"), "node"), "set").select("gid", "node"))
+    wanted = firsts.join(grouped.select("node").distinct(), "node", "left_semi").select(F.col("first").alias("doc_id"), "node", "d1", "d2")
+    # a document's other texts, if rows share its doc_id, have other digests
+    texts = _slim(docs).join(wanted, "doc_id").withColumn("key", F.xxhash64("text")).dropDuplicates(["doc_id", "node", "key"])
+    sets = keep(_sets(texts.select("node", "text", "d1", "d2"), width))
+    met = keep(_met(grouped, firsts.select("node", "n"), sets, num, den))
+    discard(sets)
     found = components(met.where("n IS NULL").select("a", "b").distinct())
     ends = met.where("n IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
-    out = info.join(found, "node", "left").join(ends, "node", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    least = found.join(firsts.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("component_id"))
+    each = firsts.join(found.join(least, "component").select("node", "component_id"), "node", "left").join(ends, "node", "left")
+    each = each.select("d1", "d2", "n", "copies", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = _spread(info, each)
     nulls = docs.where(F.col("doc_id").isNull()).select(F.lit(-1).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sized = profiles(nulls, width).select(F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(sized)
 
 
+def _spread(info: DataFrame, each: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links): what holds for each set, for each of its documents.
+
+    Sets of more than a 4096th of all documents, of which there are fewer than 4096, go to every task, so their copies
+    stay where they are; documents without shingles are groups of their own.
+    """
+    keys, total = ["d1", "d2", "n"], info.count()
+    each = keep(each)
+    large = F.broadcast(each.where(F.col("copies") * 4096 > total))
+    some = info.where("n > 0")
+    few = some.join(large, keys, "left_anti").join(each, keys)
+    none = info.where("n = 0").withColumn("component_id", F.col("doc_id")).withColumn("n_links", F.lit(0).cast("long"))
+    out = [d.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links") for d in (some.join(large, keys), few, none)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 def _met(grouped: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den: int, block_shingles: int = 200_000) -> DataFrame:
     """(a, b, n): n null, links a - b that join what links join; b null, n links that node a has in a pair of blocks.
 
@@ -193,7 +216,7 @@ def _met(grouped: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den: i
 
     # ranges of sizes, however many the session makes of them, are merged to the blocks wanted: few blocks hold a group
     sized = wanted.join(sets, "node").repartitionByRange(n_blocks, "n", "node").coalesce(n_blocks).select("node", "set")
-    placed = keep(sized.mapInArrow(write, "block long, path string, node long, n long"))
+    placed = keep(sized.mapInArrow(trimmed(write), "block long, path string, node long, n long"))
     blocks = placed.groupBy("block", "path").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     held = grouped.join(placed.select("node", "block"), "node").select("gid", "block").distinct()
     meet = held.select("gid", F.col("block").alias("i")).join(held.select("gid", F.col("block").alias("j")), "gid").where("i <= j").select("i", "j").distinct()
@@ -238,7 +261,7 @@ def _met(grouped: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den: i
                 k, m = len(a_out), len(counted)
                 yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.array(a_out, np.int64), counted], pa.int64()), pa.array(b_out + [None] * m, pa.int64()), pa.array([None] * k + links.tolist(), pa.int64())], names=["a", "b", "n"])
 
-    return meet.repartition(max(n_blocks, 1), "path_i", "path_j").mapInArrow(work, "a long, b long, n long")
+    return meet.repartition(max(n_blocks, 1), "path_i", "path_j").mapInArrow(trimmed(work), "a long, b long, n long")
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray], heavy: int = 2048) -> np.ndarray:
@@ -280,7 +303,7 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray], heavy: int =
 
 
 def _shared(posted: DataFrame, n_parts: int) -> DataFrame:
-    """(gid, doc): the distinct lists of documents that share a signature."""
+    """(gid, set): the distinct lists of sets, by the first half of their digests, that share a signature."""
 
     def work(batches):
         by: dict[int, list] = {}
@@ -290,8 +313,8 @@ def _shared(posted: DataFrame, n_parts: int) -> DataFrame:
         for parts in by.values():
             c = exchange.gathered(parts, KINDS)
             parts.clear()
-            order = np.lexsort((c["doc"], c["sig"]))
-            sig, doc = c["sig"][order], c["doc"][order]
+            order = np.lexsort((c["set"], c["sig"]))
+            sig, doc = c["sig"][order], c["set"][order]
             fresh = np.r_[True, (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])]
             sig, doc = sig[fresh], doc[fresh]
             heads = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, np.int64)
@@ -308,6 +331,6 @@ def _shared(posted: DataFrame, n_parts: int) -> DataFrame:
             at = heads[group] + np.arange(len(group)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             for a in range(0, len(at), 500_000):
                 g, x = group[a : a + 500_000], at[a : a + 500_000]
-                yield pa.RecordBatch.from_arrays([pa.array(gid.view(np.int64)[g]), pa.array(doc[x])], names=["gid", "doc"])
+                yield pa.RecordBatch.from_arrays([pa.array(gid.view(np.int64)[g]), pa.array(doc[x])], names=["gid", "set"])
 
-    return posted.repartitionById(n_parts, F.col("bucket")).mapInArrow(work, "gid long, doc long")
+    return posted.repartitionById(n_parts, F.col("bucket")).mapInArrow(trimmed(work), "gid long, set long")
