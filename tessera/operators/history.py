@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.rounds import component_labels
+
 DAY = 86_400
 
 
@@ -61,20 +63,8 @@ def with_ancestors(touches: DataFrame, segments: Column, root: str = "__root__")
 
 
 def rename_closure(renames: DataFrame) -> DataFrame:
-    """(node, component) of rename pairs (a, b), followed both ways: rounds of least labels until none changes.
-
-    Each round is checkpointed when the session has a shared folder for it, so lineage doesn't grow with the rounds.
-    """
-    both = renames.select("a", "b").union(renames.select("b", "a")).distinct()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component"))
-    shared = both.sparkSession.sparkContext.getCheckpointDir() or both.sparkSession.conf.get("spark.checkpoint.dir", None)
-    while True:
-        heard = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
-        moved = labels.join(heard, "node").select("node", F.col("component").alias("was"), F.least("component", "heard").alias("component"))
-        moved = moved.checkpoint() if shared else moved.cache()
-        labels = moved.select("node", "component")
-        if moved.where("was <> component").isEmpty():
-            return labels
+    """(node, component) of rename pairs (a, b), followed both ways: the least name of each group."""
+    return component_labels(renames)
 
 
 def provenance(touches: DataFrame, commits: DataFrame, path: Column, limit: int = 20) -> DataFrame:

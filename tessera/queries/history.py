@@ -33,12 +33,18 @@ x AS (SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY score DESC
 
 
 def _renames(t):
-    """Line items of one order in a row stand in as renames, within small orders."""
-    a = t.touches.where("commit_id % 50 = 0").select("commit_id", "touch", F.col("path").alias("a"))
+    """Line items of one order in a row stand in as renames."""
+    a = t.touches.select("commit_id", "touch", F.col("path").alias("a"))
     b = t.touches.select("commit_id", (F.col("touch") - 1).alias("touch"), F.col("path").alias("b"))
     return a.join(b, ["commit_id", "touch"]).select("a", "b").where("a <> b")
 
 
+#: The least name that a chain of renames leads to: labels move a step a round, and rounds are as many as any chain needs.
+CLOSURE = f"""{B}, n AS (SELECT a.path AS a, b.path AS b FROM touches a JOIN touches b ON b.commit_id = a.commit_id AND b.touch = a.touch + 1 WHERE a.path <> b.path),
+e AS (SELECT a, b FROM n UNION SELECT b, a FROM n), c AS (WITH RECURSIVE r(node, component, round) USING KEY (node) AS (SELECT a, least(a, min(b)), 0 FROM e GROUP BY a
+  UNION SELECT e.a, min(r.component), any_value(r.round) + 1 FROM r JOIN e ON e.b = r.node JOIN recurring.r AS own ON own.node = e.a GROUP BY e.a, own.component HAVING min(r.component) < own.component) SELECT node, component FROM r) SELECT * FROM c"""
+
+
 def _authored(t):
     return t.touches.join(t.commits.select("commit_id", "author"), "commit_id")
 
@@ -51,7 +57,7 @@ QUERIES = {
     "history_churn_owner": (lambda t: H.churn(t.touches, "owner"), f"{B}, {_churn('owner', 'touches')}"),
     "history_churn_module": (lambda t: H.churn(H.with_ancestors(t.touches.join(t.raw("part").select(F.col("p_partkey").alias("path"), "p_brand", "p_type"), "path"), F.array("p_brand", "p_type")), "module"), f"{B}, m AS (SELECT t.*, unnest(['__root__', p_brand, p_brand || '/' || p_type]) AS module FROM touches t JOIN part ON p_partkey = path), {_churn('module', 'm')}"),
     "history_hotspots": (lambda t: H.churn(t.touches).orderBy(F.col("hotspot").desc(), "path").limit(100).select("path", "hotspot"), f"{B}, {_churn('path', 'touches').replace('SELECT path, touches, last_30d, last_90d, round(r, 6) AS recency, volume, round', 'SELECT path, round')} ORDER BY hotspot DESC, path LIMIT 100"),
-    "history_rename_closure": (lambda t: H.rename_closure(_renames(t)), f"{B}, n AS (SELECT a.path AS a, b.path AS b FROM touches a JOIN touches b ON b.commit_id = a.commit_id AND b.touch = a.touch + 1 WHERE a.commit_id % 50 = 0 AND a.path <> b.path), e AS (SELECT a, b FROM n UNION SELECT b, a FROM n), c AS (WITH RECURSIVE r AS (SELECT a AS node, a AS v FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.v) SELECT node, min(v) AS component FROM r GROUP BY 1) SELECT * FROM c"),
+    "history_rename_closure": (lambda t: H.rename_closure(_renames(t)), CLOSURE),
     "history_provenance": (lambda t: H.provenance(t.touches, t.commits, F.col("path") == 11).select("commit_id", "author", "place"), f"{B}, m AS (SELECT commit_id, max(touched_at) AS touched_at, any_value(author) AS author FROM touches JOIN commits USING (commit_id) WHERE path = 11 GROUP BY 1) (SELECT commit_id, author, 'recent' AS place FROM m ORDER BY touched_at DESC, commit_id LIMIT 20) UNION ALL (SELECT commit_id, author, 'first' FROM m ORDER BY touched_at, commit_id LIMIT 1)"),
     "history_first_touch": (lambda t: t.touches.groupBy("path").agg(F.min_by("commit_id", F.struct("touched_at", "commit_id")).alias("first_commit"), F.max_by("commit_id", F.struct("touched_at", "commit_id")).alias("last_commit"), F.count("*").alias("touches")), f"{B} SELECT path, arg_min(commit_id, (touched_at, commit_id)) AS first_commit, arg_max(commit_id, (touched_at, commit_id)) AS last_commit, count(*) AS touches FROM touches GROUP BY 1"),
     "history_ownership": (lambda t: H.shares(t.touches, "owner"), f"{B}, {_share('owner')} SELECT * FROM sh"),
@@ -62,3 +68,9 @@ QUERIES = {
     "history_author_activity": (lambda t: _authored(t).groupBy("author").agg(F.countDistinct("commit_id").alias("commits"), F.countDistinct("path").alias("paths")), f"{B} SELECT author, count(DISTINCT commit_id) AS commits, count(DISTINCT path) AS paths FROM touches JOIN commits USING (commit_id) GROUP BY 1"),
     "history_dangling_touches": (lambda t: H.dangling(t.touches, t.commits.where("commit_id % 10 <> 3")).groupBy("commit_id").agg(F.count("*").alias("n")), f"{B} SELECT commit_id, count(*) AS n FROM touches WHERE commit_id NOT IN (SELECT commit_id FROM commits WHERE commit_id % 10 <> 3) GROUP BY 1"),
 }
+
+# these build on the ones above
+from tessera.queries import signals  # noqa: E402
+
+QUERIES |= signals.QUERIES
+QUERIES["history_provenance_across"] = (QUERIES["history_provenance_across"][0], signals._closure_sql())

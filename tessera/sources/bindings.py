@@ -92,6 +92,16 @@ class Tables:
         """(target_id, target_kind, vector)."""
         return self.raw("embeddings").select(F.col("vec_id").alias("target_id"), F.col("label").alias("target_kind"), F.col("embedding").alias("vector"))
 
+    @property
+    def code(self) -> DataFrame:
+        """(file_id, language, path, text): a small source file for each part, in one of five languages in turn."""
+        k = F.col("p_partkey")
+        language = F.get(F.array(*[F.lit(name) for name, _, _ in CODE]), (k % len(CODE)).cast("int"))
+        filled = [F.format_string(text.replace("{k}", "%1$d").replace("{m}", "%2$d"), k, k % 7) for _, _, text in CODE]
+        paths = [F.format_string(path.replace("{k}", "%1$d"), k) for _, path, _ in CODE]
+        at = (k % len(CODE)).cast("int")
+        return self.raw("part").select(k.alias("file_id"), language.alias("language"), F.get(F.array(*paths), at).alias("path"), F.get(F.array(*filled), at).alias("text"))
+
     @property
     def facts(self) -> DataFrame:
         """(fact_id, source, text, created): conversation turns as memory facts."""
@@ -99,6 +109,52 @@ class Tables:
         return c.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("fact_id"), F.col("role").alias("source"), "text", (F.col("conv_id") * 1000 + F.col("turn")).alias("created"))
 
 
+#: Templates of source files: language, path, text; {k} is the part's number, {m} that modulo 7.
+CODE = [
+    ("python", "pkg/mod{k}_test.py", """import os
+from pkg.mod{m} import thing
+@app.get("/r/{k}")
+async def fetch_{k}(self, a, b):
+    for x in a.b.c:
+        while b {
+            requests.post("/s/{m}")
+    return thing
+class Box{k}:
+    def check_{k}(self):
+        fetch_{k}(1, 2)
+"""),
+    ("javascript", "web/page{k}.js", """import z from "./page{m}"
+import "node:fs"
+router.post("/r/{k}", run)
+export const run_{k} = async (x) => { producer.send("topic{m}") }
+function load{k}(a) { if (a && b) { fetch("/s/{m}") } }
+class Job{k} { }
+consumer.subscribe("topic{m}")
+"""),
+    ("java", "src/main/java/a/b/Svc{k}.java", """package a.b;
+import java.util.List;
+@RequestMapping("/r/{k}")
+public class Svc{k} extends Base{m} implements Run, Stop<A> {
+  @Value("${key.{m}:none}")
+  public int go{k}(int a) { kafkaTemplate.send("topic{m}"); return System.getenv("KEY_{m}"); }
+}
+"""),
+    ("go", "svc/box{k}.go", """package svc
+import "example.com/m{m}"
+func (s *Box) Do{k}(a int, b int) { }
+type Box{k} struct { }
+type Shape{k} interface { }
+"""),
+    ("rust", "src/part{k}.rs", """use crate::part{m}::thing;
+#[get("/r/{k}")]
+pub async fn go_{k}(a: u8) { loop { for x in y { reqwest::get("/s/{m}") } } }
+struct S{k};
+trait T{k} { }
+mod inner
+"""),
+]
+
+
 def _id(table: str, key: str) -> Column:
     return F.concat(F.lit(f"{table}:"), F.col(key).cast("string"))
 
