@@ -59,9 +59,11 @@ def tokens_held(text: Column, tokens: list[str]) -> Column:
     return out
 
 
-def lexical_score(text: Column, query: str, generated: Column, vendor: Column) -> Column:
-    """0.35, 0.12 for each of up to five phrases and 0.08 for each of up to five words held; less for copied code."""
-    phrases, words = occurrences(ascii_lower(text), query.lower()), tokens_held(normalized(text), query_tokens(query))
+def lexical_score(low: Column, query: str, generated: Column, vendor: Column, words_of: Column | None = None) -> Column:
+    """0.35, 0.12 for each of up to five phrases and 0.08 for each of up to five words held; less for copied code. low: the
+    text in lower case; words_of: its normal form. The numbers are fixed values."""
+    phrases = occurrences(low, query.lower())
+    words = tokens_held(normalized(low) if words_of is None else words_of, query_tokens(query))
     score = F.lit(0.35) + F.least(phrases, F.lit(5)) * 0.12 + F.least(words, F.lit(5)) * 0.08
     return score * F.when(generated, 0.55).otherwise(1.0) * F.when(vendor, 0.35).otherwise(1.0)
 

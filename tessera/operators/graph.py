@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.rounds import cut
+
 
 def page(df: DataFrame, limit: int, offset: int = 0, *order: str, most: int = 1000) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(min(limit, most))
@@ -65,14 +67,14 @@ def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int = 5
     Each level keeps one chain of edge ids for each node reached for the first time; the loop ends at the target.
     """
     spark = edges.sparkSession
-    slim = edges.select("id", "from_id", "to_id")
+    slim = cut(edges.select("id", "from_id", "to_id"))
     frontier = spark.createDataFrame([(source, [])], "node string, chain array<string>")
     seen, found = frontier.select("node"), None
     for _ in range(max_depth):
         if source == target:
             break
         step = frontier.join(slim, frontier.node == slim.from_id).select(F.col("to_id").alias("node"), F.array_append("chain", F.col("id")).alias("chain"))
-        frontier = step.groupBy("node").agg(F.min("chain").alias("chain")).join(seen, "node", "left_anti")
+        frontier = cut(step.groupBy("node").agg(F.min("chain").alias("chain")).join(seen, "node", "left_anti"))
         hit = frontier.where(F.col("node") == target)
         row = hit.head(1)
         if row:
@@ -86,13 +88,15 @@ def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int = 5
 
 def reachable(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
     """(start, id, depth): least number of forward edges to every node reached, the start itself left out."""
-    step = edges.select("from_id", "to_id").distinct()
+    step = cut(edges.select("from_id", "to_id").distinct())
     level = starts.select(F.col("id").alias("start"), "id")
-    levels = []
+    seen = [level.withColumn("depth", F.lit(0))]
     for depth in range(1, max_depth + 1):
-        level = level.join(step, level.id == step.from_id).select("start", F.col("to_id").alias("id")).distinct()
-        levels.append(level.withColumn("depth", F.lit(depth)))
-    return reduce(DataFrame.unionByName, levels).where("start <> id").groupBy("start", "id").agg(F.min("depth").alias("depth"))
+        near = level.join(step, level.id == step.from_id).select("start", F.col("to_id").alias("id")).distinct()
+        # only what is new goes on; it and what was seen are written, not computed again
+        level = cut(near.join(reduce(DataFrame.unionByName, seen), ["start", "id"], "left_anti"))
+        seen.append(level.withColumn("depth", F.lit(depth)))
+    return reduce(DataFrame.unionByName, seen[1:])
 
 
 def merge_nodes(nodes: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.paths import is_test
+from tessera.operators.rounds import cut
 from tessera.schema import CONFIDENCE, CONFIDENCE_FROM
 
 # Weights of the signals, and each signal's phrases with the value that one of them gives.
@@ -67,9 +68,20 @@ def top_signals(breakdown: Column, n: int) -> Column:
     return F.transform(F.slice(ranked, 1, n), lambda c: c["signal"])
 
 
+def first_ranks(df: DataFrame, limit: int, score: str, *ties: str, name: str = "rank") -> DataFrame:
+    """The first `limit` rows in order of score, with their rank: each task keeps its first, and those few are numbered."""
+    first = df.orderBy(F.col(score).desc(), *ties).limit(limit)
+    return first.withColumn(name, F.row_number().over(Window.orderBy(F.col(score).desc(), *ties)))
+
+
 def rank_by(df: DataFrame, score: str, *ties: str, name: str = "rank") -> DataFrame:
-    """All rows in order of score; the one ordering of the whole table that a ranking asks for."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(F.col(score).desc(), *ties)))
+    """All rows with their rank in order of score: positions in ranges of the order, and the sizes of the ranges before."""
+    order = [F.col(score).desc(), *map(F.col, ties)]
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut(placed.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect()  # one row for each range
+    before = df.sparkSession.createDataFrame([(r._part, sum(x.n for x in sizes if x._part < r._part)) for r in sizes], "_part int, _before long")
+    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_at") + F.col("_before") + 1).drop("_part", "_at", "_before")
 
 
 def best_per_path(results: DataFrame, score: str, *ties: str) -> DataFrame:

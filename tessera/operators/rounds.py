@@ -3,21 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder that the session names and read back, so that a round's plan doesn't hold all
-    rounds before. Only a local session may be without that folder; it then gets a temporary one."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not base and not context.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for driver and executors to share. Only a local session may be without; it then
+    gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint()
+        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a table written to the shared folder, so that a round's plan doesn't hold all rounds before, a lost executor
+    costs a read, and Catalyst knows how large it is."""
+    path = f"{shared_folder(df.sparkSession)}/round-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def component_labels(pairs: DataFrame) -> DataFrame:

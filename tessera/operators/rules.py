@@ -88,10 +88,17 @@ def narrowest(pairs: DataFrame, ties: str = "r_id") -> DataFrame:
 
 
 def select_tests(tests: DataFrame, changed_paths: DataFrame, limit: int = 5) -> DataFrame:
-    """(changed, rank, test, score): tests (test, folder, stem) for changed (changed, folder, stem): 0.35 for the stem, 0.2 for the folder."""
-    by_stem = tests.join(changed_paths, "stem").select("changed", "test", F.lit(0.35).alias("s"))
-    by_folder = tests.join(changed_paths, "folder").select("changed", "test", F.lit(0.2).alias("s"))
-    scored = by_stem.union(by_folder).groupBy("changed", "test").agg(F.round(F.sum("s"), 6).alias("score"))
+    """(changed, rank, test, score): tests (test, folder, stem) for changed (changed, folder, stem): 0.35 for the stem, 0.2 for the folder.
+
+    Of the tests of a stem, of a folder, and of both, the first `limit` by name are enough, so no folder meets all its tests.
+    """
+    pairs = []
+    for keys in (["stem"], ["folder"], ["stem", "folder"]):
+        first = tests.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("test"))).where(F.col("_n") <= limit)
+        pairs.append(first.select(*keys, "test", F.col("stem").alias("t_stem"), F.col("folder").alias("t_folder")).join(changed_paths, keys).select("changed", "stem", "folder", "test", "t_stem", "t_folder"))
+    near = pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct()
+    score = F.when(F.col("stem") == F.col("t_stem"), 0.35).otherwise(0.0) + F.when(F.col("folder") == F.col("t_folder"), 0.2).otherwise(0.0)
+    scored = near.select("changed", "test", F.round(score, 6).alias("score"))
     order = Window.partitionBy("changed").orderBy(F.col("score").desc(), "test")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("changed", "rank", "test", "score")
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +52,3 @@ def facts(records: DataFrame) -> DataFrame:
     made = F.array(F.struct(F.lit("route").alias("kind"), F.col("route").alias("target")), F.struct(F.lit("symbol").alias("kind"), F.col("symbol").cast("string").alias("target")), F.struct(F.lit("error").alias("kind"), F.when(F.col("error"), F.concat(F.lit("error:"), F.col("k").cast("string"))).alias("target")))
     return records.select("record_id", F.explode(made).alias("f")).select("record_id", "f.kind", "f.target").where("target IS NOT NULL")
 
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -33,9 +33,12 @@ def hash_embedding(docs: DataFrame, key: str, text: str, dims: int = 64) -> Data
 def flat_search(vectors: DataFrame, queries: DataFrame, k: int = 10, kind: Column | None = None) -> DataFrame:
     """(query, rank, target_id, score): each query's (query, q) k highest positive dot products, ties to the smaller id.
 
-    Queries are a stated, small set: they are the side that Spark replicates.
+    Vectors are dealt to parts by a hash of their id, and every query meets every part; a part passes on k rows a query.
     """
     pool = vectors.where(kind) if kind is not None else vectors
-    scored = pool.join(queries, F.size("vector") == F.size("q")).select("query", "target_id", F.round(dot(F.col("vector"), F.col("q")), 6).alias("score")).where("score > 0")
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pool.withColumn("part", F.pmod(F.xxhash64("target_id"), F.lit(parts))).withColumn("dim", F.size("vector"))
+    asked = queries.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).withColumn("dim", F.size("q"))
+    scored = dealt.join(asked, ["part", "dim"]).select("query", "target_id", F.round(dot(F.col("vector"), F.col("q")), 6).alias("score")).where("score > 0")
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), "target_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "rank", "target_id", "score")

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.rounds import cut
 from tessera.schema import EDGE_TYPES, NODE_TYPES
 
 # Fixed values of the language.
@@ -207,9 +208,11 @@ def matches(pattern: Pattern, nodes: DataFrame, edges: DataFrame, max_hops: int
         step = chosen.select(F.col("from_id").alias("at"), F.col("to_id").alias("next")).distinct()
         level, levels = source.select("source_id", F.col("source_id").alias("at")), []
         real = nodes.select(F.col("id").alias("next"))
-        step = step.join(real, "next", "left_semi")
+        # edges and levels are written once: a level's plan doesn't hold the levels before
+        step = cut(step.join(real, "next", "left_semi"))
         for depth in range(1, pattern.hops[1] + 1):
             level = level.join(step, "at").select("source_id", F.col("next").alias("at")).distinct()
+            level = cut(level) if depth < pattern.hops[1] else level
             if depth >= pattern.hops[0]:
                 levels.append(level.withColumn("depth", F.lit(depth)))
         out = reduce(DataFrame.unionByName, levels).withColumnRenamed("at", "target_id").join(source, "source_id").join(target, "target_id")

@@ -36,8 +36,8 @@ def _ranked(t):
 
 
 def _relevant(t):
-    passage = t.raw("benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("passage"))
-    return t.raw("documents").join(F.broadcast(passage), F.col("text").contains(F.col("passage"))).select("query", F.col("doc_id").alias("item"))
+    passages = t.raw("benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("passage"))
+    return S.containing(t.raw("documents"), "doc_id", "text", passages).select("query", F.col("doc_id").alias("item"))
 
 
 RELEVANT_SQL = "rel AS (SELECT item_id AS query, doc_id AS item FROM benchmark b JOIN documents d ON contains(d.text, b.text)), rn AS (SELECT query, count(*) AS n FROM rel GROUP BY 1)"
@@ -46,7 +46,7 @@ IDEAL = "list_sum([1 / log2(i + 1) FOR i IN range(1, least(n, 10) + 1)])"
 QUERIES = {
     "rank_fusion": (lambda t: R.fuse(_results(t)).select("id", "path", "fused", F.size("breakdown").alias("n_signals")), f"WITH {RESULTS_SQL} SELECT id, path, {_fused()} AS fused, CAST(" + " + ".join([f"CASE WHEN NOT ({ALONE}) AND abs(score) > 0.001 THEN 1 ELSE 0 END"] + [f"CASE WHEN abs({v}) > 0.001 THEN 1 ELSE 0 END" for v in V.values()]) + " AS INTEGER) AS n_signals FROM r"),
     **{f"rank_without_{s}": (lambda t, s=s: R.fuse(_results(t), s).select("id", "fused"), f"WITH {RESULTS_SQL} SELECT id, {_fused(s)} AS fused FROM r") for s in ("path_quality", "exact_reference", "graph_proximity", "git_cochange", "semantic_similarity")},
-    "rank_order": (lambda t: R.rank_by(R.fuse(_results(t)), "fused", "path", "id").where("rank <= 100").select("rank", "id", "fused"), f"WITH {RESULTS_SQL} SELECT CAST(rank AS INTEGER) AS rank, id, fused FROM (SELECT *, row_number() OVER (ORDER BY fused DESC, path, id) AS rank FROM (SELECT *, {_fused()} AS fused FROM r)) WHERE rank <= 100"),
+    "rank_order": (lambda t: R.first_ranks(R.fuse(_results(t)), 100, "fused", "path", "id").select("rank", "id", "fused"), f"WITH {RESULTS_SQL} SELECT CAST(rank AS INTEGER) AS rank, id, fused FROM (SELECT *, row_number() OVER (ORDER BY fused DESC, path, id) AS rank FROM (SELECT *, {_fused()} AS fused FROM r)) WHERE rank <= 100"),
     "rank_top_signals": (lambda t: R.fuse(_results(t)).select("id", F.get(R.top_signals(F.col("breakdown"), 1), 0).alias("signal")).groupBy("signal").agg(F.count("*").alias("n")), None),
     "rank_unique_paths": (lambda t: R.best_per_path(_results(t), "score", "id").select("path", "id", F.round("score", 6).alias("score")), f"WITH {RESULTS_SQL} SELECT path, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, id) AS n FROM r) WHERE n = 1"),
     "rank_merge_paths": (lambda t: R.merge_by_path(_results(t), "score").withColumn("score", F.round("score", 6)), f"WITH {RESULTS_SQL} SELECT path, round(max(score), 6) AS score, coalesce(string_agg(DISTINCT evidence, '; ' ORDER BY evidence), '') AS evidence FROM r GROUP BY 1"),

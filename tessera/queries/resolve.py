@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from tessera.operators import resolve as R
+from tessera.operators.rounds import shared_folder
 from tessera.sources.bindings import RUNTIME_SQL, SYMBOLS_SQL, TOUCHES_SQL
 from tessera.streaming import incremental as S
 
@@ -20,21 +23,11 @@ def _imports(t):
 
 def _stream(t):
     """The runtime records as a file stream, counted by hour, run until all files are read."""
-    from uuid import uuid4
-
-    spark = t.spark
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="tessera-stream-")
-    folder = f"{base}/stream-{uuid4().hex}"
+    spark, folder = t.spark, f"{shared_folder(t.spark)}/stream-{uuid4().hex}"
     events = spark.readStream.schema(t.raw("events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{t.folder}/events.parquet*")
     records = events.select(F.col("event_type").alias("route"), (F.col("event_type") == "error").alias("error"), F.col("ts").cast("timestamp").alias("ts"))
-    counted = S.windowed_counts(records)
-    name = f"stream_{uuid4().hex}"
-    counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", folder).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "route", "n", "errors")
+    S.run_complete(S.windowed_counts(records), folder)
+    return spark.read.parquet(f"{folder}/data").select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "route", "n", "errors")
 
 
 USES_SQL = f"WITH {SYMBOLS_SQL}, {TOUCHES_SQL}, u AS (SELECT commit_id * 10 + touch AS use_id, commit_id % 97 AS file_id, CASE WHEN p_partkey % 6 = 0 THEN p_name || '!' ELSE p_name END AS name FROM touches JOIN part ON p_partkey = path), a AS (SELECT use_id, count(DISTINCT symbol_id) AS n, min(symbol_id) AS id FROM u JOIN symbols s ON s.file_id = u.file_id AND s.name = u.name GROUP BY 1), b AS (SELECT name, count(*) AS n, min(symbol_id) AS id FROM symbols GROUP BY 1), r AS (SELECT u.use_id, coalesce(a.n, b.n, 0) AS candidates, coalesce(a.id, b.id) AS id, CASE WHEN a.n IS NOT NULL THEN 'same_file' WHEN b.n IS NOT NULL THEN 'project' END AS strategy FROM u LEFT JOIN a ON a.use_id = u.use_id LEFT JOIN b ON b.name = u.name)"

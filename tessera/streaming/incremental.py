@@ -21,6 +21,12 @@ def run(stream: DataFrame, folder: str, mode: str = "append") -> None:
     stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/data").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
 
 
+def run_complete(stream: DataFrame, folder: str) -> None:
+    """All that is there now: each batch's whole result takes the place of folder/data, written by the executors."""
+    sink = lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/data")
+    stream.writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+
+
 def upsert(batch: DataFrame, batch_id: int, folder: str, key: str, order: str) -> None:
     """foreachBatch: a new version of the table with the batch's last row of each key in place of older ones.
 
