@@ -19,7 +19,7 @@ def registered() -> dict[str, tuple[Query, str | None]]:
     for family in FAMILIES:
         out |= importlib.import_module(f"tessera.queries.{family}").QUERIES
     # families that stand on others
-    for name in ("retrieval", "checks"):
+    for name in ("retrieval", "checks", "sources"):
         out |= importlib.import_module(f"tessera.queries.{name}").QUERIES
     return out
 
