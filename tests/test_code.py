@@ -107,6 +107,6 @@ def test_ids(one):
 def test_scores(one):
     lit = F.lit
     full = [lit(x) for x in (2, 8, 1, 2, 1, 0, 2, 1)]
-    assert one(F.round(S.plan_confidence(*full), 6), F.round(S.plan_confidence(*[lit(0)] * 8), 6)) == [1.0, 0.35]
+    assert one(F.round(S.plan_confidence(*full), 6), F.round(S.plan_confidence(*[lit(0)] * 8), 6)) == [1.0, 0.2625]
     assert one(S.ownership_signal(lit(1), lit(0), lit(3)), S.reviewer_signal(lit(5)), S.similar_signal(lit(0.1)), S.similar_signal(lit(None).cast("double")), S.message_metric(lit("a, p95_ms 12.5, x"), "p95_ms")) == [0.04, 0.1, 0.05, 0.0, 12.5]
     assert one(S.lower_confidence(lit("exact"), lit("medium")), S.merged_messages(lit("b\na"), lit("a\nc")), S.availability(lit(False), lit(True), lit(False)), S.similar_confidence(lit(0.6), lit(3))) == ["medium", "a\nb\nc", "inferred_from_ownership", "high"]

