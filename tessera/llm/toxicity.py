@@ -9,13 +9,12 @@ the votes of left-out examples were worth, by pooled adjacent violators, makes a
 from __future__ import annotations
 
 import hashlib
-import heapq
 import math
-import pickle
 import re
+import sys
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -24,9 +23,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import keep, open_file, scratch
+from tessera.llm import exchange
+from tessera.llm.shared import cell, cell_of, keep, mix64, open_file, partitions, scratch, trimmed
+from tessera.llm.vectors import packed, unpacked
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
+OTHERS = {"hash": "<i8", "key": "<i8", "count": "<i4"}
+HELD = {"term": "<i4", "n": "<i8"}
+ADDS = {"key": "<i8", "add": "<i8"}
+#: What other terms add to a squared norm is summed in this unit, as integers, so the order of the sum is nothing.
+UNIT = 2.0**-30
 
 
 def features(text: str | None, stem: int) -> Counter:
@@ -38,59 +44,200 @@ def features(text: str | None, stem: int) -> Counter:
     return found
 
 
-def term_hash(term: str) -> int:
-    return int.from_bytes(hashlib.blake2b(term.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+@lru_cache(1)
+def _letters() -> np.ndarray:
+    """By code point, whether it is a letter of a word."""
+    out = np.zeros(sys.maxunicode + 1, bool)
+    for m in re.finditer(r"[^\W\d_]+", "".join(map(chr, range(len(out))))):
+        out[m.start() : m.end()] = True
+    return out
+
+
+@lru_cache(1)
+def _powers(n: int, base: int = 0xD6E8FEB86659FD93) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.multiply.accumulate(np.full(n, x, np.uint64)) for x in (base, pow(base, -1, 2**64)))
+
+
+STRIP = 1 << 18
+
+
+def term_hashes(letters: np.ndarray, stem: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a run of code points: where its words begin and their hashes, where words with a stem begin and the stems' hashes."""
+    solid = np.concatenate([[False], _letters()[letters], [False]])
+    edges = np.flatnonzero(solid[1:] != solid[:-1])
+    a, b = edges[::2], edges[1::2]
+    words, stems, at = np.empty(len(a), np.uint64), [np.zeros(0, np.uint64)], 0
+    (up, down), mark = _powers(STRIP + 1), np.uint64(1 << 63)
+    while at < len(a):
+        lo = int(a[at])
+        to = int(np.searchsorted(b, lo + STRIP, "right"))
+        if to <= at:  # a word longer than a strip
+            total = 0
+            for x in range(lo, int(b[at]), STRIP):
+                part = letters[x : min(x + STRIP, int(b[at]))].astype(np.uint64)
+                total += int((part * up[: len(part)]).sum(dtype=np.uint64)) * pow(int(up[0]), x - lo, 2**64)
+            words[at] = mix64(np.array([total * int(down[0]) % 2**64], np.uint64) + np.uint64(b[at] - lo))[0]
+            stems.append(mix64((letters[lo : lo + stem] * np.r_[np.uint64(1), up[: stem - 1]]).sum(dtype=np.uint64, keepdims=True) ^ mark))
+            at += 1
+            continue
+        sums = np.empty(int(b[to - 1]) - lo + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(letters[lo : b[to - 1]] * up[: len(sums) - 1], out=sums[1:])
+        x, y = a[at:to] - lo, b[at:to] - lo
+        before, scale = sums[x], down[x]
+        words[at:to] = mix64((sums[y] - before) * scale + (y - x).astype(np.uint64))
+        long = np.flatnonzero(y - x > stem)
+        stems.append(mix64((sums[x[long] + stem] - before[long]) * scale[long] ^ mark))
+        at = to
+    return a, words.view(np.int64), a[b - a > stem], np.concatenate(stems).view(np.int64)
+
+
+def hashed(texts: list[str | None], stem: int, letters_each: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each text features() as sorted 64-bit hashes of the terms, and how often each occurs."""
+    at = 0
+    while at < len(texts):
+        lows, size = [], 0
+        while at < len(texts) and (not lows or size + len(texts[at] or "") <= letters_each):
+            lows.append((texts[at] or "").lower())
+            size += len(lows[-1]) + 1
+            at += 1
+        letters = np.frombuffer("\n".join(lows).encode("utf-32-le", "surrogatepass"), "<u4")
+        ends = np.cumsum([len(t) + 1 for t in lows])
+        a, words, c, stems = term_hashes(letters, stem)
+        i, j, x, y = 0, 0, np.searchsorted(a, ends).tolist(), np.searchsorted(c, ends).tolist()
+        for u, v in zip(x, y, strict=True):
+            found, counts = np.unique(np.concatenate([words[i:u], stems[j:v]]), return_counts=True)
+            i, j = u, v
+            yield found, counts.astype(np.int32)
 
 
 def _digest(text: str) -> bytes:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
+def clusters(rows: np.ndarray, n: int, rounds: int = 4) -> np.ndarray:
+    """By row the nearest of n centres, moved some rounds to the means of their rows; they begin at rows evenly apart."""
+    if not len(rows) or not rows.shape[1]:
+        return np.zeros(len(rows), np.int64)
+    centres = rows[np.arange(n) * len(rows) // n].copy()
+    for _ in range(rounds):
+        near = np.argmax(rows @ (centres / np.maximum(np.sqrt((centres**2).sum(1)), 1e-9)[:, None]).T, 1)
+        for c in range(n):
+            if (near == c).any():
+                centres[c] = rows[near == c].mean(0)
+    return near
+
+
 class BlockMaxIndex:
-    """Inverted lists of weights over entries, cut into blocks of entries with each block's largest weight."""
+    """Inverted lists of weights over entries, in blocks of entries with each block's largest weight.
 
-    def __init__(self, vectors: Sequence[dict[int, float]], block: int = 64):
-        self.n, self.block = len(vectors), block
-        by: dict[int, list] = {}
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                by.setdefault(t, []).append((i, w))
-        self.lists = {}
-        for t, postings in by.items():
-            at, weight = np.array([p[0] for p in postings]), np.array([p[1] for p in postings])
-            blocks, first = np.unique(at // block, return_index=True)
-            self.lists[t] = at, weight, blocks, np.r_[first, len(at)], np.maximum.reduceat(weight, first)
-
-    def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k entries of the highest positive scores (score, entry), ties to the earlier entry, `without` left out.
-
-        Blocks are taken by the most that they can hold; the rest can't matter once that is below the k-th score.
+    Entries that are alike in their frequent terms lie together, the shorter first, so that a block's maxima are near what
+    its entries have. Lists of terms that more than the share `frequent` of the entries have are stored at full length, as
+    columns of a matrix, so that a block of them is one product; the others as postings.
+    """
+
+    ARRAYS = ("entry", "first", "owner", "weight", "heavy", "dense", "tops", "rows", "terms", "weights")
+
+    def __init__(self, vectors: Sequence, block: int = 64, n_terms: int | None = None, frequent: float = 0.08, n_clusters: int = 16):
+        """vectors: for each entry a mapping of terms (numbers) to weights, or a pair of arrays."""
+        pairs = [(np.fromiter(v, np.int64, len(v)), np.fromiter(v.values(), float, len(v))) if isinstance(v, dict) else v for v in vectors]
+        self.block, n = block, len(pairs)
+        sizes = np.array([len(t) for t, _ in pairs], np.int64)
+        term = np.concatenate([*(t for t, _ in pairs), np.zeros(0)]).astype(np.int32)
+        weight = np.concatenate([*(w for _, w in pairs), np.zeros(0)]).astype(float)
+        owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        self.n_terms = int(n_terms or (term.max(initial=-1) + 1))
+        count = np.bincount(term, minlength=self.n_terms)
+        self.heavy = np.flatnonzero(count > max(frequent * n, 16)).astype(np.int32)
+        place = np.full(self.n_terms, -1, np.int32)
+        place[self.heavy] = np.arange(len(self.heavy))
+        often = place[term] >= 0
+        dense = np.zeros((n, len(self.heavy)), np.float32)
+        dense[owner[often], place[term[often]]] = weight[often]
+        self.entry = np.lexsort((np.arange(n), sizes, clusters(dense, min(n, n_clusters)))).astype(np.int32)
+        blocks = -(-n // block)
+        self.dense = np.zeros((blocks * block, len(self.heavy)), np.float32)
+        self.dense[:n] = dense[self.entry]
+        self.tops = self.dense.reshape(blocks, block, len(self.heavy)).max(1) if n else np.zeros((0, len(self.heavy)), np.float32)
+        at = np.empty(n, np.int32)
+        at[self.entry] = np.arange(n)
+        rare = np.flatnonzero(~often)
+        rare = rare[np.lexsort((at[owner[rare]], term[rare]))]
+        count[self.heavy] = 0
+        self.first, self.owner, self.weight = np.concatenate([[0], np.cumsum(count)]), at[owner[rare]].astype(np.int64), weight[rare]
+        # the frequent terms' weights as they are, for the sums in double precision
+        often = np.flatnonzero(often)
+        often = often[np.argsort(at[owner[often]], kind="stable")]
+        self.rows = np.searchsorted(at[owner[often]], np.arange(n + 1))
+        self.terms, self.weights = place[term[often]], weight[often]
+        #: Blocks multiplied, and those that there were: what the maxima spared can be read off.
+        self.read = self.asked = 0
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {k: getattr(self, k) for k in self.ARRAYS} | {"shape": np.array([self.block, self.n_terms])}
+
+    @classmethod
+    def of(cls, arrays: dict[str, np.ndarray]) -> "BlockMaxIndex":
+        out = cls.__new__(cls)
+        out.__dict__ |= {k: arrays[k] for k in cls.ARRAYS}
+        (out.block, out.n_terms), out.read, out.asked = arrays["shape"].tolist(), 0, 0
+        return out
+
+    def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
+        """The k entries of the highest positive scores (score, entry), ties to the earlier entry."""
+        q = {t: w for t, w in query.items() if 0 <= t < self.n_terms}
+        return self.search([(np.fromiter(q, np.int64, len(q)), np.fromiter(q.values(), float, len(q)))], k)[0]
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+        """nearest() of several queries (terms, weights).
+
+        Postings are added up first. The k-th best of the blocks' best sums so far is below the k-th score, so a block's
+        frequent terms matter only if its best sum and its maxima reach that. What is near the k-th in the end is summed
+        anew in double precision.
         """
-        lists = [(self.lists[t], w) for t, w in query.items() if t in self.lists]
-        if not lists:
-            return []
-        most = np.zeros(-(-self.n // self.block))
-        for (_, _, blocks, _, top), w in lists:
-            most[blocks] += w * top
-        best: list[tuple[float, int]] = []
-        order = np.argsort(-most, kind="stable")
-        for b in order.tolist():
-            if most[b] <= 0 or len(best) == k and most[b] < best[0][0] - 1e-12:
-                break
-            scores = np.zeros(self.block)
-            for (at, weight, blocks, first, _), w in lists:
-                j = int(np.searchsorted(blocks, b))
-                if j < len(blocks) and blocks[j] == b:
-                    here = slice(int(first[j]), int(first[j + 1]))
-                    scores[at[here] - b * self.block] += w * weight[here]
-            for i in np.flatnonzero(scores).tolist():
-                item = (float(scores[i]), -(b * self.block + i))
-                if -item[1] != without:
-                    if len(best) < k:
-                        heapq.heappush(best, item)
-                    elif item > best[0]:
-                        heapq.heapreplace(best, item)
-        return [(s, -i) for s, i in sorted(best, reverse=True)]
+        n, out = len(self.entry), []
+        if not n:
+            return [[] for _ in queries]
+        place = np.full(self.n_terms, -1, np.int64)
+        place[self.heavy] = np.arange(len(self.heavy))
+        blocks, size = len(self.tops), self.block
+        for a in range(0, len(queries), 64):
+            some = queries[a : a + 64]
+            asked, sums, listed = np.zeros((len(some), len(self.heavy))), np.zeros((len(some), blocks * size), np.float32), []
+            floor = np.zeros(len(some), np.float32)
+            for i, (t, w) in enumerate(some):
+                p = place[t]
+                asked[i, p[p >= 0]] = w[p >= 0]
+                listed.append(self._listed(t[p < 0], w[p < 0]))
+                sums[i] = listed[i]
+            single, best = asked.astype(np.float32), sums.reshape(len(some), blocks, size).max(2)
+            if k < blocks:
+                floor = np.partition(best, -k, axis=1)[:, -k]
+            most = best + single @ self.tops.T
+            wanted = (most >= floor[:, None] * (1 - 1e-4) - 1e-6) & (most > 0)
+            for b in range(blocks):
+                rows = np.flatnonzero(wanted[:, b])
+                if len(rows):
+                    sums[rows, b * size : (b + 1) * size] += single[rows] @ self.dense[b * size : (b + 1) * size].T
+            self.read, self.asked = self.read + int(wanted.sum()), self.asked + wanted.size
+            for i in range(len(some)):
+                s = sums[i]
+                at = np.flatnonzero((s > 0) & (s >= floor[i] * (1 - 1e-4)))
+                if k < len(at):
+                    at = at[s[at] >= np.partition(s[at], -k)[-k] * (1 - 1e-4)]
+                scores, entry = listed[i][at] + [asked[i][self.terms[r]] @ self.weights[r] for r in (slice(*self.rows[e : e + 2]) for e in at.tolist())], self.entry[at]
+                best = np.lexsort((entry, -scores))[:k]
+                out.append([(x, e) for x, e in zip(scores[best].tolist(), entry[best].tolist(), strict=True) if x > 0])
+        return out
+
+    def _listed(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What the postings of these terms add to each entry."""
+        begin, size = self.first[terms], self.first[terms + 1] - self.first[terms]
+        at = np.repeat(begin - np.cumsum(size) + size, size)
+        at += np.arange(len(at))
+        values = self.weight[at]
+        values *= np.repeat(weights, size)
+        return np.bincount(self.owner[at], values, minlength=len(self.tops) * self.block)
 
 
 def pooled(raw: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[list[float], list[float]]:
@@ -113,116 +260,19 @@ def pooled(raw: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[list
     return [g[0] for g in out], [g[2] / g[1] for g in out]
 
 
-class Examples:
-    """Unit vectors of entries as rows and as lists of terms; the lists of frequent terms as a dense matrix with block maxima."""
-
-    def __init__(self, terms: list[np.ndarray], weights: list[np.ndarray], n_terms: int, block: int = 64, frequent: float = 0.08):
-        self.n, self.n_terms, self.block = len(terms), n_terms, block
-        self.row = np.cumsum([0, *map(len, terms)])
-        self.term = np.concatenate([*terms, np.zeros(0, np.int32)]).astype(np.int32)
-        self.weight = np.concatenate([*weights, np.zeros(0)]).astype(np.float32)
-        self.frequent = frequent
-        self.lists = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"lists": None}
-
-    def _listed(self):
-        """Lists by term are made where they are used, so only rows are sent."""
-        if self.lists is None:
-            owner = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.row))
-            count = np.bincount(self.term, minlength=self.n_terms)
-            n_blocks = -(-self.n // self.block)
-            heavy = np.flatnonzero(count > max(self.frequent * self.n, 32))
-            place = np.full(self.n_terms, -1, np.int32)
-            place[heavy] = np.arange(len(heavy))
-            dense = np.zeros((n_blocks * self.block, len(heavy)), np.float32)
-            at = place[self.term] >= 0
-            dense[owner[at], place[self.term[at]]] = self.weight[at]
-            count[heavy] = 0
-            first, rare = np.concatenate([[0], np.cumsum(count)]), np.flatnonzero(~at)
-            rare = rare[np.argsort(self.term[rare], kind="stable")]
-            tops = dense.reshape(n_blocks, self.block, len(heavy)).max(1)
-            self.lists = owner[rare], self.weight[rare], first, place, dense, tops
-        return self.lists
-
-    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
-        """For each query (terms, weights) the k entries of the highest positive products (product, entry), ties to the earlier.
-
-        Rare terms' lists are added first. The k-th sum so far bounds the k-th product from below, so of the frequent
-        terms only blocks whose best sum and maxima reach it are multiplied. What is near the k-th is then summed anew in
-        double precision.
-        """
-        if not self.n or not queries:
-            return [[] for _ in queries]
-        owner, weight, first, place, dense, tops = self._listed()
-        n_blocks, size = len(tops), self.block
-        out: list[list[tuple[float, int]]] = []
-        full = np.zeros(self.n_terms)
-        for a in range(0, len(queries), 64):
-            part = queries[a : a + 64]
-            sums = np.zeros((len(part), n_blocks * size), np.float32)
-            asked = np.zeros((len(part), dense.shape[1]), np.float32)
-            for i, (t, w) in enumerate(part):
-                heavy = place[t] >= 0
-                asked[i, place[t[heavy]]] = w[heavy]
-                t, w = t[~heavy], w[~heavy]
-                begin, count = first[t], first[t + 1] - first[t]
-                spots = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
-                sums[i] = np.bincount(owner[spots], weight[spots] * np.repeat(w, count), minlength=sums.shape[1])
-            floor = np.partition(sums, -k, axis=1)[:, -k] if k < sums.shape[1] else np.zeros(len(part), np.float32)
-            most = sums.reshape(len(part), n_blocks, size).max(2) + asked @ tops.T
-            wanted = (most >= floor[:, None] * (1 - 1e-4) - 1e-6) & (most > 0)
-            for b in range(n_blocks):
-                rows = np.flatnonzero(wanted[:, b])
-                if len(rows):
-                    sums[rows, b * size : (b + 1) * size] += asked[rows] @ dense[b * size : (b + 1) * size].T
-            for i, (t, w) in enumerate(part):
-                s = sums[i]
-                least = np.partition(s, -k)[-k] if k < len(s) else 0.0
-                full[t] = w
-                found = []
-                for e in np.flatnonzero((s > 0) & (s >= least * (1 - 1e-4))).tolist():
-                    span = slice(self.row[e], self.row[e + 1])
-                    found.append((-float(full[self.term[span]] @ self.weight[span].astype(float)), e))
-                full[t] = 0
-                out.append([(-x, e) for x, e in sorted(found)[:k]])
-        return out
-
-
-class Model:
-    """The entries with their tallies, terms' weights and the calibration."""
-
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray, int, int, int]], idf: np.ndarray, k: int):
-        """rows: (terms, counts, examples, toxic examples, one example's doc_id) of each distinct vector; idf: by term."""
-        self.idf, self.k = idf, k
-        rows = sorted(rows, key=lambda r: r[4])
-        # a text without any term is like the examples with none
-        self.n_none, self.toxic_none = (sum(r[i] for r in rows if not len(r[0])) for i in (2, 3))
-        rows = [r for r in rows if len(r[0])]
-        self.n, self.toxic = np.array([r[2] for r in rows] or [0]), np.array([r[3] for r in rows] or [0])
-        self.doc = [r[4] for r in rows]
-        self.base = (self.toxic.sum() + self.toxic_none + 1) / (self.n.sum() + self.n_none + 2)
-        vectors = [self.weights(r[0], r[1]) for r in rows]
-        self.index = Examples([r[0] for r in rows], [v / math.sqrt(v @ v) for v in vectors], len(idf))
-
-    def weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return (1 + np.log(counts)) * self.idf[terms]
+class Votes:
+    """The entries' tallies of labels, and what the nearest of them say."""
 
-    def left_out(self, entries: Sequence[int]) -> list[tuple[float, int, int]]:
-        """(raw share, label, examples): what the others' votes make of the entries' examples, one at a time."""
-        x, out = self.index, []
-        queries = [(x.term[x.row[i] : x.row[i + 1]], x.weight[x.row[i] : x.row[i + 1]].astype(float)) for i in entries]
-        for i, near in zip(entries, x.nearest(queries, self.k + 1), strict=True):
-            n, y = int(self.n[i]), int(self.toxic[i])
-            near = [p for p in near if p[1] != i or n > 1][: self.k]
-            out += [(self.votes(near, (i, own)), own, count) for own, count in ((1, y), (0, n - y)) if count]
-        return out
+    def __init__(self, n: np.ndarray, toxic: np.ndarray, doc: np.ndarray, n_none: int, toxic_none: int):
+        """By entry: examples, toxic ones, an example's doc_id; and how many examples have no terms at all."""
+        self.n, self.toxic, self.doc, self.n_none, self.toxic_none = n, toxic, doc, n_none, toxic_none
+        self.base = float((toxic.sum() + toxic_none + 1) / (n.sum() + n_none + 2))
 
     def none(self) -> float:
+        """A text without any term is like the examples with none."""
         return (self.toxic_none + self.base) / (self.n_none + 1)
 
-    def votes(self, near: list[tuple[float, int]], left_out: tuple[int, int] | None = None) -> float:
+    def share(self, near: list[tuple[float, int]], left_out: tuple[int, int] | None = None) -> float:
         """The distance-weighted share of toxic examples; the prior votes as one example at the distance of no likeness."""
         total, toxic = 1.0, self.base
         for s, i in near:
@@ -234,178 +284,285 @@ class Model:
             toxic += w * y
         return toxic / total
 
+    def left_out(self, index: BlockMaxIndex, entries: list[int], vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[float, int, int]]:
+        """(raw share, label, examples): what the others' votes make of the entries' examples, one at a time."""
+        out = []
+        for i, near in zip(entries, index.search(vectors, k + 1), strict=True):
+            n, y = int(self.n[i]), int(self.toxic[i])
+            near = [p for p in near if p[1] != i or n > 1][:k]
+            out += [(self.share(near, (i, own)), own, count) for own, count in ((1, y), (0, n - y)) if count]
+        return out
+
     def score(self, near: list[tuple[float, int]], some: bool, starts: list[float], scores: list[float]) -> float:
         """A score between 0 and 1 by the steps of pooled(); some: whether the text has any term."""
-        raw = self.votes(near) if some else self.none()
+        raw = self.share(near) if some else self.none()
         # the step's score, with the raw share as the finer order within it
         low = scores[max(bisect_right(starts, raw) - 1, 0)]
         return min(1.0, max(0.0, 0.999 * low + 0.001 * raw))
 
 
-@lru_cache(1)
-def loaded(path: str) -> Model:
-    with open_file(path, False)[2] as f:
-        return pickle.loads(f.read())
+def write(path: str, arrays: dict[str, np.ndarray]) -> None:
+    with open_file(path, True)[2] as f:
+        f.write(packed(arrays))
+
+
+def loaded(path: str) -> dict[str, np.ndarray]:
+    """The arrays of a file; of a local file they are views of the mapped file, which all workers share."""
+    f = open_file(path, False)[2]
+    return unpacked(f.read_buffer() if isinstance(f, pa.MemoryMappedFile) else f.read())
+
+
+def times_of(counts: pa.Scalar, n: int) -> np.ndarray:
+    """A vector's counts, in two bytes each or, where one is too large, in four."""
+    data = counts.as_buffer()
+    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<i4")
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def telling(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int, n_terms: int) -> np.ndarray:
+    """By term: 1, and for at most n_terms terms more, by how sure it is that toxic examples hold them more often."""
+    odds = np.log((toxic + 0.5) / (n_toxic + 1.0)) - np.log((clean + 0.5) / (n_clean + 1.0))
+    # the log ratio over its standard error
+    sure = odds / np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+    best = np.flatnonzero((toxic >= 3) & (odds > math.log(3)) & (sure > 3))
+    best = best[np.argsort(-sure[best], kind="stable")][:n_terms]
+    out = np.ones(len(clean))
+    out[best] += sure[best]
+    return out
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, k: int = 12, stem: int = 4, sample: int = 20_000, n_terms: int = 4096, threshold: float = 0.3, seed: int = 11) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) per row of docs (doc_id, text); labels: (doc_id, toxic 0 or 1).
 
-    Labels are learnt from rows that are not held out: `sample` of them at most, the first in a seeded hash order of
-    doc_id, are the examples, with all their terms; n_terms terms at most, those surest of toxic texts, get an extra
-    weight by how sure they are. Terms' document frequencies, norms and scores are over all rows of docs and whole texts,
-    terms that no example has included. evidence: doc_ids of the nearest examples, nearest first. Null and empty texts
-    have no terms and score like examples without any; a null doc_id is scored and not held out; rows with one doc_id are
-    scored each; without labels all scores are one; an empty table gives no rows. Columns of other names are left alone.
-    source, lang and doc_id are no inputs.
+    Labels are learnt from rows that are not held out: of `sample` labelled doc_ids at most, the first in a seeded hash
+    order, one text each (the first by hash, if rows share the doc_id) is an example, with all its terms; a doc_id that is
+    labelled both ways is toxic, and labels other than 0 and 1 are no labels. n_terms terms at most, those surest of
+    toxic texts, get an extra weight by how sure they are. Terms' document frequencies, norms and scores are over all
+    rows of docs and whole texts, terms that no example has included. evidence: doc_ids of the nearest examples, nearest
+    first, ties to the smaller doc_id; examples with one vector stand together under the smallest doc_id and vote each.
+    Null and empty texts have no terms and score like examples without any; a null doc_id is scored and not held out;
+    rows with one doc_id are scored each; long texts are read in runs; without labels all scores are one; an empty table
+    gives no rows. Columns of other names are left alone. source, lang and doc_id are no inputs.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     slim = slim.withColumn("key", F.xxhash64("text", "doc_id"))
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id").cast("long")))
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id").cast("long")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = keep(known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample))
-    examples = keep(slim.join(F.broadcast(chosen), "doc_id").dropDuplicates(["text"]).select("doc_id", "toxic", "text"))
+    # the first of a doc_id's texts by hash is its example
+    firsts = slim.select("doc_id", "key").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("key").alias("key"))
+    picked = slim.join(F.broadcast(keep(firsts)), ["doc_id", "key"])
+    more = slim.where(F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(max(1, docs.count() // sample))) == 0)
 
-    def tally(batches):
-        n: dict[str, list[int]] = {}
+    def vectors(batches):
         for b in batches:
-            for text, toxic in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                for f in features(text.as_py(), stem):
-                    n.setdefault(f, [0, 0])[toxic] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), *(pa.array([x[i] for x in n.values()], pa.int64()) for i in (0, 1))], names=["term", "clean", "toxic"])
-
-    size = {r.toxic: r.n for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = size.get(1, 0), size.get(0, 0)
-    tallied = examples.select("text", "toxic").mapInArrow(tally, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
-    clean, toxic = (tallied.column(c).to_numpy().astype(float) for c in ("clean", "toxic"))
-    order = np.argsort(np.array(tallied.column("term").to_pylist(), object), kind="stable") if len(tallied) else np.zeros(0, int)
-    clean, toxic, names = clean[order], toxic[order], tallied.column("term").take(pa.array(order)).to_pylist()
-    del tallied
-    odds = np.log((toxic + 0.5) / (n1 + 1.0)) - np.log((clean + 0.5) / (n0 + 1.0))
-    # the log ratio over its standard error: how surely the term is more common in toxic texts
-    sure = odds / np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
-    telling = np.flatnonzero((toxic >= 3) & (odds > math.log(3)) & (sure > 3))
-    telling = telling[np.argsort(-sure[telling], kind="stable")][:n_terms]
-    extra_weight = np.ones(len(names))
-    extra_weight[telling] += sure[telling]
-    terms = spark.sparkContext.broadcast({t: i for i, t in enumerate(names)})
+            rows = list(hashed(b.column(2).to_pylist(), stem))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r[0].tobytes() for r in rows], pa.binary()), pa.array([r[1].astype("<u2").tobytes() if r[1].max(initial=0) < 65536 else r[1].astype("<i4").tobytes() for r in rows], pa.binary())], names=["doc_id", "toxic", "terms", "counts"])
+
+    drawn = picked.select("doc_id", "toxic", "text").mapInArrow(trimmed(vectors), "doc_id long, toxic int, terms binary, counts binary")
+    # rows that are equal, doc_id and all, are one example
+    alike = drawn.groupBy("terms", "counts").agg(F.collect_set(F.struct("doc_id", "toxic")).alias("docs"))
+    entries = keep(alike.select("terms", "counts", F.size("docs").cast("long").alias("n"), F.aggregate("docs", F.lit(0).cast("long"), lambda x, d: x + d["toxic"]).alias("toxic"), F.array_min(F.transform("docs", lambda d: d["doc_id"])).alias("doc_id")))
+    folder = scratch(spark)
+
+    def once(rows: DataFrame, work, schema: str):
+        """The one row that work(all rows, a name of the task's own) gives in a single task: rows are bounded by `sample`."""
+
+        def run(batches):
+            table = pa.Table.from_batches(list(batches)).combine_chunks()
+            yield pa.RecordBatch.from_pylist([work(table.filter(table.column("_row")), f"{folder}/{TaskContext.get().taskAttemptId()}")])
+
+        # a row that isn't one, for tables that have none
+        nothing = spark.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema), F.lit(False).alias("_row"))
+        return rows.withColumn("_row", F.lit(True)).unionByName(nothing).repartition(1).mapInArrow(trimmed(run), schema).first()
+
+    def vocabulary(rows, name):
+        """The terms of the examples and of about `sample` rows of all. So a term beyond them is in few rows."""
+        terms = np.unique(np.concatenate([*(np.frombuffer(x.as_buffer(), "<i8") for x in rows.column("terms")), np.zeros(0, np.int64)]))
+        write(name + "-terms", {"terms": terms})
+        return {"path": name + "-terms", "n": len(terms)}
+
+    def distinct_terms(batches):
+        held = np.zeros(0, np.int64)
+        for b in batches:
+            for part in exchange.slices(pa.RecordBatch.from_arrays([b.column(0), b.column(0)], names=["text", "again"])):
+                held = np.unique(np.concatenate([held, *(found for found, _ in hashed(part.column(0).to_pylist(), stem))]))
+        yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], names=["terms"])
+
+    drawn_terms = more.select("text").mapInArrow(trimmed(distinct_terms), "terms binary")
+    made = once(entries.select("terms").unionByName(drawn_terms), vocabulary, "path string, n long")
+    terms_path, n_terms_known, n_parts, n_ranges = made.path, made.n, partitions(docs), 32
 
     def count(batches):
-        """A row of all terms with the number of rows that have them, key null; a row for each text of terms that no example has."""
-        number, n_rows = terms.value, 0
-        held = np.zeros(len(number), np.int64)
-        for b in batches:
-            keys, others, counts, every = [], [], [], []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                found = features(text.as_py(), stem)
-                ids = list(map(number.get, found))
-                n_rows += 1
-                if None in ids:
-                    other = [(term_hash(f), n) for (f, n), i in zip(found.items(), ids, strict=True) if i is None] if number else []
-                    ids = [i for i in ids if i is not None]
-                    if other:
-                        keys.append(key)
-                        others.append([h for h, _ in other])
-                        counts.append([n for _, n in other])
-                every += ids
-            held += np.bincount(np.array(every, np.int64), minlength=len(number))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(others, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], names=["key", "terms", "counts"])
-        seen = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([np.r_[-1, seen]], pa.list_(pa.int64())), pa.array([np.r_[n_rows, held[seen]]], pa.list_(pa.int64()))], names=["key", "terms", "counts"])
-
-    counted = keep(slim.select("key", "text").mapInArrow(count, "key long, terms array<long>, counts array<long>"))
-    df = counted.where("key IS NULL").select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts").alias("n")).toArrow()
-    at, n = df.column("terms").to_numpy(), df.column("n").to_numpy()
-    total, held = int(n[at < 0].sum()), np.zeros(len(names))
-    held[at[at >= 0]] = n[at >= 0]
-    idf = (np.log((1 + total) / (1 + held)) + 1) * extra_weight
-    # what a text's terms that no example has add to its squared norm
-    other = counted.where("key IS NOT NULL")
-    rare = other.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    each = other.dropDuplicates(["key"]).select("key", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("key", F.col("x.terms").alias("term"), F.col("x.counts").alias("c"))
-    squared = F.pow((1 + F.log("c")) * (F.log(F.lit(1.0 + total) / (1 + F.col("n"))) + 1), F.lit(2.0))
-    norms = each.join(rare, "term").groupBy("key").agg(F.sum(squared).alias("more"))
-
-    def sparse(found: Counter) -> tuple[np.ndarray, np.ndarray]:
-        number = terms.value
-        ids = np.fromiter((number.get(f, -1) for f in found), np.int32, len(found))
-        order = np.argsort(ids, kind="stable")[np.count_nonzero(ids < 0) :]
-        return ids[order], np.fromiter(found.values(), np.int32, len(found))[order]
+        """Postings of the terms beyond the vocabulary, by bucket; and for the task the number of its rows, and of those
+        that have each term of the vocabulary, by ranges of terms."""
+        known_terms = loaded(terms_path)["terms"]
+        held, n_rows, other, size = np.zeros(len(known_terms), np.int64), 0, [], 0
 
-    def vectors(batches):
-        for b in batches:
-            rows = [sparse(features(t.as_py(), stem)) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r[0].tobytes() for r in rows], pa.binary()), pa.array([r[1].tobytes() for r in rows], pa.binary())], names=["doc_id", "toxic", "terms", "counts"])
+        def row(batch, names, rows=0):
+            empty = pa.nulls(batch.num_rows, pa.binary())
+            n, arrays = len(batch.column(0)), {k: batch.column(i + 1) for i, k in enumerate(names)}
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([rows] * n, pa.int64()), *(arrays.get(k, empty) for k in (*OTHERS, *HELD))], names=["bucket", "rows", *OTHERS, *HELD])
 
-    # at most `sample` rows: one for each distinct vector of the examples
-    rows = examples.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, terms binary, counts binary")
-    rows = rows.groupBy("terms", "counts").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
-    folder, weight_of = scratch(spark), spark.sparkContext.broadcast(idf)
+        def flush():
+            c = exchange.joined(other, OTHERS)
+            other.clear()
+            return row(exchange.dealt(c, exchange.bucket_of(c["hash"].view(np.uint64), n_parts), "bucket", OTHERS), OTHERS)
 
-    def build(batches):
-        """One task writes the model, which the others read from the shared folder: the driver never holds it."""
-        entries = []
         for b in batches:
-            for t, c, *x in zip(b.column(0), b.column(1), *(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                entries.append((np.frombuffer(t.as_py(), np.int32), np.frombuffer(c.as_py(), np.int32), *x))
-        model = Model(entries, weight_of.value, k)
-        path = f"{folder}/model-{TaskContext.get().taskAttemptId()}"
-        with open_file(path, True)[2] as f:
-            f.write(pickle.dumps(model, 5))
-        fields = [path, model.index.n, int(model.n_none), int(model.toxic_none), float(model.none())]
-        yield pa.RecordBatch.from_pylist([dict(zip(("path", "entries", "n", "toxic", "none"), fields, strict=True))], pa.schema([("path", pa.string()), ("entries", pa.int64()), ("n", pa.int64()), ("toxic", pa.int64()), ("none", pa.float64())]))
-
-    # a row of no examples, for tables that have none
-    nothing = spark.createDataFrame([(b"", b"", 0, 0, -1)], "terms binary, counts binary, n long, toxic long, doc_id long")
-    built = rows.unionByName(nothing).repartition(1).mapInArrow(build, "path string, entries long, n long, toxic long, none double").first()
-    path = built.path
+            for key, (found, times) in zip(b.column(0).to_pylist(), hashed(b.column(1).to_pylist(), stem), strict=True):
+                n_rows += 1
+                at = np.searchsorted(known_terms, found)
+                here = at < len(known_terms)
+                here[here] = known_terms[at[here]] == found[here]
+                held[at[here]] += 1
+                if not here.all():
+                    beyond = ~here
+                    other.append({"hash": found[beyond], "key": np.full(beyond.sum(), key), "count": times[beyond]})
+                    size += len(other[-1]["hash"])
+            if size > 500_000:
+                yield flush()
+                size = 0
+        if size:
+            yield flush()
+        seen = np.flatnonzero(held)
+        if len(seen):
+            yield row(exchange.dealt({"term": seen, "n": held[seen]}, (seen * n_ranges // n_terms_known).astype(np.int32), "bucket", HELD), HELD)
+        yield row(pa.RecordBatch.from_arrays([pa.array([-1], pa.int32())], names=["bucket"]), (), n_rows)
+
+    kinds = exchange.schema_of("bucket", OTHERS | HELD).replace("bucket int", "bucket int, rows long")
+    counted = keep(slim.select("key", "text").mapInArrow(trimmed(count), kinds))
+    total = counted.agg(F.sum("rows")).first()[0] or 0
+
+    def frequencies(batches):
+        c = exchange.gathered(batches, HELD)
+        seen, at = np.unique(c["term"], return_inverse=True)
+        sums = np.zeros(len(seen), np.int64)
+        np.add.at(sums, at, c["n"])
+        yield pa.RecordBatch.from_arrays([pa.array([seen.astype("<i4").tobytes()], pa.binary()), pa.array([sums.tobytes()], pa.binary())], names=list(HELD))
+
+    held_by = counted.where("term IS NOT NULL").select("bucket", *HELD).repartitionById(n_ranges, F.col("bucket")).select(*HELD)
+    held_by = held_by.mapInArrow(trimmed(frequencies), "term binary, n binary")
+
+    def other_norms(batches):
+        """What the other terms of a bucket add to the squared norms of their texts."""
+        by: dict[int, list] = {}
+        for b in batches:
+            for i, bucket in enumerate(b.column(0).to_pylist()):
+                by.setdefault(bucket, []).append(b.slice(i, 1))
+        for parts in by.values():
+            c = exchange.gathered(parts, OTHERS)
+            parts.clear()
+            order = np.lexsort((c["key"], c["hash"]))
+            h, key, times = (c[x][order] for x in OTHERS)
+            new = np.r_[True, h[1:] != h[:-1]][: len(h)]
+            df = np.diff(np.r_[np.flatnonzero(new), len(h)])[np.cumsum(new) - 1]
+            once_each = new | np.r_[True, key[1:] != key[:-1]][: len(h)]
+            adds = np.rint(((1 + np.log(times)) * (np.log((1 + total) / (1 + df)) + 1)) ** 2 / UNIT).astype(np.int64)
+            columns = {"key": key[once_each], "add": adds[once_each]}
+            if len(columns["key"]):
+                yield exchange.dealt(columns, cell_of(columns["key"], n_parts), "cell", ADDS)
+
+    norms = counted.where("hash IS NOT NULL").select("bucket", *OTHERS).repartitionById(n_parts, F.col("bucket")).mapInArrow(trimmed(other_norms), exchange.schema_of("cell", ADDS))
+
+    def weigh(rows, name):
+        """Writes the weights of terms, the index over the entries, the entries themselves and their tallies."""
+        terms = loaded(terms_path)["terms"]
+        df, vectors_, tallies = np.zeros(len(terms)), [], []
+        order = np.argsort(rows.column("doc_id").fill_null(-1).to_numpy(), kind="stable")
+        for t, c, *x in (tuple(rows.column(k)[i] for k in ("terms", "counts", "n", "toxic", "doc_id", "term", "held")) for i in order.tolist()):
+            if t.is_valid:
+                tallies.append([v.as_py() for v in x[:3]])
+                ids = np.searchsorted(terms, np.frombuffer(t.as_buffer(), "<i8"))
+                vectors_.append((ids.astype(np.int32), times_of(c, len(ids))))
+            else:
+                df[np.frombuffer(x[3].as_buffer(), "<i4")] += np.frombuffer(x[4].as_buffer(), "<i8")
+        n, toxic, doc = np.array(tallies, np.int64).reshape(-1, 3).T
+        by_term, sizes = np.concatenate([*(i for i, _ in vectors_), np.zeros(0, np.int32)]), [len(i) for i, _ in vectors_]
+        with_toxic, with_any = (np.bincount(by_term, np.repeat(x, sizes), minlength=len(terms)) for x in (toxic, n))
+        idf = (np.log((1 + total) / (1 + df)) + 1) * telling(with_any - with_toxic, with_toxic, int((n - toxic).sum()), int(toxic.sum()), n_terms)
+        some = np.array(sizes, np.int64) > 0
+        unit = []
+        for ids, counts in (v for v in vectors_ if len(v[0])):
+            w = (1 + np.log(counts)) * idf[ids]
+            unit.append((ids, w / math.sqrt(w @ w)))
+        write(name + "-index", BlockMaxIndex(unit, n_terms=len(terms)).arrays() | {"idf": idf, "vocabulary": terms})
+        write(name + "-votes", {"n": n[some], "toxic": toxic[some], "doc": doc[some], "none": np.array([n[~some].sum(), toxic[~some].sum()])})
+        return {"name": name, "entries": len(unit)}
+
+    no = F.lit(None)
+    frequency_rows = held_by.select(no.cast("binary").alias("terms"), no.cast("binary").alias("counts"), no.cast("long").alias("n"), no.cast("long").alias("toxic"), no.cast("long").alias("doc_id"), "term", F.col("n").alias("held"))
+    built = once(entries.withColumn("term", no.cast("binary")).withColumn("held", no.cast("binary")).unionByName(frequency_rows), weigh, "name string, entries long")
+    name = built.name
+
+    def votes() -> Votes:
+        a = loaded(name + "-votes")
+        return Votes(a["n"], a["toxic"], a["doc"], *a["none"].tolist())
 
     def left_out(batches):
+        a, v = loaded(name + "-index"), votes()
+        index, vocabulary, idf = BlockMaxIndex.of(a), a["vocabulary"], a["idf"]
         for b in batches:
-            seen = loaded(path).left_out(b.column(0).to_pylist())
+            at, vectors = np.searchsorted(v.doc, b.column(2).to_numpy()).tolist(), []
+            for t, c in zip(b.column(0), b.column(1), strict=True):
+                ids = np.searchsorted(vocabulary, np.frombuffer(t.as_buffer(), "<i8"))
+                w = (1 + np.log(times_of(c, len(ids)))) * idf[ids]
+                vectors.append((ids, w / math.sqrt(w @ w)))
+            seen = v.left_out(index, at, vectors, k)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in seen], kind) for i, kind in ((0, pa.float64()), (1, pa.int64()), (2, pa.int64()))], names=["raw", "label", "n"])
 
-    tried = spark.range(0, built.entries, 1, 32).mapInArrow(left_out, "raw double, label long, n long").collect() if built.entries else []
-    tried = sorted([*map(tuple, tried), *([(built.none, 1, built.toxic), (built.none, 0, built.n - built.toxic)] if built.n else [])])
+    # at most two rows for each of the examples
+    asked = entries.where("length(terms) > 0").select("terms", "counts", "doc_id").repartition(32, "doc_id")
+    tried = asked.mapInArrow(trimmed(left_out), "raw double, label long, n long").collect() if built.entries else []
+    v = votes()
+    tried = sorted([*map(tuple, tried), *([(v.none(), 1, v.toxic_none), (v.none(), 0, v.n_none - v.toxic_none)] if v.n_none else [])])
     starts, scores = pooled(*(np.array(x, float) for x in zip(*tried, strict=True))) if tried else ([0.0], [0.5])
 
     def search(batches):
-        m, memo = loaded(path), {}
-        for b in batches:
-            texts = [t.as_py() or "" for t in b.column(2)]
-            if len(memo) > 20_000:
+        a, memo = loaded(name + "-index"), {}
+        index, vocabulary, idf = BlockMaxIndex.of(a), a["vocabulary"], a["idf"]
+        for part in (p for b in batches for p in exchange.slices(b)):
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            digests = list(map(_digest, texts))
+            if len(memo) > 10_000:
                 memo.clear()
-            new = list(dict.fromkeys(d for d in (_digest(t) for t in texts) if d not in memo))
-            text_of = {_digest(t): t for t in texts}
+            new = {d: t for d, t in zip(digests, texts, strict=True) if d not in memo}
             queries, norm, some = [], [], []
-            for d in new:
-                found = features(text_of[d], stem)
-                t, c = sparse(found)
-                w = m.weights(t, c)
+            for found, times in hashed(list(new.values()), stem):
+                at = np.searchsorted(vocabulary, found)
+                here = at < len(vocabulary)
+                here[here] = vocabulary[at[here]] == found[here]
+                t = at[here]
+                w = (1 + np.log(times[here])) * idf[t]
                 queries.append((t, w))
                 norm.append(float(w @ w))
-                some.append(bool(found))
-            for d, near, x, has in zip(new, m.index.nearest(queries, k), norm, some, strict=True):
+                some.append(len(found) > 0)
+            for d, near, x, has in zip(new, index.search(queries, k), norm, some, strict=True):
                 memo[d] = x, has, [s for s, _ in near], [i for _, i in near]
-            out = [memo[_digest(t)] for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.float64(), pa.bool_(), pa.list_(pa.float64()), pa.list_(pa.int32()))))], names=["doc_id", "key", "norm", "some", "products", "entries"])
-
-    found = slim.select("doc_id", "key", "text").mapInArrow(search, "doc_id long, key long, norm double, some boolean, products array<double>, entries array<int>")
-    found = found.join(norms, "key", "left").select("doc_id", F.sqrt(F.col("norm") + F.coalesce("more", F.lit(0.0))).alias("norm"), "some", "products", "entries")
-
-    def judge(batches):
-        m = loaded(path)
-        for b in batches:
-            found, evidence = [], []
-            for norm, some, products, entries in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
-                found.append(m.score([(p / norm, i) for p, i in zip(products, entries, strict=True)], some, starts, scores))
-                evidence.append([m.doc[i] for i in entries])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
-
-    scored = found.mapInArrow(judge, "doc_id long, score double, evidence array<long>")
+            out = [memo[d] for d in digests]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.float64(), pa.bool_(), pa.list_(pa.float64()), pa.list_(pa.int32()))))], names=["doc_id", "key", "norm", "some", "products", "entries"])
+
+    found = slim.select("doc_id", "text", "key").mapInArrow(trimmed(search), "doc_id long, key long, norm double, some boolean, products array<double>, entries array<int>")
+
+    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Scores of a cell's texts, with what their other terms add to the norms."""
+        v, more = votes(), exchange.gathered(right.to_batches(), ADDS)
+        keys, at = np.unique(more["key"], return_inverse=True)
+        sums = np.zeros(len(keys) + 1, np.int64)
+        np.add.at(sums, at, more["add"])
+        here = np.searchsorted(keys, own := left.column("key").to_numpy())
+        here = np.where((here < len(keys)) & (np.append(keys, 0)[here] == own), here, len(keys))
+        found, evidence = [], []
+        for extra, norm, some, products, near in zip(sums[here].tolist(), *(left.column(c).to_pylist() for c in ("norm", "some", "products", "entries")), strict=True):
+            norm = math.sqrt(norm + extra * UNIT)
+            found.append(v.score([(p / norm, i) for p, i in zip(products, near, strict=True)], some, starts, scores))
+            evidence.append(v.doc[near].tolist())
+        return pa.table({"doc_id": left.column("doc_id"), "score": pa.array(found, pa.float64()), "evidence": pa.array(evidence, pa.list_(pa.int64()))})
+
+    celled = found.withColumn("cell", cell(F.col("key"), n_parts)).groupBy("cell").cogroup(norms.groupBy("cell"))
+    scored = celled.applyInArrow(judge, "doc_id long, score double, evidence array<long>")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
