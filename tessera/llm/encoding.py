@@ -13,15 +13,12 @@ from array import array
 
 import numpy as np
 
-_WORKERS: dict[tuple[str, int], "Encoder"] = {}
+from tessera.llm.shared import Memo, resident
 
 
-def encoder(path: str, memo_entries: int = 2_000_000) -> "Encoder":
-    """This process's encoder of the tokenizer file at path."""
-    key = (path, memo_entries)
-    if key not in _WORKERS:
-        _WORKERS[key] = Encoder(path, memo_entries)
-    return _WORKERS[key]
+def encoder(path: str, memo_entries: int = 500_000) -> "Encoder":
+    """This process's encoder of the tokenizer file at path, kept until the process needs something else."""
+    return resident(("encoder", path, memo_entries), lambda: Encoder(path, memo_entries))
 
 
 def byte_alphabet() -> list[str]:
@@ -31,21 +28,6 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-class _Memo(dict):
-    """Piece to packed ids; emptied when it holds its most entries, so that its memory is bounded."""
-
-    def __init__(self, compute, most: int):
-        super().__init__()
-        self.compute, self.most = compute, most
-
-    def __missing__(self, piece: str) -> bytes:
-        found = self.compute(piece)
-        if len(self) >= self.most:
-            self.clear()
-        self[piece] = found
-        return found
-
-
 class Encoder:
     """ids(text): the little-endian unsigned 32-bit ids of encode(text, add_special_tokens=False), as bytes.
 
@@ -75,9 +57,8 @@ class Encoder:
             self.pretoken = regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.model = self.tokenizer.model
         self.bytes = dict(enumerate(byte_alphabet()))
-        self.words = _Memo(self._word if self.kind == "dropped" else self._piece, memo_entries)
+        self.words = Memo(self._word if self.kind == "dropped" else self._piece, memo_entries)
         self.separators = re.compile(r"[\x1c-\x1f]").search  # white space to str.split alone
-        self.odd = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]\Z|\x01").search
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -105,11 +86,11 @@ class Encoder:
         parts = self.pretoken(low)
         return self._model(low) if parts == [low] else b"".join([self.words[p] if len(p) < len(low) else self._model(p) for p in parts])
 
-    def _join(self, pieces: list[str]) -> bytes:
-        found = list(map(self.words.get, pieces))
-        if None in found:
-            found = [self.words[p] if x is None else x for p, x in zip(pieces, found, strict=True)]
-        return b"".join(found)
+    @staticmethod
+    def _plain(text: str) -> bool:
+        """Whether single spaces and line ends, and no other white space, stand between words and nowhere else."""
+        words, gaps = text.split(), text.count(" ") + text.count("\n")
+        return len(words) == gaps + 1 and len("".join(words)) + gaps == len(text) and "\x01" not in text
 
     def ids(self, text: str | None) -> bytes:
         if not text:
@@ -117,7 +98,7 @@ class Encoder:
         if self.kind == "dropped":
             if self.separators(text) or any(s in text for s in self.specials):
                 return self._whole(text)
-            return self._join(text.split())
-        if self.kind == "spaced" and not self.odd(text):
-            return self._join(text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01"))
+            return self.words.joined(text.split())
+        if self.kind == "spaced" and self._plain(text):
+            return self.words.joined(text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01"))
         return self._whole(text)
