@@ -86,10 +86,12 @@ def release() -> None:
 
 
 def trimmed(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """work, with release() after its last batch: workers outlive tasks, their buffers shouldn't."""
+    """work, with release() after its last batch: workers outlive tasks, their buffers shouldn't. Nor does what
+    resident() kept for a stage outlive the first task of one that doesn't ask for it."""
 
     @wraps(work)
     def run(batches):
+        _resident[:] = [None, None]
         yield from work(batches)
         release()
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import exchange
-from tessera.llm.shared import WORD, resident, trimmed
+from tessera.llm.shared import WORD, resident
 
 MARK = "▁"
 _words = re.compile(WORD).findall
@@ -158,4 +158,4 @@ def count_tokens(docs: DataFrame, path: str, memo_words: int = 400_000) -> DataF
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(ws) for ws in words], pa.int64()), pa.array(n_tokens, pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(trimmed(work), "doc_id long, n_pretokens long, n_tokens long")
+    return slim.mapInArrow(work, "doc_id long, n_pretokens long, n_tokens long")
