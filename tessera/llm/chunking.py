@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm import exchange
-from tessera.llm.repeats import KEPT, cut, with_unnamed
+from tessera.llm.repeats import KEPT, cut, rows_of, with_unnamed
 from tessera.llm.shared import keep, mix64, partitions
 
 CHUNKS = {"hash": "<u8", "low": "<u8", "doc": "<i8", "pos": "<i4", "length": "<i4"}
@@ -95,7 +95,8 @@ def remove_chunks(docs: DataFrame, least: int = 32, bits: int = 5, most: int = 2
     gone = keep(exchange.settle(posted, n, CHUNKS, lambda c: fold(c)[1], VERDICTS, "cell", lambda found: exchange.cells(found["doc"], n_cells)))
 
     def finish(table: pa.Table, c: exchange.Columns) -> pa.Table:
-        start = c["pos"].astype(np.int64)
-        return cut(table, c["doc"], start, start + c["length"])
+        at, row = rows_of(table, c["doc"])
+        start = c["pos"][at].astype(np.int64)
+        return cut(table, row, start, start + c["length"][at])
 
     return with_unnamed(docs, exchange.meet(docs, gone, n_cells, VERDICTS, finish, KEPT))

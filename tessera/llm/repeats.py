@@ -176,13 +176,39 @@ def repeated_windows(c: exchange.Columns, least: int):
     return {"doc": c["doc"][some], "pos": c["pos"][some], "mask": masks[some] & np.uint64(2 ** (side + 1) - 1), "hash": c["hash"][some]}
 
 
-def cut(table: pa.Table, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
-    """KEPT for the documents of table, without the bytes of the intervals [start, end) of their doc; with a column
-    carried, also that and the whole letters of what is left."""
-    docs = table.column("doc_id").to_numpy()
-    by = np.argsort(doc, kind="stable")
-    doc, start, end = doc[by], start[by], end[by]
-    a, b = np.searchsorted(doc, docs, "left"), np.searchsorted(doc, docs, "right")
+def rows_of(table: pa.Table, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a place in doc and a row of table with that doc_id."""
+    ids = table.column("doc_id").to_numpy()
+    by = np.argsort(ids, kind="stable")
+    first = np.searchsorted(ids[by], doc, "left")
+    n = np.searchsorted(ids[by], doc, "right") - first
+    at = np.repeat(np.arange(len(doc)), n)
+    return at, by[np.arange(len(at)) - np.repeat(np.cumsum(n) - n - first, n)]
+
+
+def anchored_rows(table: pa.Table, c: exchange.Columns) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a verdict and a row of table with its doc_id; where rows share that, those with its anchor there."""
+    at, row = rows_of(table, c["doc"])
+    several = np.bincount(at, minlength=len(c["doc"]))[at] > 1
+    if several.any():
+        data, offsets = text_bytes(table.column("text"))
+        start = offsets[row] + c["pos"][at].astype(np.int64)
+        asked = np.flatnonzero(several & (start + K <= offsets[row + 1]))
+        keep_it = ~several
+        if len(asked):
+            hashed = k_hashes(data[start[asked, None] + np.arange(K)].ravel())[::K]
+            keep_it[asked] = hashed == c["hash"][at[asked]]
+        at, row = at[keep_it], row[keep_it]
+    return at, row
+
+
+def cut(table: pa.Table, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
+    """KEPT for the rows of table, without the bytes of the intervals [start, end) of their row; with a column carried,
+    also that and the whole letters of what is left."""
+    by = np.argsort(row, kind="stable")
+    row, start, end = row[by], start[by], end[by]
+    rows = np.arange(table.num_rows)
+    a, b = np.searchsorted(row, rows, "left"), np.searchsorted(row, rows, "right")
     kept, spans = [], []
     for i, text in enumerate(table.column("text")):
         whole = text.as_buffer().to_pybytes() if text.is_valid else b""
@@ -209,8 +235,9 @@ def remove_repeats(docs: DataFrame, least: int = 50, carry: tuple[str, ...] = ()
 
     A byte goes if it is covered by a string of `least` bytes (K + 1 to 51) that also starts in a document with a
     smaller doc_id; strings are judged on the whole input. Null texts are empty. Rows with a null doc_id take no part
-    and are kept whole. Rows that share a doc_id count as one document: what goes, goes from each. Other columns, of
-    any name, are left alone, and an empty table gives no rows. Text is never decoded or cut; the order of rows,
+    and are kept whole. Rows that share a doc_id count as one document and lose nothing to
+    each other; each loses what it holds itself. Other columns, of any name, are left alone, and an empty table gives
+    no rows. Text is never decoded or cut; the order of rows,
     their partitions and equal texts make no difference. With columns to carry, the result has those of each row as
     `carried`, and as `kept_text` what is left of whole letters: a letter cut by a run's edge goes with it.
     """
@@ -225,12 +252,8 @@ def remove_repeats(docs: DataFrame, least: int = 50, carry: tuple[str, ...] = ()
         open_ = c["mask"] == 0
         doc, pos, hashed = c["doc"][open_], c["pos"][open_].astype(np.int64), c["hash"][open_]
         data, offsets = text_bytes(table.column("text"))
-        ids = table.column("doc_id").to_numpy()
-        by = np.argsort(ids, kind="stable")
-        row = np.searchsorted(ids[by], doc)
-        row = by[np.minimum(row, max(len(by) - 1, 0))] if len(by) else np.zeros(0, int)
-        true = ids[row] == doc if len(by) else np.zeros(len(doc), bool)
-        doc, pos, hashed, row = doc[true], pos[true], hashed[true], row[true]
+        at, row = anchored_rows(table, {"doc": doc, "pos": pos, "hash": hashed})
+        doc, pos, hashed = doc[at], pos[at], hashed[at]
         left, right = np.minimum(pos, side), np.minimum(offsets[row + 1] - offsets[row] - pos, least)
         fit = right >= K
         doc, pos, hashed, row, left, right = doc[fit], pos[fit], hashed[fit], row[fit], left[fit], right[fit]
@@ -250,15 +273,17 @@ def remove_repeats(docs: DataFrame, least: int = 50, carry: tuple[str, ...] = ()
     searched = keep(exchange.settle(fetched, n, CONTEXTS, lambda c: repeated_windows(c, least), VERDICTS, "cell", to_cell))
 
     def finish(table: pa.Table, c: exchange.Columns) -> pa.Table:
-        whole = c["mask"] == full
-        doc, start, end = [c["doc"][whole]], [np.maximum(c["pos"][whole].astype(np.int64) - side, 0)], [c["pos"][whole].astype(np.int64) + least]
-        some = (c["mask"] > 0) & ~whole
+        at, on = anchored_rows(table, c)
+        mask, pos = c["mask"][at], c["pos"][at].astype(np.int64)
+        whole = mask == full
+        row, start, end = [on[whole]], [np.maximum(pos[whole] - side, 0)], [pos[whole] + least]
+        some = (mask > 0) & ~whole
         for place in range(side + 1):
-            hit = some & (c["mask"] >> np.uint32(place) & np.uint32(1) > 0)
-            doc.append(c["doc"][hit])
-            start.append(c["pos"][hit].astype(np.int64) - side + place)
+            hit = some & (mask >> np.uint32(place) & np.uint32(1) > 0)
+            row.append(on[hit])
+            start.append(pos[hit] - side + place)
             end.append(start[-1] + least)
-        return cut(table, *(np.concatenate(x) for x in (doc, start, end)))
+        return cut(table, *(np.concatenate(x) for x in (row, start, end)))
 
     return with_unnamed(docs, exchange.meet(docs, sure.unionByName(searched), n_cells, VERDICTS, finish, carried(docs, carry), carry), carry)
 
