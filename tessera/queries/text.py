@@ -39,6 +39,6 @@ QUERIES = {
     "text_endpoints": (lambda t: t.raw("pages").select("page_id", P.endpoint_path(F.col("url")).alias("endpoint")), "SELECT page_id, CASE WHEN starts_with(p, '/') THEN p ELSE '/' || p END AS endpoint FROM (SELECT page_id, regexp_replace(regexp_replace(trim(url), '[?#].*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*', '') AS p FROM pages)"),
     "text_endpoint_counts": (lambda t: t.raw("pages").groupBy(P.parent(P.endpoint_path(F.col("url"))).alias("folder")).agg(F.count("*").alias("n")), "SELECT coalesce(regexp_extract(CASE WHEN starts_with(p, '/') THEN p ELSE '/' || p END, '^(.*)/[^/]*$', 1), '') AS folder, count(*) AS n FROM (SELECT regexp_replace(regexp_replace(trim(url), '[?#].*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*', '') AS p FROM pages) GROUP BY 1"),
     "text_redact": (lambda t: t.lines.select("file_id", "line", P.redacted(F.col("text")).alias("redacted")).where("redacted LIKE '%[REDACTED]%'"), f"WITH {LINES_SQL} SELECT * FROM (SELECT file_id, line, regexp_replace(text, '([^\\s=]*(?:password|passwd|secret|token|api_?key)[^\\s=]*=)\\S+', '\\1[REDACTED]', 'gi') AS redacted FROM lines) WHERE redacted LIKE '%[REDACTED]%'"),
-    "text_generated_files": (lambda t: t.files.where(P.is_generated(F.col("text"))).select("file_id"), f"WITH {FILES_SQL} SELECT file_id FROM files WHERE regexp_matches(lower(array_to_string(string_split(text, chr(10))[1:8], chr(10))), '@generated|generated by|do not edit|automatically generated')"),
+    "text_generated_files": (lambda t: t.files.where(P.is_generated(F.col("text"))).select("file_id"), f"WITH {FILES_SQL} SELECT file_id FROM files WHERE regexp_matches(lower(array_to_string(string_split(text, chr(10))[1:8], chr(10))), '@generated|code generated|do not edit|automatically generated')"),
     "text_fnv1a": (lambda t: t.raw("nation").select("n_name", fnv1a(F.col("n_name")).cast("string").alias("hash")), None),
 }
