@@ -127,8 +127,9 @@ def similar_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     rows. Extra columns, of any name, are left alone, an empty table gives no rows.
 
     Copies, however many, are collapsed by digest before anything else. The sets that share a signature with others go to
-    blocks of like size, and a task counts what two blocks share, set against set; it passes on each set's number of
-    links, and of the links those that join components. So every link is counted, and pairs are never rows.
+    blocks of like size, and a task counts what sets of two blocks share, each against those that share a signature with
+    it; it passes on each set's number of links, and of the links those that join components. So every link is counted,
+    and pairs are never rows.
     """
     n_parts = partitions(docs, 8 << 20)
     info = keep(profiles(docs, width))
@@ -185,89 +186,153 @@ def _spread(info: DataFrame, each: DataFrame) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-def _met(grouped: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den: int, block_shingles: int = 200_000) -> DataFrame:
+def _met(grouped: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den: int, block_shingles: int = 1_000_000) -> DataFrame:
     """(a, b, n): n null, links a - b that join what links join; b null, n links that node a has in a pair of blocks.
 
-    grouped: (gid, node). The sets are written in blocks by size; the blocks that hold nodes of one group, and sizes near
-    enough, meet in a task that reads both. A node is in one block, so a pair of nodes is counted once.
+    grouped: (gid, node). The sets are written in blocks by size, each with its groups; the blocks that hold nodes of one
+    group, in sizes near enough, meet in a task that reads both and compares what shares a group. A node is in one block,
+    so a pair of nodes is counted once.
     """
     spark, folder = grouped.sparkSession, scratch(grouped.sparkSession)
-    wanted = grouped.select("node").distinct().join(nodes, "node")
-    total = wanted.agg(F.sum("n")).first()[0] or 0
-    n_blocks = max(1, -(-total // block_shingles))
+    sized = grouped.groupBy("node").agg(F.collect_set("gid").alias("gids")).join(nodes, "node").withColumn("step", F.floor(F.log("n") * 100).cast("int"))
+    # steps of one in a hundred in size; a set counts for some shingles more than it has, so the nodes of a block are bounded
+    totals = sized.groupBy("step").agg(F.sum(F.col("n") + 50).alias("n")).orderBy("step").collect()
+    steps, n_blocks = _dealt([(r.step, r.n) for r in totals], block_shingles)
+    steps = F.broadcast(spark.createDataFrame(steps, "step int, first int, wide int"))
+    block = (F.col("first") + F.pmod(F.hash("node"), F.col("wide"))).alias("block")
 
     def write(batches):
-        ids, data, n = [], [], []
+        held: dict[int, dict[int, tuple[bytes, bytes]]] = {}
         for b in batches:
-            ids += b.column(0).to_pylist()
-            data += [x.as_buffer().to_pybytes() for x in b.column(1)]
-        if ids:
-            n = [len(x) // 8 for x in data]
-            task = TaskContext.get()
-            name, mark = f"{folder}/block-{task.partitionId():06d}.arrow", f".{task.taskAttemptId()}.tmp"
+            columns = b.column(0).to_pylist(), b.column(1).to_pylist(), (x.as_buffer().to_pybytes() for x in b.column(2)), (x.values.to_numpy().tobytes() for x in b.column(3))
+            for to, node, *data in zip(*columns, strict=True):
+                held.setdefault(to, {})[node] = tuple(data)
+        for to, rows in held.items():
+            name, mark = f"{folder}/block-{to:06d}.arrow", f".{TaskContext.get().taskAttemptId()}.tmp"
             store, path, sink = open_file(name + mark, True)
-            batch = pa.record_batch({"node": pa.array(ids, pa.int64()), "set": pa.array(data, pa.large_binary())})
+            ids, (data, gids) = list(rows), zip(*rows.values(), strict=True)
+            batch = pa.record_batch({"node": pa.array(ids, pa.int64()), "set": pa.array(data, pa.large_binary()), "gids": pa.array(gids, pa.large_binary())})
             with pa.ipc.new_stream(sink, batch.schema) as out:
                 out.write_batch(batch)
             sink.close()
             store.move(path, path[: -len(mark)])
             k = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()] * k, pa.int64()), pa.array([name] * k), pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["block", "path", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([to] * k, pa.int64()), pa.array([name] * k), pa.array(ids, pa.int64()), pa.array([len(x) // 8 for x in data], pa.int64())], names=["block", "path", "node", "n"])
 
-    # ranges of sizes, however many the session makes of them, are merged to the blocks wanted: few blocks hold a group
-    sized = wanted.join(sets, "node").repartitionByRange(n_blocks, "n", "node").coalesce(n_blocks).select("node", "set")
-    placed = keep(sized.mapInArrow(trimmed(write), "block long, path string, node long, n long"))
-    blocks = placed.groupBy("block", "path").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    held = grouped.join(placed.select("node", "block"), "node").select("gid", "block").distinct()
-    meet = held.select("gid", F.col("block").alias("i")).join(held.select("gid", F.col("block").alias("j")), "gid").where("i <= j").select("i", "j").distinct()
-    meet = meet.join(blocks.select(F.col("block").alias("i"), F.col("path").alias("path_i"), F.col("high").alias("high_i")), "i").join(blocks.select(F.col("block").alias("j"), F.col("path").alias("path_j"), F.col("low").alias("low_j")), "j")
-    meet = meet.where(num * F.col("low_j") <= den * F.col("high_i")).select("path_i", "path_j")
+    rows = sized.join(steps, "step").join(sets, "node").select(block, "node", "set", "gids")
+    placed = keep(rows.repartitionById(n_blocks, F.col("block")).mapInArrow(trimmed(write), "block long, path string, node long, n long"))
+    held = grouped.join(placed, "node").groupBy("gid", "block", "path").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    i, j = (held.select("gid", *(F.col(c).alias(f"{c}_{x}") for c in ("block", "path", "low", "high"))) for x in "ij")
+    meet = i.join(j, "gid").where(f"block_i <= block_j AND {num} * low_j <= {den} * high_i AND {num} * low_i <= {den} * high_j").select("path_i", "path_j").distinct()
 
     def read(path):
         b = pa.ipc.open_stream(open_file(path, False)[2]).read_next_batch()
-        return b.column(0).to_numpy(), [np.frombuffer(x.as_buffer(), "<u8") for x in b.column(1)]
+        return b.column(0).to_numpy(), *([np.frombuffer(x.as_buffer(), kind) for x in b.column(c)] for c, kind in ((1, "<u8"), (2, "<i8")))
 
     def work(batches):
         for b in batches:
             for path_i, path_j in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 same = path_i == path_j
-                node_i, sets_i = read(path_i)
-                node_j, sets_j = (node_i, sets_i) if same else read(path_j)
-                n_i, n_j = np.array([len(s) for s in sets_i]), np.array([len(s) for s in sets_j])
-                label = np.arange(len(sets_j) + (0 if same else len(sets_i)))
-                off = 0 if same else len(sets_j)
-                links_i, links_j = np.zeros(len(sets_i), np.int64), np.zeros(len(sets_j), np.int64)
+                node_i, *left = read(path_i)
+                node_j, *right = (node_i, *left) if same else read(path_j)
+                label = np.arange(len(node_j) + (0 if same else len(node_i)))
+                off = 0 if same else len(node_j)
+                links_i, links_j = np.zeros(len(node_i), np.int64), np.zeros(len(node_j), np.int64)
                 a_out, b_out = [], []
-                for at in range(0, len(sets_i), 512):
-                    part = slice(at, at + 512)
-                    shared = common_counts(sets_i[part], sets_j)
-                    similar = den * shared >= num * (n_i[part, None] + n_j[None] - shared)
-                    if same:
-                        similar[np.arange(len(similar)), at + np.arange(len(similar))] = False
-                    links_i[part] = similar.sum(1)
-                    if not same:
-                        links_j += similar.sum(0)
-                    for x in np.flatnonzero(links_i[part]).tolist():
-                        others = np.flatnonzero(similar[x])
-                        own = label[off + at + x]
-                        roots, first = np.unique(label[others], return_index=True)
-                        first = first[roots != own]
-                        if len(first):
-                            label[np.isin(label, roots)] = own
-                            a_out += [int(node_i[at + x])] * len(first)
-                            b_out += node_j[others[first]].tolist()
+                for x, others in linked(left, right, same, num, den):
+                    links_i[x] += len(others)
+                    links_j[others] += 1
+                    own = label[off + x]
+                    roots, first = np.unique(label[others], return_index=True)
+                    first = first[roots != own]
+                    if len(first):
+                        label[np.isin(label, roots)] = own
+                        a_out += [int(node_i[x])] * len(first)
+                        b_out += node_j[others[first]].tolist()
                 ends = [(node_i, links_i), (node_j, links_j)]
                 counted, links = (np.concatenate([e[i][e[1] > 0] for e in ends]) for i in (0, 1))
                 k, m = len(a_out), len(counted)
                 yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.array(a_out, np.int64), counted], pa.int64()), pa.array(b_out + [None] * m, pa.int64()), pa.array([None] * k + links.tolist(), pa.int64())], names=["a", "b", "n"])
 
-    return meet.repartition(max(n_blocks, 1), "path_i", "path_j").mapInArrow(trimmed(work), "a long, b long, n long")
+    return meet.repartition(4 * n_blocks, "path_i", "path_j").mapInArrow(trimmed(work), "a long, b long, n long")
+
+
+def _dealt(totals: list[tuple[int, int]], most: int) -> tuple[list[tuple[int, int, int]], int]:
+    """(step, first block, blocks) of steps and their totals in rising order, and the number of blocks: a step of more than
+    `most` has blocks of its own, small ones that follow each other share one."""
+    out, n, filled = [], 0, most
+    for step, total in totals:
+        k = -(-total // most)
+        if filled + total <= most:
+            out.append((step, n - 1, 1))
+            filled += total
+        else:
+            out.append((step, n, k))
+            n, filled = n + k, total if k == 1 else most
+    return out, max(n, 1)
+
+
+def linked(left: tuple[list, list], right: tuple[list, list], same: bool, num: int, den: int):
+    """(x, others) for each set on the left that links with some on the right: positions of x and of those.
+
+    Each side: its sets and the groups of each; what shares no group isn't compared. If both are the same, others come
+    after x.
+    """
+    (sets_i, groups_i), (sets_j, groups_j) = left, right
+    n_j, wide = np.array([len(s) for s in sets_j], np.int64), [len(g) for g in groups_i]
+    gid, owner = np.concatenate([*groups_j, np.zeros(0, np.int64)]), np.repeat(np.arange(len(sets_j)), [len(g) for g in groups_j])
+    order = np.argsort(gid, kind="stable")
+    gid, owner, asked = gid[order], owner[order], np.concatenate([*groups_i, np.zeros(0, np.int64)])
+    low, high, ends = np.searchsorted(gid, asked), np.searchsorted(gid, asked, "right"), np.cumsum(wide)
+    # by set the runs of its groups' owners, those that have any
+    some = np.flatnonzero(high > low)
+    of, low, high, met = np.searchsorted(ends, some, "right"), low[some].tolist(), high[some].tolist(), np.zeros(len(sets_j), bool)
+    xs, first = np.unique(of, return_index=True)
+    for x, a, b in zip(xs.tolist(), first.tolist(), [*first[1:].tolist(), len(of)], strict=True):
+        for u, v in zip(low[a:b], high[a:b], strict=True):
+            met[owner[u:v]] = True
+        if same:
+            met[: x + 1] = False
+        others, n = np.flatnonzero(met), len(sets_i[x])
+        met[others] = False
+        others = others[(num * n_j[others] <= den * n) & (num * n <= den * n_j[others])]
+        if len(others):
+            shared = shared_counts(sets_i[x], [sets_j[y] for y in others.tolist()])
+            others = others[den * shared >= num * (n + n_j[others] - shared)]
+            if len(others):
+                yield x, others
+
+
+def shared_counts(one: np.ndarray, others: list[np.ndarray], most: int = 1 << 20) -> np.ndarray:
+    """How many elements a set shares with each of others; sets are sorted, without repeats, and not empty.
+
+    The set's elements are in a table by their last bits. The few that lost their place to another one are searched for.
+    """
+    size = 1 << (16 * len(one)).bit_length()
+    mask, number, known = np.uint64(size - 1), np.arange(1, len(one) + 1, dtype=np.int32), np.concatenate([one[:1], one])
+    table, place = np.zeros(size, np.int32), (one & mask).view(np.int64)
+    table[place] = number
+    lost = one[table[place] != number]
+    sizes = np.array([len(s) for s in others], np.int64)
+    ends, out, at = np.cumsum(sizes), [], 0
+    while at < len(others):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + most, "right")))
+        flat = np.concatenate(others[at:to])
+        held = table[(flat & mask).view(np.int64)]
+        # an empty place stands for the first element, whose own place isn't empty
+        hit = known[held] == flat
+        if len(lost):
+            rest = np.flatnonzero((held > 0) & ~hit)
+            hit[rest] = lost[np.minimum(np.searchsorted(lost, flat[rest]), len(lost) - 1)] == flat[rest]
+        out.append(np.add.reduceat(hit, ends[at:to] - sizes[at:to] - (ends[at] - sizes[at]), dtype=np.int64))
+        at = to
+    return np.concatenate(out)
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray], heavy: int = 2048) -> np.ndarray:
     """How many elements each set on the left shares with each on the right; sets are sorted and without repeats.
 
-    An element held by few is counted pair by pair, those held by many as products of 0-1 matrices, some columns at a time.
+    The plain form of shared_counts(), for all pairs. An element held by few is counted pair by pair, those held by many as products of 0-1 matrices, some columns at a time.
     """
     out = np.zeros((len(left), len(right)), np.int64)
     owner = [np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (left, right)]

@@ -59,6 +59,37 @@ def test_copies_join(spark):
     assert len(got) == len(rows) and by[999] == {(0, 1)} and by[5000] == {(0, 1)} and by[5001] == {(5001, 0)} and by[7] == {(0, 1), (7, 0)}
 
 
+def test_only_groups_are_compared(monkeypatch):
+    """Of 2000 sets of like size, in groups of two or three, none meets a set of another group; counts are exact."""
+    rng = np.random.default_rng(8)
+    shared, asked = jaccard.shared_counts, []
+    monkeypatch.setattr(jaccard, "shared_counts", lambda one, others: asked.append(len(others)) or shared(one, others))
+    base = [np.unique(rng.integers(0, 2**63, 40).astype(np.uint64)) for _ in range(900)]
+    sets = [b[cut:] for cut in (0, 1) for b in base] + [b[6:] for b in base[:200]]
+    groups = [np.array([i % 900 if i < 1800 else i - 1800]) for i in range(2000)]
+    pairs = {(x, y) for x, others in jaccard.linked((sets, groups), (sets, groups), True, 17, 20) for y in others.tolist()}
+    assert pairs == {(i, i + 900) for i in range(900)} | {(i + 900 * c, i + 1800) for i in range(200) for c in (0, 1)}
+    assert sum(asked) == 900 + 2 * 200
+    crossed = {(x, y) for x, others in jaccard.linked((sets[:900], groups[:900]), (sets[900:], groups[900:]), False, 17, 20) for y in others.tolist()}
+    assert crossed == {(x, y - 900) for x, y in pairs if x < 900}
+
+
+@pytest.mark.parametrize("scale", [1, 2**20, 2**40])
+def test_shared_counts(scale):
+    """Also where all elements have the same last bits."""
+    rng = np.random.default_rng(9)
+    one, *others = (np.unique(rng.integers(0, 300, k).astype(np.uint64) * np.uint64(scale)) for k in (100, *rng.integers(1, 90, 60)))
+    for most in (1, 200, 1 << 20):
+        assert jaccard.shared_counts(one, others, most).tolist() == [len(np.intersect1d(one, o)) for o in others]
+
+
+def test_size_steps():
+    """A step too large for a block has blocks of its own, small neighbours share one, and none is lost."""
+    steps, n = jaccard._dealt([(1, 30), (2, 50), (3, 30), (4, 250), (5, 10), (6, 10)], 100)
+    assert steps == [(1, 0, 1), (2, 0, 1), (3, 1, 1), (4, 2, 3), (5, 5, 1), (6, 5, 1)] and n == 6
+    assert jaccard._dealt([], 100) == ([], 1)
+
+
 def test_long_word(monkeypatch):
     """Words longer than a strip hash as they would in one piece."""
     data = np.frombuffer(b"ab cdefghijklmnop qr", np.uint8)
