@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import exchange
 from tessera.llm.shared import cell, cell_of, keep, mix64, open_file, partitions, scratch, trimmed
-from tessera.llm.vectors import packed, unpacked
+from tessera.llm.vectors import loaded, packed
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 OTHERS = {"hash": "<i8", "key": "<i8", "count": "<i4"}
@@ -306,12 +306,6 @@ def write(path: str, arrays: dict[str, np.ndarray]) -> None:
         f.write(packed(arrays))
 
 
-def loaded(path: str) -> dict[str, np.ndarray]:
-    """The arrays of a file; of a local file they are views of the mapped file, which all workers share."""
-    f = open_file(path, False)[2]
-    return unpacked(f.read_buffer() if isinstance(f, pa.MemoryMappedFile) else f.read())
-
-
 def times_of(counts: pa.Scalar, n: int) -> np.ndarray:
     """A vector's counts, in two bytes each or, where one is too large, in four."""
     data = counts.as_buffer()

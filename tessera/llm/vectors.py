@@ -1,7 +1,8 @@
 """Vectors in blocks: index blocks and query blocks that meet pair by pair, and the merge of what each pair found.
 
 Vectors take part if id and vector are not null, the vector is not empty and no component is null or non-finite.
-Only vectors of one length are compared. Blocks are dealt by a hash of the id, so any order of the table will do.
+Only vectors of one length are compared. Blocks are dealt by a hash of the id, so any order of the table will do. They
+are files in the shared folder, and what is joined are their names: no vector passes through the driver.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import keep, trimmed
+from tessera.llm.shared import keep, open_file, scratch, trimmed
 
 FOUND = "query_part int, dim int, place int, query_id long, vec_id long, score double"
 
@@ -29,7 +30,9 @@ def sound(df: DataFrame, id_column: str, vector: str, zero: bool = True) -> Data
 
 
 def blocks(vectors: DataFrame, n: int, build: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
-    """(part, dim, ids, payload): the vectors of each of n parts, one row for each length; build makes the payload's arrays."""
+    """(part, dim, path): the vectors of each of n parts, a file for each length with their ids and the arrays that build
+    makes; loaded() reads it."""
+    folder = scratch(vectors.sparkSession)
 
     def work(batches):
         ids, rows = [], []
@@ -45,10 +48,22 @@ def blocks(vectors: DataFrame, n: int, build: Callable[[np.ndarray, np.ndarray],
             at = np.flatnonzero(lengths == dim)
             at = at[np.argsort(ids[at], kind="stable")]
             matrix = flat[starts[at][:, None] + np.arange(dim)]
-            yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "dim": int(dim), "ids": ids[at].astype("<i8").tobytes(), "payload": packed(build(ids[at], matrix))}], schema=schema)
+            task = TaskContext.get()
+            name, mark = f"{folder}/part-{task.partitionId():06d}-{dim}.arrow", f".{task.taskAttemptId()}.tmp"
+            store, path, sink = open_file(name + mark, True)
+            sink.write(packed({"ids": ids[at].astype("<i8")} | build(ids[at], matrix)))
+            sink.close()
+            store.move(path, path[: -len(mark)])
+            yield pa.RecordBatch.from_pylist([{"part": task.partitionId(), "dim": int(dim), "path": name}], schema=schema)
 
-    schema = pa.schema([("part", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("payload", pa.binary())])
-    return keep(vectors.repartition(n, "id").mapInArrow(work, "part int, dim int, ids binary, payload binary"))
+    schema = pa.schema([("part", pa.int32()), ("dim", pa.int32()), ("path", pa.string())])
+    return keep(vectors.repartition(n, "id").mapInArrow(trimmed(work), "part int, dim int, path string"))
+
+
+def loaded(path: str) -> dict[str, np.ndarray]:
+    """The arrays of a block's file; of a local file they are views of the mapped file, which all workers share."""
+    f = open_file(path, False)[2]
+    return unpacked(f.read_buffer() if isinstance(f, pa.MemoryMappedFile) else f.read())
 
 
 def packed(arrays: dict[str, np.ndarray]) -> bytes:
@@ -72,23 +87,27 @@ def search(vectors: DataFrame, is_query: Column, k: int, build, scan, nearest_fi
     """query_id, rank (from 1), vec_id, score: each query's k best rows but its own, ties to the smaller vec_id.
 
     scan(ids, payload, query_ids, query_matrix) gives arrays (query position, vec_id, score) with the k best of one
-    index block at least. Every query block meets every index block in some task; a block holds block_rows or
+    index block at least. Every query block meets every index block in the index block's task; a block holds block_rows or
     query_rows vectors, and of a pair only k rows a query go on. Query rows that share an id are queries of their own.
     """
     vectors = keep(vectors)
     n, n_queries = vectors.count(), vectors.where(is_query).count()
     parts = max(1, math.ceil(n / block_rows))
     index = blocks(vectors, parts, build)
-    parts = max([0, *(r[0] for r in index.agg(F.max("part")).collect() if r[0] is not None)]) + 1
+    # names of files, one for query_rows queries
     asked = blocks(vectors.where(is_query), max(1, math.ceil(n_queries / query_rows)), lambda ids, m: {"m": m})
-    asked = asked.select("dim", F.col("part").alias("query_part"), F.col("ids").alias("query_ids"), F.col("payload").alias("query"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    asked = F.broadcast(asked.select("dim", F.col("part").alias("query_part"), F.col("path").alias("query_path")))
     sign = 1 if nearest_first else -1
 
     def work(batches):
+        path = payload = None
         for b in batches:
             for r in b.to_pylist():
-                query_ids = np.frombuffer(r["query_ids"], "<i8")
-                at, ids, score = scan(np.frombuffer(r["ids"], "<i8"), unpacked(r["payload"]), query_ids, unpacked(r["query"])["m"])
+                if r["path"] != path:
+                    path, payload = r["path"], loaded(r["path"])
+                queries = loaded(r["query_path"])
+                query_ids = queries["ids"]
+                at, ids, score = scan(payload["ids"], payload, query_ids, queries["m"])
                 own = ids != query_ids[at]
                 at, ids, score = at[own], ids[own], score[own]
                 order = np.lexsort((ids, sign * score, at))
@@ -98,6 +117,7 @@ def search(vectors: DataFrame, is_query: Column, k: int, build, scan, nearest_fi
                 whose = [pa.array(np.full(len(at), r[x]), pa.int32()) for x in ("query_part", "dim")]
                 yield pa.RecordBatch.from_arrays([*whose, pa.array(at, pa.int32()), pa.array(query_ids[at], pa.int64()), pa.array(ids, pa.int64()), pa.array(score.astype(float), pa.float64())], names=[c.split()[0] for c in FOUND.split(", ")])
 
-    found = index.join(asked, ["part", "dim"]).select("ids", "payload", "query_ids", "query", "query_part", "dim").mapInArrow(trimmed(work), FOUND)
+    pairs = index.join(asked, "dim").repartitionById(parts, F.col("part")).sortWithinPartitions("path", "query_path")
+    found = pairs.select("path", "query_path", "query_part", "dim").mapInArrow(trimmed(work), FOUND)
     best = Window.partitionBy("query_id", "query_part", "dim", "place").orderBy(F.col("score").asc() if nearest_first else F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

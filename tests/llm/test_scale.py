@@ -245,6 +245,29 @@ def test_repeated_vectors(spark, search):
     assert len(got) == 8 and Counter(r["rank"] for r in got) == Counter({1: 2, 2: 2, 3: 2, 4: 2}) and all(r.vec_id != 100 for r in got)
 
 
+@pytest.mark.parametrize("search", [topk.top_products, permutation.nearest])
+def test_vectors_stay_out_of_the_driver(spark, search):
+    """Blocks are joined by the names of their files: sides that Spark may broadcast hold no vectors."""
+    df = spark.range(300).select("id", F.array(*(F.rand(i) for i in range(4))).alias("v"))
+    found = search(df, "id", "v", F.col("id") % 10 == 0)
+    nodes, sides = [found._jdf.queryExecution().optimizedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        nodes += children
+        if node.getClass().getSimpleName() == "Join":
+            sides += [c.output().apply(i).dataType().typeName() for c in children for i in range(c.output().size())]
+    assert sides and not {"binary", "array"} & set(sides)
+    assert found.count() == 300
+
+
+@pytest.mark.parametrize("n", [1, 40, 1500, 4000])
+def test_first_by_hash(spark, n):
+    vectors = spark.range(0, 3000, numPartitions=7).select("id", F.array(F.col("id").cast("double")).alias("v"))
+    plain = vectors.orderBy(F.xxhash64(F.lit(7), "id"), "id").limit(n).collect()
+    assert permutation.first_by_hash(vectors, n, 7) == plain
+
+
 def test_recall(spark):
     """The query's own parameters find nine of ten nearest vectors."""
     rng = np.random.default_rng(9)
