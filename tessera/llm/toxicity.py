@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import exchange
 from tessera.llm.shared import cell, cell_of, keep, mix64, open_file, partitions, scratch, trimmed
-from tessera.llm.vectors import loaded, packed
+from tessera.llm.vectors import loaded, write as write_arrays
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 OTHERS = {"hash": "<i8", "key": "<i8", "count": "<i4"}
@@ -143,8 +143,8 @@ class BlockMaxIndex:
         pairs = [(np.fromiter(v, np.int64, len(v)), np.fromiter(v.values(), float, len(v))) if isinstance(v, dict) else v for v in vectors]
         self.block, n = block, len(pairs)
         sizes = np.array([len(t) for t, _ in pairs], np.int64)
-        term = np.concatenate([*(t for t, _ in pairs), np.zeros(0)]).astype(np.int32)
-        weight = np.concatenate([*(w for _, w in pairs), np.zeros(0)]).astype(float)
+        term = np.concatenate([*(t for t, _ in pairs), np.zeros(0, np.int32)]).astype(np.int32, copy=False)
+        weight = np.concatenate([*(w for _, w in pairs), np.zeros(0)]).astype(float, copy=False)
         owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
         self.n_terms = int(n_terms or (term.max(initial=-1) + 1))
         count = np.bincount(term, minlength=self.n_terms)
@@ -164,7 +164,7 @@ class BlockMaxIndex:
         rare = np.flatnonzero(~often)
         rare = rare[np.lexsort((at[owner[rare]], term[rare]))]
         count[self.heavy] = 0
-        self.first, self.owner, self.weight = np.concatenate([[0], np.cumsum(count)]), at[owner[rare]].astype(np.int64), weight[rare]
+        self.first, self.owner, self.weight = np.concatenate([[0], np.cumsum(count)]), at[owner[rare]], weight[rare]
         # the frequent terms' weights as they are, for the sums in double precision
         often = np.flatnonzero(often)
         often = often[np.argsort(at[owner[often]], kind="stable")]
@@ -201,8 +201,8 @@ class BlockMaxIndex:
         place = np.full(self.n_terms, -1, np.int64)
         place[self.heavy] = np.arange(len(self.heavy))
         blocks, size = len(self.tops), self.block
-        for a in range(0, len(queries), 64):
-            some = queries[a : a + 64]
+        for a in range(0, len(queries), 128):
+            some = queries[a : a + 128]
             asked, sums, listed = np.zeros((len(some), len(self.heavy))), np.zeros((len(some), blocks * size), np.float32), []
             floor = np.zeros(len(some), np.float32)
             for i, (t, w) in enumerate(some):
@@ -217,9 +217,12 @@ class BlockMaxIndex:
             wanted = (most >= floor[:, None] * (1 - 1e-4) - 1e-6) & (most > 0)
             for b in range(blocks):
                 rows = np.flatnonzero(wanted[:, b])
-                if len(rows):
+                # copies of the rows cost more than the products that they spare, unless they are few
+                rows = rows if 4 * len(rows) < len(some) else slice(None)
+                if wanted[:, b].any():
                     sums[rows, b * size : (b + 1) * size] += single[rows] @ self.dense[b * size : (b + 1) * size].T
-            self.read, self.asked = self.read + int(wanted.sum()), self.asked + wanted.size
+                    self.read += len(sums[rows])
+            self.asked += wanted.size
             for i in range(len(some)):
                 s = sums[i]
                 at = np.flatnonzero((s > 0) & (s >= floor[i] * (1 - 1e-4)))
@@ -232,12 +235,16 @@ class BlockMaxIndex:
 
     def _listed(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """What the postings of these terms add to each entry."""
-        begin, size = self.first[terms], self.first[terms + 1] - self.first[terms]
-        at = np.repeat(begin - np.cumsum(size) + size, size)
-        at += np.arange(len(at))
-        values = self.weight[at]
-        values *= np.repeat(weights, size)
-        return np.bincount(self.owner[at], values, minlength=len(self.tops) * self.block)
+        begin, end = self.first[terms], self.first[terms + 1]
+        out = np.zeros(len(self.tops) * self.block)
+        # runs as they lie, in pieces that fit a cache
+        runs = list(zip(begin.tolist(), end.tolist(), strict=True))
+        for a in range(0, len(runs), 128):
+            some = runs[a : a + 128]
+            values = np.concatenate([self.weight[x:y] for x, y in some])
+            values *= np.repeat(weights[a : a + 128], (end - begin)[a : a + 128])
+            np.add.at(out, np.concatenate([self.owner[x:y] for x, y in some]).astype(np.int64), values)
+        return out
 
 
 def pooled(raw: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[list[float], list[float]]:
@@ -303,7 +310,7 @@ class Votes:
 
 def write(path: str, arrays: dict[str, np.ndarray]) -> None:
     with open_file(path, True)[2] as f:
-        f.write(packed(arrays))
+        write_arrays(f, arrays)
 
 
 def times_of(counts: pa.Scalar, n: int) -> np.ndarray:

@@ -51,7 +51,7 @@ def blocks(vectors: DataFrame, n: int, build: Callable[[np.ndarray, np.ndarray],
             task = TaskContext.get()
             name, mark = f"{folder}/part-{task.partitionId():06d}-{dim}.arrow", f".{task.taskAttemptId()}.tmp"
             store, path, sink = open_file(name + mark, True)
-            sink.write(packed({"ids": ids[at].astype("<i8")} | build(ids[at], matrix)))
+            write(sink, {"ids": ids[at].astype("<i8")} | build(ids[at], matrix))
             sink.close()
             store.move(path, path[: -len(mark)])
             yield pa.RecordBatch.from_pylist([{"part": task.partitionId(), "dim": int(dim), "path": name}], schema=schema)
@@ -60,26 +60,24 @@ def blocks(vectors: DataFrame, n: int, build: Callable[[np.ndarray, np.ndarray],
     return keep(vectors.repartition(n, "id").mapInArrow(trimmed(work), "part int, dim int, path string"))
 
 
-def loaded(path: str) -> dict[str, np.ndarray]:
-    """The arrays of a block's file; of a local file they are views of the mapped file, which all workers share."""
-    f = open_file(path, False)[2]
-    return unpacked(f.read_buffer() if isinstance(f, pa.MemoryMappedFile) else f.read())
-
-
-def packed(arrays: dict[str, np.ndarray]) -> bytes:
-    batch = pa.record_batch({k: pa.array([np.ascontiguousarray(a).tobytes(), f"{a.dtype.str} {' '.join(map(str, a.shape))}".encode()], pa.binary()) for k, a in arrays.items()})
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+def write(sink, arrays: dict[str, np.ndarray]) -> None:
+    """Arrays into an open file, one after the other and without copies; loaded() reads them."""
+    schema = pa.schema([("name", pa.string()), ("kind", pa.string()), ("data", pa.large_binary())])
+    with pa.ipc.new_stream(sink, schema) as out:
+        for name, array in arrays.items():
+            array = np.ascontiguousarray(array)
+            bounds, data = np.array([0, array.nbytes], np.int64), array.reshape(-1).view(np.uint8)
+            column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+            out.write_batch(pa.record_batch([pa.array([name]), pa.array([" ".join([array.dtype.str, *map(str, array.shape)])]), column], schema=schema))
 
 
-def unpacked(data: bytes) -> dict[str, np.ndarray]:
-    batch = pa.ipc.open_stream(data).read_next_batch()
+def loaded(path: str) -> dict[str, np.ndarray]:
+    """The arrays of a file; of a local file they are views of the mapped file, which all workers share."""
     out = {}
-    for name, column in zip(batch.schema.names, batch.columns, strict=True):
-        kind, *shape = column[1].as_py().decode().split()
-        out[name] = np.frombuffer(column[0].as_buffer(), kind).reshape([int(x) for x in shape])
+    with pa.ipc.open_stream(open_file(path, False)[2]) as batches:
+        for b in batches:
+            kind, *shape = b.column(1)[0].as_py().split()
+            out[b.column(0)[0].as_py()] = np.frombuffer(b.column(2)[0].as_buffer(), kind).reshape([int(x) for x in shape])
     return out
 
 
