@@ -16,6 +16,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ HELD = {"term": "<i4", "n": "<i8"}
 ADDS = {"key": "<i8", "add": "<i8"}
 #: What other terms add to a squared norm is summed in this unit, as integers, so the order of the sum is nothing.
 UNIT = 2.0**-30
+#: Postings that are added up at a time.
+PIECE = 1 << 17
 
 
 def features(text: str | None, stem: int) -> Counter:
@@ -106,9 +109,23 @@ def hashed(texts: list[str | None], stem: int, letters_each: int = 1 << 17) -> I
         a, words, c, stems = term_hashes(letters, stem)
         i, j, x, y = 0, 0, np.searchsorted(a, ends).tolist(), np.searchsorted(c, ends).tolist()
         for u, v in zip(x, y, strict=True):
-            found, counts = np.unique(np.concatenate([words[i:u], stems[j:v]]), return_counts=True)
+            found = np.concatenate([words[i:u], stems[j:v]])
+            found.sort()
+            first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])[: len(found)])
+            counts = np.diff(first, append=len(found))
             i, j = u, v
-            yield found, counts.astype(np.int32)
+            yield found[first], counts.astype(np.int32)
+
+
+def places(vocabulary: np.ndarray, found: list[np.ndarray]) -> list[np.ndarray]:
+    """Of each array of terms their places in the vocabulary, -1 for those that it lacks; equal terms are looked up once."""
+    if not found:
+        return []
+    terms, inverse = np.unique(np.concatenate(found), return_inverse=True)
+    at = np.searchsorted(vocabulary, terms)
+    here = at < len(vocabulary)
+    here[here] = vocabulary[at[here]] == terms[here]
+    return np.split(np.where(here, at, -1)[inverse], np.cumsum([len(x) for x in found])[:-1])
 
 
 def _digest(text: str) -> bytes:
@@ -131,14 +148,15 @@ def clusters(rows: np.ndarray, n: int, rounds: int = 4) -> np.ndarray:
 class BlockMaxIndex:
     """Inverted lists of weights over entries, in blocks of entries with each block's largest weight.
 
-    Entries that are alike in their frequent terms lie together, the shorter first, so that a block's maxima are near what
-    its entries have. Lists of terms that more than the share `frequent` of the entries have are stored at full length, as
-    columns of a matrix, so that a block of them is one product; the others as postings.
+    Entries that are alike in their frequent terms, such as those of one language, form a part, in which the shorter lie
+    first, so that a block's maxima are near what its entries have. Lists of terms that more than the share `frequent` of a
+    part's entries have are stored there at full length, as columns of the part's matrix, so that a block of them is one
+    product; the others as postings.
     """
 
-    ARRAYS = ("entry", "first", "owner", "weight", "heavy", "dense", "tops", "rows", "terms", "weights")
+    ARRAYS = ("entry", "first", "owner", "weight", "heavy", "means", "bounds", "columns", "column_bounds", "dense", "tops", "rows", "terms", "weights")
 
-    def __init__(self, vectors: Sequence, block: int = 64, n_terms: int | None = None, frequent: float = 0.08, n_clusters: int = 16):
+    def __init__(self, vectors: Sequence, block: int = 128, n_terms: int | None = None, frequent: float = 0.08, n_parts: int = 8):
         """vectors: for each entry a mapping of terms (numbers) to weights, or a pair of arrays."""
         pairs = [(np.fromiter(v, np.int64, len(v)), np.fromiter(v.values(), float, len(v))) if isinstance(v, dict) else v for v in vectors]
         self.block, n = block, len(pairs)
@@ -148,28 +166,67 @@ class BlockMaxIndex:
         owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
         self.n_terms = int(n_terms or (term.max(initial=-1) + 1))
         count = np.bincount(term, minlength=self.n_terms)
-        self.heavy = np.flatnonzero(count > max(frequent * n, 16)).astype(np.int32)
+        common = np.flatnonzero(count > max(frequent * n, 16))
         place = np.full(self.n_terms, -1, np.int32)
-        place[self.heavy] = np.arange(len(self.heavy))
+        place[common] = np.arange(len(common))
         often = place[term] >= 0
-        dense = np.zeros((n, len(self.heavy)), np.float32)
-        dense[owner[often], place[term[often]]] = weight[often]
-        self.entry = np.lexsort((np.arange(n), sizes, clusters(dense, min(n, n_clusters)))).astype(np.int32)
-        blocks = -(-n // block)
-        self.dense = np.zeros((blocks * block, len(self.heavy)), np.float32)
-        self.dense[:n] = dense[self.entry]
-        self.tops = self.dense.reshape(blocks, block, len(self.heavy)).max(1) if n else np.zeros((0, len(self.heavy)), np.float32)
+        alike = np.zeros((n, len(common)), np.float32)
+        alike[owner[often], place[term[often]]] = weight[often]
+        part = clusters(alike, min(n, n_parts)).astype(np.int32)
+        del alike
+        # every part begins a block; places that no entry takes are -1
+        n_parts = int(part.max(initial=-1)) + 1
+        ends = np.cumsum(np.bincount(part, minlength=n_parts))
+        self.bounds = np.concatenate([[0], np.cumsum(-(-np.bincount(part, minlength=n_parts) // block))]).astype(np.int64)
+        order = np.lexsort((np.arange(n), sizes, part)).astype(np.int32)
+        whose = part[order]
         at = np.empty(n, np.int32)
-        at[self.entry] = np.arange(n)
+        at[order] = self.bounds[whose] * block + np.arange(n) - np.r_[0, ends][whose]
+        self.entry = np.full(self.bounds[-1] * block, -1, np.int32)
+        self.entry[at] = np.arange(n)
+        often = np.zeros(len(term), bool)
+        columns = []
+        for p in range(n_parts):
+            mine = np.flatnonzero(part[owner] == p)
+            held = np.bincount(term[mine], minlength=self.n_terms) > max(frequent * (part == p).sum(), 16)
+            often[mine] = held[term[mine]]
+            columns.append(np.flatnonzero(held))
         rare = np.flatnonzero(~often)
         rare = rare[np.lexsort((at[owner[rare]], term[rare]))]
-        count[self.heavy] = 0
-        self.first, self.owner, self.weight = np.concatenate([[0], np.cumsum(count)]), at[owner[rare]], weight[rare]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(term[rare], minlength=self.n_terms))])
+        self.owner, self.weight = at[owner[rare]], weight[rare]
+        del rare
         # the frequent terms' weights as they are, for the sums in double precision
         often = np.flatnonzero(often)
         often = often[np.argsort(at[owner[often]], kind="stable")]
-        self.rows = np.searchsorted(at[owner[often]], np.arange(n + 1))
+        self.rows = np.searchsorted(at[owner[often]], np.arange(len(self.entry) + 1))
+        self.heavy = np.unique(np.concatenate([*columns, np.zeros(0, np.int64)])).astype(np.int32)
+        place[:] = -1
+        place[self.heavy] = np.arange(len(self.heavy))
         self.terms, self.weights = place[term[often]], weight[often]
+        self.columns = np.concatenate([*(place[c] for c in columns), np.zeros(0, np.int32)])
+        self.column_bounds = np.cumsum([0, *map(len, columns)])
+        self.means = np.zeros((n_parts, len(self.heavy)), np.float32)
+        widths, heights = np.diff(self.column_bounds), np.diff(self.bounds) * block
+        self.dense, self.tops = np.zeros(int(widths @ heights), np.float32), np.zeros(int(widths @ heights) // block, np.float32)
+        self._views()
+        column = np.empty(len(self.heavy), np.int32)
+        for p, (lo, hi, cols, dense, tops) in enumerate(self.parts):
+            column[cols] = np.arange(len(cols))
+            x, y = self.rows[lo * block], self.rows[hi * block]
+            dense[np.repeat(np.arange(len(dense)), np.diff(self.rows[lo * block : hi * block + 1])), column[self.terms[x:y]]] = self.weights[x:y]
+            tops[:] = dense.reshape(hi - lo, block, len(cols)).max(1)
+            self.means[p, cols] = dense.sum(0) / (part == p).sum().clip(1)
+
+    def _views(self) -> None:
+        """The parts: first block, block behind the last, columns as places in heavy, the matrix and its blocks' maxima."""
+        self.place = np.full(self.n_terms, -1, np.int32)
+        self.place[self.heavy] = np.arange(len(self.heavy))
+        self.parts, x = [], 0
+        for (lo, hi), (c, d) in zip(*([*zip(b.tolist(), b[1:].tolist())] for b in (self.bounds, self.column_bounds)), strict=True):
+            y = x + (hi - lo) * (d - c)
+            self.parts.append((lo, hi, self.columns[c:d], self.dense[x * self.block : y * self.block].reshape((hi - lo) * self.block, d - c), self.tops[x:y].reshape(hi - lo, d - c)))
+            x = y
         #: Blocks multiplied, and those that there were: what the maxima spared can be read off.
         self.read = self.asked = 0
 
@@ -180,7 +237,8 @@ class BlockMaxIndex:
     def of(cls, arrays: dict[str, np.ndarray]) -> "BlockMaxIndex":
         out = cls.__new__(cls)
         out.__dict__ |= {k: arrays[k] for k in cls.ARRAYS}
-        (out.block, out.n_terms), out.read, out.asked = arrays["shape"].tolist(), 0, 0
+        out.block, out.n_terms = arrays["shape"].tolist()
+        out._views()
         return out
 
     def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
@@ -192,58 +250,69 @@ class BlockMaxIndex:
         """nearest() of several queries (terms, weights).
 
         Postings are added up first. The k-th best of the blocks' best sums so far is below the k-th score, so a block's
-        frequent terms matter only if its best sum and its maxima reach that. What is near the k-th in the end is summed
-        anew in double precision.
+        frequent terms matter only if its best sum and its maxima reach that. Queries that are likest one part go together
+        and meet it first, so that the other parts' blocks are held against whole sums. What is near the k-th in the end is
+        summed anew in double precision.
         """
-        n, out = len(self.entry), []
-        if not n:
-            return [[] for _ in queries]
-        place = np.full(self.n_terms, -1, np.int64)
-        place[self.heavy] = np.arange(len(self.heavy))
-        blocks, size = len(self.tops), self.block
-        for a in range(0, len(queries), 128):
-            some = queries[a : a + 128]
-            asked, sums, listed = np.zeros((len(some), len(self.heavy))), np.zeros((len(some), blocks * size), np.float32), []
+        out: list[list[tuple[float, int]]] = [[] for _ in queries]
+        blocks, size = len(self.entry) // self.block, self.block
+        if not blocks:
+            return out
+        likest = np.zeros(len(queries), np.int64)
+        for i, (t, w) in enumerate(queries):
+            p = self.place[t]
+            likest[i] = np.argmax(self.means[:, p[p >= 0]] @ w[p >= 0])
+        order = np.argsort(likest, kind="stable")
+        for a in range(0, len(order), 128):
+            some = order[a : a + 128]
+            asked, sums, listed = np.zeros((len(some), len(self.heavy))), np.empty((len(some), blocks * size), np.float32), []
             floor = np.zeros(len(some), np.float32)
-            for i, (t, w) in enumerate(some):
-                p = place[t]
+            for i, (t, w) in enumerate(queries[x] for x in some):
+                p = self.place[t]
                 asked[i, p[p >= 0]] = w[p >= 0]
-                listed.append(self._listed(t[p < 0], w[p < 0]))
+                listed.append(self._listed(t, w))
                 sums[i] = listed[i]
             single, best = asked.astype(np.float32), sums.reshape(len(some), blocks, size).max(2)
+            for p in np.argsort(-np.bincount(likest[some], minlength=len(self.parts)), kind="stable").tolist():
+                if k < blocks:
+                    floor = np.partition(best, -k, axis=1)[:, -k]
+                lo, hi, columns, dense, tops = self.parts[p]
+                mine = single[:, columns]
+                most = best[:, lo:hi] + mine @ tops.T
+                wanted = (most >= floor[:, None] * (1 - 1e-4) - 1e-6) & (most > 0)
+                self.asked += wanted.size
+                for b in np.flatnonzero(wanted.any(0)).tolist():
+                    rows = np.flatnonzero(wanted[:, b])
+                    # copies of the rows cost more than the products that they spare, unless they are few
+                    rows = rows if 4 * len(rows) < len(some) else slice(None)
+                    block = sums[rows, (lo + b) * size : (lo + b + 1) * size] + mine[rows] @ dense[b * size : (b + 1) * size].T
+                    sums[rows, (lo + b) * size : (lo + b + 1) * size], best[rows, lo + b] = block, block.max(1)
+                    self.read += len(block)
             if k < blocks:
                 floor = np.partition(best, -k, axis=1)[:, -k]
-            most = best + single @ self.tops.T
-            wanted = (most >= floor[:, None] * (1 - 1e-4) - 1e-6) & (most > 0)
-            for b in range(blocks):
-                rows = np.flatnonzero(wanted[:, b])
-                # copies of the rows cost more than the products that they spare, unless they are few
-                rows = rows if 4 * len(rows) < len(some) else slice(None)
-                if wanted[:, b].any():
-                    sums[rows, b * size : (b + 1) * size] += single[rows] @ self.dense[b * size : (b + 1) * size].T
-                    self.read += len(sums[rows])
-            self.asked += wanted.size
-            for i in range(len(some)):
+            for i, x in enumerate(some.tolist()):
                 s = sums[i]
-                at = np.flatnonzero((s > 0) & (s >= floor[i] * (1 - 1e-4)))
+                at = np.flatnonzero(s >= max(floor[i] * (1 - 1e-4), 1e-30))
                 if k < len(at):
                     at = at[s[at] >= np.partition(s[at], -k)[-k] * (1 - 1e-4)]
-                scores, entry = listed[i][at] + [asked[i][self.terms[r]] @ self.weights[r] for r in (slice(*self.rows[e : e + 2]) for e in at.tolist())], self.entry[at]
-                best = np.lexsort((entry, -scores))[:k]
-                out.append([(x, e) for x, e in zip(scores[best].tolist(), entry[best].tolist(), strict=True) if x > 0])
+                row = asked[i]
+                scores, entry = listed[i][at] + [row[self.terms[x:y]] @ self.weights[x:y] for x, y in zip(self.rows[at].tolist(), self.rows[at + 1].tolist(), strict=True)], self.entry[at]
+                first = np.lexsort((entry, -scores))[:k]
+                out[x] = [(v, e) for v, e in zip(scores[first].tolist(), entry[first].tolist(), strict=True) if v > 0]
         return out
 
     def _listed(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """What the postings of these terms add to each entry."""
-        begin, end = self.first[terms], self.first[terms + 1]
-        out = np.zeros(len(self.tops) * self.block)
-        # runs as they lie, in pieces that fit a cache
-        runs = list(zip(begin.tolist(), end.tolist(), strict=True))
-        for a in range(0, len(runs), 128):
-            some = runs[a : a + 128]
-            values = np.concatenate([self.weight[x:y] for x, y in some])
-            values *= np.repeat(weights[a : a + 128], (end - begin)[a : a + 128])
-            np.add.at(out, np.concatenate([self.owner[x:y] for x, y in some]).astype(np.int64), values)
+        begin, size = self.first[terms], self.first[terms + 1] - self.first[terms]
+        out, ends = np.zeros(len(self.entry)), np.cumsum(size)
+        # the places of many postings at once, since most lists are short, in pieces that fit a cache
+        for a, b in pairwise([*np.unique(np.searchsorted(ends, np.arange(0, size.sum(), PIECE))).tolist(), len(size)]):
+            n = size[a:b]
+            at = np.repeat(begin[a:b] - np.cumsum(n) + n, n)
+            at += np.arange(len(at))
+            values = self.weight.take(at, mode="clip")
+            values *= np.repeat(weights[a:b], n)
+            out += np.bincount(self.owner.take(at, mode="clip"), values, len(out))
         return out
 
 
@@ -409,17 +478,20 @@ def score_documents(docs: DataFrame, labels: DataFrame, k: int = 12, stem: int =
             n, arrays = len(batch.column(0)), {k: batch.column(i + 1) for i, k in enumerate(names)}
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array([rows] * n, pa.int64()), *(arrays.get(k, empty) for k in (*OTHERS, *HELD))], names=["bucket", "rows", *OTHERS, *HELD])
 
+        def placed(batch, terms):
+            for part in exchange.slices(batch):
+                rows = list(hashed(part.column(1).to_pylist(), stem))
+                yield from zip(part.column(0).to_pylist(), rows, places(terms, [r[0] for r in rows]), strict=True)
+
         def flush():
             c = exchange.joined(other, OTHERS)
             other.clear()
             return row(exchange.dealt(c, exchange.bucket_of(c["hash"].view(np.uint64), n_parts), "bucket", OTHERS), OTHERS)
 
         for b in batches:
-            for key, (found, times) in zip(b.column(0).to_pylist(), hashed(b.column(1).to_pylist(), stem), strict=True):
+            for key, (found, times), at in placed(b, known_terms):
                 n_rows += 1
-                at = np.searchsorted(known_terms, found)
-                here = at < len(known_terms)
-                here[here] = known_terms[at[here]] == found[here]
+                here = at >= 0
                 held[at[here]] += 1
                 if not here.all():
                     beyond = ~here
@@ -533,10 +605,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, k: int = 12, stem: int =
                 memo.clear()
             new = {d: t for d, t in zip(digests, texts, strict=True) if d not in memo}
             queries, norm, some = [], [], []
-            for found, times in hashed(list(new.values()), stem):
-                at = np.searchsorted(vocabulary, found)
-                here = at < len(vocabulary)
-                here[here] = vocabulary[at[here]] == found[here]
+            rows = list(hashed(list(new.values()), stem))
+            for (found, times), at in zip(rows, places(vocabulary, [r[0] for r in rows]), strict=True):
+                here = at >= 0
                 t = at[here]
                 w = (1 + np.log(times[here])) * idf[t]
                 queries.append((t, w))

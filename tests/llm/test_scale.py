@@ -166,6 +166,36 @@ def test_index_of_many_blocks():
     assert index.read <= index.asked
 
 
+def test_index_of_several_languages(monkeypatch):
+    """Entries of each language are a part with frequent terms of its own: a query is multiplied with little else, its
+    results are those of brute force whatever it is asked with, and lists are the same in pieces."""
+    rng = np.random.default_rng(4)
+    share = 1 / np.arange(1, 201) ** 0.5
+
+    def vector(language):
+        terms = np.flatnonzero(rng.random(200) < share) * 4 + language
+        return {int(t): 0.1 + float(rng.random()) for t in [*terms, *(800 + np.flatnonzero(rng.random(3) < 0.3))]}
+
+    vectors = [vector(i % 4) for i in range(2000)]
+    index = toxicity.BlockMaxIndex(vectors, block=16)
+    queries = [(np.fromiter(v, np.int64), np.fromiter(v.values(), float)) for v in [vector(i % 4) for i in range(300)] + vectors[:20] + [{800: 1.0}, {}]]
+    full = np.zeros((2000, 803))
+    for i, v in enumerate(vectors):
+        full[i, list(v)] = list(v.values())
+    found = index.search(queries, 12)
+    for (t, w), near in zip(queries, found, strict=True):
+        scores = full[:, t] @ w
+        want = [e for e in np.lexsort((np.arange(2000), -scores))[:12].tolist() if scores[e] > 0]
+        assert np.allclose([s for s, _ in near], scores[want], rtol=1e-12) and len(near) == len(want)
+    assert index.read < 0.5 * index.asked
+    assert [index.search([q], 12)[0] for q in queries[::7]] == found[::7]
+    again = toxicity.BlockMaxIndex.of(index.arrays())
+    assert again.search(queries, 12) == found
+    monkeypatch.setattr(toxicity, "PIECE", 50)
+    for near, other in zip(found, again.search(queries, 12), strict=True):
+        assert np.allclose([s for s, _ in near], [s for s, _ in other], rtol=1e-12)
+
+
 def test_odd_labels(spark):
     """Labels beyond 0 and 1 are none; equal examples vote each; a doc_id that is labelled both ways is toxic; scores are the
     same whatever the order of rows."""
