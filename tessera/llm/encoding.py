@@ -6,15 +6,24 @@ ids of the text. Each distinct piece is encoded once per worker process and then
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
 import unicodedata
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from tessera.llm.shared import Memo, resident
 
+#: Bytes of the texts whose pieces are told apart at once.
+RUN = 1 << 23
+#: What ends a run of letters in every pre-tokenizer pattern here, and never begins a contraction.
+STOPS = "!\"#$%&()*+,-./:;=?@[]^{}~"
+
 
 def encoder(path: str, memo_entries: int = 500_000) -> "Encoder":
     """This process's encoder of the tokenizer file at path, kept until the process needs something else."""
@@ -42,6 +51,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.load(open(path, encoding="utf-8"))
         self.specials = [t["content"] for t in spec["added_tokens"]]
+        self.special = re.compile("|".join(map(re.escape, self.specials))).search if self.specials else None
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         pre = spec.get("pre_tokenizer") or {}
         steps = [s["type"] for s in pre.get("pretokenizers", [])]
@@ -56,7 +66,7 @@ class Encoder:
             self.kind = "dropped"
             self.pretoken = regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.model = self.tokenizer.model
-        self.bytes = dict(enumerate(byte_alphabet()))
+        self.bytes = "".join(byte_alphabet())
         self.words = Memo(self._word if self.kind == "dropped" else self._piece, memo_entries)
         self.separators = re.compile(r"[\x1c-\x1f]").search  # white space to str.split alone
 
@@ -64,13 +74,16 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _model(self, pretoken: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(pretoken.encode().decode("latin-1").translate(self.bytes))]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(codecs.charmap_decode(pretoken.encode(), "strict", self.bytes)[0])]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         if piece.isalpha() or piece[1:].isalpha() and piece[0] == " ":
             return self._model(piece)
-        if any(s in piece for s in self.specials):
+        if self.special and self.special(piece):
             return self._whole(piece)
+        word = piece.rstrip(STOPS)
+        if word.isalpha() or word[1:].isalpha() and word[0] == " ":
+            return self.words[word] + self.words[piece[len(word) :]]
         parts = self.pretoken(piece)
         return self._model(piece) if len(parts) == 1 else b"".join([self.words[p] if len(p) < len(piece) else self._model(p) for p in parts])
 
@@ -102,3 +115,23 @@ class Encoder:
         if self.kind == "spaced" and self._plain(text):
             return self.words.joined(text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01"))
         return self._whole(text)
+
+    def all_ids(self, texts: list[str | None]) -> Iterator[bytes]:
+        """ids() of each text of a run. The pieces of plain texts are told apart for all at once, so one that is frequent in
+        them is looked up once; very long texts are taken alone, which needs less memory."""
+        plain = [bool(t) and self.kind == "spaced" and len(t) <= RUN and self._plain(t) for t in texts]
+        marked = pa.array([t for t, p in zip(texts, plain, strict=True) if p], pa.string())
+        marked = pc.replace_substring(pc.replace_substring(marked, " ", "\x01 "), "\n", "\x01\n\x01")
+        pieces = pc.split_pattern(marked, "\x01")
+        words = pieces.flatten().dictionary_encode()
+        known = pa.array(self.words.each(words.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.binary())
+        ids = known.take(words.indices)
+        _, bounds, data = ids.buffers()
+        ends = np.frombuffer(bounds, np.int32)[np.frombuffer(pieces.buffers()[1], np.int32)[: len(pieces) + 1]].tolist() if len(ids) else []
+        data, at = memoryview(data) if data else b"", 0
+        for t, p in zip(texts, plain, strict=True):
+            if p:
+                yield bytes(data[ends[at] : ends[at + 1]])
+                at += 1
+            else:
+                yield self.ids(t)

@@ -11,7 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.encoding import encoder
+from tessera.llm.encoding import RUN, encoder
+from tessera.llm.exchange import slices
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -116,9 +117,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
         first = TaskContext.get().partitionId() << 36
 
         def items():
-            for b in batches:
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    yield doc, code.ids(text.as_py()) + tail
+            for part in (p for b in batches for p in slices(b, RUN)):
+                for doc, ids in zip(part.column(0).to_pylist(), code.all_ids(part.column(1).to_pylist()), strict=True):
+                    yield doc, ids + tail
 
         rows = []
         for r in pack(items(), capacity, first):

@@ -119,12 +119,16 @@ class Memo:
                 self.young[piece] = found
         return found
 
-    def joined(self, pieces: list[str]) -> bytes:
-        """All pieces' bytes, one after the other."""
+    def each(self, pieces: list[str]) -> list[bytes]:
+        """Each piece's bytes."""
         found = list(map(self.young.get, pieces))
         if None in found:
             found = [self[p] if x is None else x for p, x in zip(pieces, found, strict=True)]
-        return b"".join(found)
+        return found
+
+    def joined(self, pieces: list[str]) -> bytes:
+        """All pieces' bytes, one after the other."""
+        return b"".join(self.each(pieces))
 
 
 def open_file(uri: str, write: bool):

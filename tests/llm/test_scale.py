@@ -383,3 +383,26 @@ def test_stages(spark, tmp_path):
     assert all(set(r.text.split()) <= set(" ".join(x[1] or "" for x in rows).split()) for r in mixed) and {r.doc_id for r in mixed} >= {1, 2}
     packed = pipeline.pack(spark, docs, "").groupBy("doc_id").agg(F.countDistinct("doc_tokens").alias("n")).collect()
     assert {r.doc_id: r.n for r in packed}[2] == 2
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_of_a_run(name, monkeypatch):
+    """Packing's ids of texts taken together are the tokenizer's; what is frequent in a run is looked up once in it."""
+    from tokenizers import Tokenizer
+
+    from tessera.llm import encoding
+
+    rng, path = random.Random(5), tokenizer(name)
+    texts = [None, "", " ", "a  b", "one\ntwo three.", "ends,*** (here) x", "don't we've. it's'", "a<|endoftext|>. b", "a\x01b", "日本. über, éa", "... !", "a.b,c", "x_y._", "½. Ⅷ, 7."]
+    texts += ["".join(rng.choice("aB é'\n.1 ,ñ*<|Σ_") for _ in range(rng.randint(1, 30))) for _ in range(400)] + ["the end, of it\nall. " * 50 + "x"] * 40
+    whole, asked = Tokenizer.from_file(path), []
+    code = encoding.Encoder(path, 50)
+    each = code.words.each
+    monkeypatch.setattr(code.words, "each", lambda pieces: asked.append(len(pieces)) or each(pieces))
+    want = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in code.all_ids(texts)] == want
+    if code.kind == "spaced":
+        assert sum(asked) < sum(len((t or "").split()) for t in texts) / 5
+    monkeypatch.setattr(encoding, "RUN", 12)  # longer texts are taken alone
+    assert [np.frombuffer(x, "<u4").tolist() for x in code.all_ids(texts)] == want
+    assert list(code.all_ids([])) == [] and list(code.all_ids([None, " "])) == [b"", code.ids(" ")]
