@@ -111,10 +111,9 @@ def hashed(texts: list[str | None], stem: int, letters_each: int = 1 << 17) -> I
         for u, v in zip(x, y, strict=True):
             found = np.concatenate([words[i:u], stems[j:v]])
             found.sort()
-            first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])[: len(found)])
-            counts = np.diff(first, append=len(found))
+            edges = np.flatnonzero(np.concatenate([[len(found) > 0], found[1:] != found[:-1], [True]]))
             i, j = u, v
-            yield found[first], counts.astype(np.int32)
+            yield found[edges[:-1]], (edges[1:] - edges[:-1]).astype(np.int32)
 
 
 def places(vocabulary: np.ndarray, found: list[np.ndarray]) -> list[np.ndarray]:
@@ -258,19 +257,21 @@ class BlockMaxIndex:
         blocks, size = len(self.entry) // self.block, self.block
         if not blocks:
             return out
-        likest = np.zeros(len(queries), np.int64)
+        likest, common = np.zeros(len(queries), np.int64), []
         for i, (t, w) in enumerate(queries):
             p = self.place[t]
-            likest[i] = np.argmax(self.means[:, p[p >= 0]] @ w[p >= 0])
+            here = np.flatnonzero(p >= 0)
+            common.append((p[here], w[here]))
+            likest[i] = np.argmax(self.means.take(p[here], 1) @ w[here])
         order = np.argsort(likest, kind="stable")
         for a in range(0, len(order), 128):
             some = order[a : a + 128]
             asked, sums, listed = np.zeros((len(some), len(self.heavy))), np.empty((len(some), blocks * size), np.float32), []
             floor = np.zeros(len(some), np.float32)
-            for i, (t, w) in enumerate(queries[x] for x in some):
-                p = self.place[t]
-                asked[i, p[p >= 0]] = w[p >= 0]
-                listed.append(self._listed(t, w))
+            for i, x in enumerate(some.tolist()):
+                p, w = common[x]
+                asked[i, p] = w
+                listed.append(self._listed(*queries[x]))
                 sums[i] = listed[i]
             single, best = asked.astype(np.float32), sums.reshape(len(some), blocks, size).max(2)
             for p in np.argsort(-np.bincount(likest[some], minlength=len(self.parts)), kind="stable").tolist():
@@ -295,8 +296,11 @@ class BlockMaxIndex:
                 at = np.flatnonzero(s >= max(floor[i] * (1 - 1e-4), 1e-30))
                 if k < len(at):
                     at = at[s[at] >= np.partition(s[at], -k)[-k] * (1 - 1e-4)]
-                row = asked[i]
-                scores, entry = listed[i][at] + [row[self.terms[x:y]] @ self.weights[x:y] for x, y in zip(self.rows[at].tolist(), self.rows[at + 1].tolist(), strict=True)], self.entry[at]
+                n = self.rows[at + 1] - self.rows[at]
+                own = np.repeat(self.rows[at] - np.cumsum(n) + n, n)
+                own += np.arange(len(own))
+                scores = listed[i][at] + np.bincount(np.repeat(np.arange(len(at)), n), asked[i][self.terms[own]] * self.weights[own], len(at))
+                entry = self.entry[at]
                 first = np.lexsort((entry, -scores))[:k]
                 out[x] = [(v, e) for v, e in zip(scores[first].tolist(), entry[first].tolist(), strict=True) if v > 0]
         return out
