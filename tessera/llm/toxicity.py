@@ -14,7 +14,7 @@ import re
 import sys
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import pairwise
 
@@ -155,13 +155,15 @@ class BlockMaxIndex:
 
     ARRAYS = ("entry", "first", "owner", "weight", "heavy", "means", "bounds", "columns", "column_bounds", "dense", "tops", "rows", "terms", "weights")
 
-    def __init__(self, vectors: Sequence, block: int = 128, n_terms: int | None = None, frequent: float = 0.08, n_parts: int = 8):
-        """vectors: for each entry a mapping of terms (numbers) to weights, or a pair of arrays."""
+    def __init__(self, vectors: Iterable, block: int = 128, n_terms: int | None = None, frequent: float = 0.08, n_parts: int = 8):
+        """vectors: for each entry a mapping of terms (numbers) to weights, or a pair of arrays; of those that an iterator
+        gives nothing is kept beside the lists."""
         pairs = [(np.fromiter(v, np.int64, len(v)), np.fromiter(v.values(), float, len(v))) if isinstance(v, dict) else v for v in vectors]
         self.block, n = block, len(pairs)
         sizes = np.array([len(t) for t, _ in pairs], np.int64)
         term = np.concatenate([*(t for t, _ in pairs), np.zeros(0, np.int32)]).astype(np.int32, copy=False)
         weight = np.concatenate([*(w for _, w in pairs), np.zeros(0)]).astype(float, copy=False)
+        del pairs
         owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
         self.n_terms = int(n_terms or (term.max(initial=-1) + 1))
         count = np.bincount(term, minlength=self.n_terms)
@@ -172,7 +174,7 @@ class BlockMaxIndex:
         alike = np.zeros((n, len(common)), np.float32)
         alike[owner[often], place[term[often]]] = weight[often]
         part = clusters(alike, min(n, n_parts)).astype(np.int32)
-        del alike
+        del alike, often
         # every part begins a block; places that no entry takes are -1
         n_parts = int(part.max(initial=-1)) + 1
         ends = np.cumsum(np.bincount(part, minlength=n_parts))
@@ -190,19 +192,23 @@ class BlockMaxIndex:
             held = np.bincount(term[mine], minlength=self.n_terms) > max(frequent * (part == p).sum(), 16)
             often[mine] = held[term[mine]]
             columns.append(np.flatnonzero(held))
-        rare = np.flatnonzero(~often)
-        rare = rare[np.lexsort((at[owner[rare]], term[rare]))]
+        # from here on by place, so that a stable sort by term leaves each list in order
+        owner = at[owner]
+        rare = np.flatnonzero(~often).astype(np.int32)
+        rare = rare[np.argsort(owner[rare], kind="stable")]
+        rare = rare[np.argsort(term[rare], kind="stable")]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(term[rare], minlength=self.n_terms))])
-        self.owner, self.weight = at[owner[rare]], weight[rare]
+        self.owner, self.weight = owner[rare], weight[rare]
         del rare
         # the frequent terms' weights as they are, for the sums in double precision
-        often = np.flatnonzero(often)
-        often = often[np.argsort(at[owner[often]], kind="stable")]
-        self.rows = np.searchsorted(at[owner[often]], np.arange(len(self.entry) + 1))
+        often = np.flatnonzero(often).astype(np.int32)
+        often = often[np.argsort(owner[often], kind="stable")]
+        self.rows = np.searchsorted(owner[often], np.arange(len(self.entry) + 1))
         self.heavy = np.unique(np.concatenate([*columns, np.zeros(0, np.int64)])).astype(np.int32)
         place[:] = -1
         place[self.heavy] = np.arange(len(self.heavy))
         self.terms, self.weights = place[term[often]], weight[often]
+        del often, term, weight, owner
         self.columns = np.concatenate([*(place[c] for c in columns), np.zeros(0, np.int32)])
         self.column_bounds = np.cumsum([0, *map(len, columns)])
         self.means = np.zeros((n_parts, len(self.heavy)), np.float32)
@@ -563,13 +569,19 @@ def score_documents(docs: DataFrame, labels: DataFrame, k: int = 12, stem: int =
         with_toxic, with_any = (np.bincount(by_term, np.repeat(x, sizes), minlength=len(terms)) for x in (toxic, n))
         idf = (np.log((1 + total) / (1 + df)) + 1) * telling(with_any - with_toxic, with_toxic, int((n - toxic).sum()), int(toxic.sum()), n_terms)
         some = np.array(sizes, np.int64) > 0
-        unit = []
-        for ids, counts in (v for v in vectors_ if len(v[0])):
-            w = (1 + np.log(counts)) * idf[ids]
-            unit.append((ids, w / math.sqrt(w @ w)))
-        write(name + "-index", BlockMaxIndex(unit, n_terms=len(terms)).arrays() | {"idf": idf, "vocabulary": terms})
+        del by_term, with_toxic, with_any, df
+        vectors_.reverse()
+
+        def unit():
+            while vectors_:
+                ids, counts = vectors_.pop()
+                if len(ids):
+                    w = (1 + np.log(counts)) * idf[ids]
+                    yield ids, w / math.sqrt(w @ w)
+
+        write(name + "-index", BlockMaxIndex(unit(), n_terms=len(terms)).arrays() | {"idf": idf, "vocabulary": terms})
         write(name + "-votes", {"n": n[some], "toxic": toxic[some], "doc": doc[some], "none": np.array([n[~some].sum(), toxic[~some].sum()])})
-        return {"name": name, "entries": len(unit)}
+        return {"name": name, "entries": int(some.sum())}
 
     no = F.lit(None)
     frequency_rows = held_by.select(no.cast("binary").alias("terms"), no.cast("binary").alias("counts"), no.cast("long").alias("n"), no.cast("long").alias("toxic"), no.cast("long").alias("doc_id"), "term", F.col("n").alias("held"))

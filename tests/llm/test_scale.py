@@ -406,3 +406,21 @@ def test_pieces_of_a_run(name, monkeypatch):
     monkeypatch.setattr(encoding, "RUN", 12)  # longer texts are taken alone
     assert [np.frombuffer(x, "<u4").tolist() for x in code.all_ids(texts)] == want
     assert list(code.all_ids([])) == [] and list(code.all_ids([None, " "])) == [b"", code.ids(" ")]
+
+
+def test_index_is_built_in_little_memory():
+    """Entries that an iterator gives are not kept beside the lists, and lists are put in order by narrow numbers."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+
+    def vectors():
+        for _ in range(2000):
+            yield np.unique(rng.integers(0, 40_000, 400)).astype(np.int32), rng.random(400)
+
+    pairs = ((t, w[: len(t)]) for t, w in vectors())
+    tracemalloc.start()
+    index = toxicity.BlockMaxIndex(pairs, n_terms=40_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4.2 * (index.owner.nbytes + index.weight.nbytes)
