@@ -81,22 +81,41 @@ def loaded(path: str) -> dict[str, np.ndarray]:
     return out
 
 
-def search(vectors: DataFrame, is_query: Column, k: int, build, scan, nearest_first: bool, block_rows: int = 8192, query_rows: int = 256) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int, build, scan, nearest_first: bool, block_rows: int = 8192, query_rows: int = 256, run: int = 0) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best rows but its own, ties to the smaller vec_id.
 
     scan(ids, payload, query_ids, query_matrix) gives arrays (query position, vec_id, score) with the k best of one
     index block at least. Every query block meets every index block in the index block's task; a block holds block_rows or
     query_rows vectors, and of a pair only k rows a query go on. Query rows that share an id are queries of their own.
+
+    With run, a task takes one query block through run index blocks or more (so that there are 10,000 tasks at most), and
+    scan is also given each query's k-th best score of the blocks before (infinitely bad if they gave fewer): rows that are
+    worse needn't be among what it gives. Query blocks are then smaller where there would be fewer than two a core.
     """
     vectors = keep(vectors)
     n, n_queries = vectors.count(), vectors.where(is_query).count()
     parts = max(1, math.ceil(n / block_rows))
     index = blocks(vectors, parts, build)
+    if run:
+        query_rows = min(query_rows, max(32, math.ceil(n_queries / (2 * vectors.sparkSession.sparkContext.defaultParallelism))))
     # names of files, one for query_rows queries
-    asked = blocks(vectors.where(is_query), max(1, math.ceil(n_queries / query_rows)), lambda ids, m: {"m": m})
+    query_parts = max(1, math.ceil(n_queries / query_rows))
+    asked = blocks(vectors.where(is_query), query_parts, lambda ids, m: {"m": m})
     asked = F.broadcast(asked.select("dim", F.col("part").alias("query_part"), F.col("path").alias("query_path")))
     sign = 1 if nearest_first else -1
 
+    def cut(query_ids, at, ids, score):
+        own = ids != query_ids[at]
+        at, ids, score = at[own], ids[own], score[own]
+        order = np.lexsort((ids, sign * score, at))
+        at, ids, score = at[order], ids[order], score[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        return tuple(x[place < k] for x in (at, ids, score, place))
+
+    def batch(r, query_ids, at, ids, score):
+        whose = [pa.array(np.full(len(at), r[x]), pa.int32()) for x in ("query_part", "dim")]
+        return pa.RecordBatch.from_arrays([*whose, pa.array(at, pa.int32()), pa.array(query_ids[at], pa.int64()), pa.array(ids, pa.int64()), pa.array(score.astype(float), pa.float64())], names=[c.split()[0] for c in FOUND.split(", ")])
+
     def work(batches):
         path = payload = None
         for b in batches:
@@ -105,17 +124,34 @@ def search(vectors: DataFrame, is_query: Column, k: int, build, scan, nearest_fi
                     path, payload = r["path"], loaded(r["path"])
                 queries = loaded(r["query_path"])
                 query_ids = queries["ids"]
-                at, ids, score = scan(payload["ids"], payload, query_ids, queries["m"])
-                own = ids != query_ids[at]
-                at, ids, score = at[own], ids[own], score[own]
-                order = np.lexsort((ids, sign * score, at))
-                at, ids, score = at[order], ids[order], score[order]
-                place = np.arange(len(at)) - np.searchsorted(at, at)
-                at, ids, score = at[place < k], ids[place < k], score[place < k]
-                whose = [pa.array(np.full(len(at), r[x]), pa.int32()) for x in ("query_part", "dim")]
-                yield pa.RecordBatch.from_arrays([*whose, pa.array(at, pa.int32()), pa.array(query_ids[at], pa.int64()), pa.array(ids, pa.int64()), pa.array(score.astype(float), pa.float64())], names=[c.split()[0] for c in FOUND.split(", ")])
-
-    pairs = index.join(asked, "dim").repartitionById(parts, F.col("part")).sortWithinPartitions("path", "query_path")
-    found = pairs.select("path", "query_path", "query_part", "dim").mapInArrow(trimmed(work), FOUND)
+                at, ids, score, _ = cut(query_ids, *scan(payload["ids"], payload, query_ids, queries["m"]))
+                yield batch(r, query_ids, at, ids, score)
+
+    def in_turn(batches):
+        last = None
+        for b in batches:
+            for r in b.to_pylist():
+                if last is None or r["query_path"] != last["query_path"]:
+                    if last is not None:
+                        yield batch(last, query_ids, *best)
+                    queries = loaded(r["query_path"])
+                    query_ids = queries["ids"]
+                    best, bound = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), np.full(len(query_ids), sign * np.inf)
+                last, payload = r, loaded(r["path"])
+                more = scan(payload["ids"], payload, query_ids, queries["m"], bound)
+                *best, place = cut(query_ids, *(np.concatenate(x) for x in zip(best, more, strict=True)))
+                bound[best[0][place == k - 1]] = best[2][place == k - 1]
+        if last is not None:
+            yield batch(last, query_ids, *best)
+
+    pairs = index.join(asked, "dim")
+    if run:
+        runs = math.ceil(parts / max(run, math.ceil(parts * query_parts / 10_000)))
+        # equal runs of index blocks
+        task = F.col("query_part") * runs + F.floor(F.col("part") * runs / parts).cast("int")
+        pairs = pairs.repartitionById(query_parts * runs, task).sortWithinPartitions("query_path", "path")
+    else:
+        pairs = pairs.repartitionById(parts, F.col("part")).sortWithinPartitions("path", "query_path")
+    found = pairs.select("path", "query_path", "query_part", "dim").mapInArrow(trimmed(in_turn if run else work), FOUND)
     best = Window.partitionBy("query_id", "query_part", "dim", "place").orderBy(F.col("score").asc() if nearest_first else F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -297,6 +297,46 @@ def test_reading_stops():
         assert skew == 1.0 or reading.entries < 0.8 * reading.of
 
 
+def test_bound_of_blocks_before():
+    """A query's k-th best score so far ends the reading of the next block at far less depth, and no better row is lost."""
+    rng = np.random.default_rng(4)
+    values = np.floor(1024 * rng.normal(size=(8000, 32)))
+    queries, k = values[:16], 5
+    values[5000], values[6000] = values[100], values[100]
+    bound, best, shares = np.full(16, -np.inf), [[] for _ in queries], []
+    for a in range(0, 8000, 2000):
+        reading = topk.Reading()
+        at, row, score = topk.no_random_access(topk.sorted_lists(values[a : a + 2000]), queries, k, reading, bound)
+        shares.append(reading.entries / reading.of)
+        for i in range(16):
+            best[i] = sorted(best[i] + [(-s, a + r) for s, r in zip(score[at == i].tolist(), row[at == i].tolist())])[:k]
+            bound[i] = -best[i][-1][0]
+    for i, q in enumerate(queries):
+        whole = values @ q
+        assert best[i] == sorted(zip((-whole).tolist(), range(8000)))[:k]
+    assert max(shares[1:]) < 0.7 < 0.8 < shares[0] and shares[-1] < 0.6
+
+
+def test_products_over_blocks(spark):
+    """Several index blocks read in turn give what brute force gives: ties to the smaller id, copies, fewer rows than k, weights of zero."""
+    rng = np.random.default_rng(8)
+    values = np.round(rng.normal(size=(9000, 6)), 1)
+    values[rng.integers(0, 9000, 2500)] = values[300]
+    values[600] = 0
+    rows = [(i, v) for i, v in enumerate(values.tolist())] + [(900, [1.0, -2.0]), (10900, [0.5, 0.5]), (1200, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in topk.top_products(df, "vec_id", "embedding", F.col("id") % 300 == 0, 10).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    ints, ids = np.floor(1024 * values), np.arange(9000)
+    for q in range(0, 9000, 300):
+        score = ints @ ints[q]
+        order = [j for j in np.lexsort((ids, -score)).tolist() if j != q][:10]
+        want = [(n + 1, j, int(score[j])) for n, j in enumerate(order)]
+        assert q in (900, 1200) or got[q] == want
+    assert len(got[900]) == 12 and {(r, i) for r, i, _ in got[900]} >= {(1, 10900), (2, 1200)} and len(got[1200]) == 12
+
+
 @pytest.mark.parametrize("search", [topk.top_products, permutation.nearest])
 def test_repeated_vectors(spark, search):
     """Rows that share an id are candidates and queries of their own, and none is its own id's candidate."""
