@@ -38,32 +38,36 @@ def no_random_access(lists: dict[str, np.ndarray], queries: np.ndarray, k: int,
     upper bound is below the k-th lower bound, or below `least`, are out. Reading stops when so few rows are left that
     looking up their unread components is less work; their scores are then resolved. As queries need about the same depth,
     a query's first slice ends one stop before the depth that the last query needed. Products are of integers below 2**53,
-    exact in double precision.
+    exact in double precision; beyond, bounds give way by more than their rounding.
     """
     values, depth, order = lists["m"].astype(float, copy=False), lists["depth"], lists["order"].astype(np.intp)
-    rows, reading, out, first = len(values), reading or Reading(), [], 0
+    (rows, width), reading, out, first = values.shape, reading or Reading(), [], 0
     few = max(4 * k, rows // 64)
     by_rank = np.take_along_axis(np.ascontiguousarray(values.T), order, 1)
+    # each list from its top, and each from its bottom
+    order, by_rank = np.concatenate([order, order[:, ::-1]]), np.concatenate([by_rank, by_rank[:, ::-1]])
+    largest = np.abs(by_rank[:, 0]).reshape(2, width).max(0)
     stops = sorted({min(rows, max(1, round(rows * d))) for d in DEPTHS})
     for i, q in enumerate(queries.astype(float)):
-        up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
-        used = np.r_[up, down]
-        weight = q[used]
+        used = np.flatnonzero(q)
+        weight, up = q[used], q[used] > 0
+        side = used + width * ~up
         # what an unread component can add at least
-        low = np.r_[by_rank[up, -1], by_rank[down, 0]] * weight
+        low = by_rank[side, -1] * weight
+        # sums that are no longer exact may be off by this
+        slack = 2.0**-40 * (np.abs(weight) @ largest[used])
 
-        def unread_by(left, to, up=up, down=down):
-            here = depth[left]
-            return np.concatenate([here[:, up] >= to, here[:, down] < rows - to], axis=1).astype(float)
+        def unread_by(left, to, used=used, up=up):
+            here = depth[left][:, used]
+            return np.where(up, here >= to, here < rows - to).astype(float)
 
         bound, left, known, at = -np.inf if least is None else least[i], np.arange(rows), None, 0
         for n, to in enumerate(stops[first:], first):
-            seen = np.concatenate([order[up, at:to], order[down, rows - to : rows - at]]).ravel()
-            found = np.concatenate([by_rank[up, at:to], by_rank[down, rows - to : rows - at]])
+            seen, found = order[side, at:to].ravel(), by_rank[side, at:to]
             found *= weight[:, None]
             reading.entries, at = reading.entries + len(seen), to
             # and at most
-            most = np.r_[by_rank[up, to - 1], by_rank[down, rows - to]] * weight
+            most = by_rank[side, to - 1] * weight
             lower = None
             if known is None:
                 # all rows: the sum over all components, and for each that was read what it differs by
@@ -77,7 +81,7 @@ def no_random_access(lists: dict[str, np.ndarray], queries: np.ndarray, k: int,
                 upper, lower = known[left] + unread @ most, known[left] + unread @ low
             if lower is not None and k < len(left):
                 bound = max(bound, np.partition(lower, len(lower) - k)[len(lower) - k])
-            stay = upper >= bound
+            stay = upper >= bound - slack
             left, upper = left[stay], upper[stay]
             if len(left) <= few or to == rows:
                 break

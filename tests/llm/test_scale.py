@@ -317,6 +317,18 @@ def test_bound_of_blocks_before():
     assert max(shares[1:]) < 0.7 < 0.8 < shares[0] and shares[-1] < 0.6
 
 
+def test_bound_beyond_exact_sums():
+    """Copies that tie with the bound stay, even where sums are so large that they are rounded."""
+    rng = np.random.default_rng(6)
+    values = np.floor(1e9 * rng.normal(size=(3000, 33)))
+    for q in values[:20]:
+        values[1000:1100] = q
+        lists, bound = topk.sorted_lists(values), np.array([np.float64(q @ q)])
+        for least in (None, bound, np.nextafter(bound, np.inf)):
+            _, row, _ = topk.no_random_access(lists, q[None], 3, least=least)
+            assert set(range(1000, 1100)) <= set(row.tolist())
+
+
 def test_products_over_blocks(spark):
     """Several index blocks read in turn give what brute force gives: ties to the smaller id, copies, fewer rows than k, weights of zero."""
     rng = np.random.default_rng(8)
