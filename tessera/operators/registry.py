@@ -42,35 +42,43 @@ def resolve_symbols(uses: DataFrame, symbols: DataFrame, imports: DataFrame) ->
     known = symbols.select("symbol_id", "name", "qualified_name", "file_id", N.module_of(F.col("qualified_name")).alias("module"), F.explode(F.array_distinct(F.array("name", last))).alias("token"))
     key, tiers = ["file_id", "module", "token"], []
 
+    def counted(df: DataFrame, *by: str) -> DataFrame:
+        """Candidates by what a use is joined on, so that a use meets one row however many symbols there are."""
+        return df.groupBy(*by).agg(F.countDistinct("symbol_id").alias("n"), F.min("symbol_id").alias("symbol_id"))
+
     targets = imports.where("target_symbol IS NOT NULL").select("file_id", "imported", F.col("target_symbol").alias("symbol_id"))
     direct = targets.join(known.select("symbol_id", "token"), "symbol_id").unionByName(targets.select("symbol_id", "file_id", "imported", F.regexp_extract("imported", r"[^/.:]*$", 0).alias("token")))
-    files = imports.where("target_symbol IS NULL AND target_file IS NOT NULL").select("file_id", "target_file").join(known.select(F.col("file_id").alias("target_file"), "symbol_id", "token"), "target_file")
-    reached = direct.select("file_id", "token", "symbol_id").unionByName(files.select("file_id", "token", "symbol_id")).distinct()
-    tiers.append(asked.join(reached, ["file_id", "token"]))
-    tiers.append(asked.join(known.select("file_id", "token", "symbol_id"), ["file_id", "token"]))
-    tiers.append(asked.where("module <> ''").join(known.select("module", "token", "symbol_id"), ["module", "token"]))
+    files = imports.where("target_symbol IS NULL AND target_file IS NOT NULL").select("file_id", "target_file").distinct().join(known.select(F.col("file_id").alias("target_file"), "symbol_id", "token"), "target_file")
+    reached = direct.select("file_id", "token", "symbol_id").unionByName(files.select("file_id", "token", "symbol_id"))
+    tiers.append(asked.join(counted(reached, "file_id", "token"), ["file_id", "token"]))
+    tiers.append(asked.join(counted(known, "file_id", "token"), ["file_id", "token"]))
+    tiers.append(asked.where("module <> ''").join(counted(known, "module", "token"), ["module", "token"]))
+    tiers.append(asked.join(counted(symbols.withColumnRenamed("name", "token"), "token"), "token"))
+
+    # symbols of the same names are one class, known by its least id: what names alone decide is asked once a class
+    held = symbols.where("symbol_id IS NOT NULL").groupBy("symbol_id").agg(F.array_sort(F.collect_set(F.struct("name", "qualified_name"))).alias("names"))
+    classes = held.groupBy("names").agg(F.min("symbol_id").alias("class"), F.count("*").alias("size"))
+    named = classes.select("class", "size", F.explode("names").alias("x")).select("class", "size", "x.*")
 
-    names = symbols.groupBy("name").agg(F.countDistinct("symbol_id").alias("n"), F.min("symbol_id").alias("symbol_id"))
-    unique = asked.join(names.withColumnRenamed("name", "token"), "token").select(*key, "n", "symbol_id")
+    def of_classes(df: DataFrame, *by: str) -> DataFrame:
+        return df.select(*by, "class", "size").distinct().groupBy(*by).agg(F.sum("size").alias("n"), F.min("class").alias("symbol_id"))
 
     # every ending of a dotted name that some import may be; a use then needs the name to end with its token
-    dotted = symbols.select("symbol_id", "qualified_name", F.replace("qualified_name", F.lit("::"), F.lit(".")).alias("d"))
-    endings = dotted.select("symbol_id", "qualified_name", F.explode(F.transform(F.sequence(F.lit(1), F.length("d")), lambda i: F.right("d", i))).alias("imported"))
-    near = imports.select("file_id", "imported").distinct().join(endings, "imported").select("file_id", "symbol_id", "qualified_name").distinct()
-    tiers.append(asked.join(near, "file_id").where(F.col("qualified_name").endswith(F.col("token"))).select(*key, "symbol_id"))
+    dotted = named.select("class", "size", "qualified_name", F.replace("qualified_name", F.lit("::"), F.lit(".")).alias("d"))
+    endings = dotted.select("class", "size", "qualified_name", F.explode(F.transform(F.sequence(F.lit(1), F.length("d")), lambda i: F.right("d", i))).alias("imported"))
+    near = imports.select("file_id", "imported").distinct().join(endings, "imported").select("file_id", "class", "size", "qualified_name").distinct()
+    ended = near.select("file_id", "class", "size", F.explode(F.transform(F.sequence(F.lit(0), F.length("qualified_name")), lambda i: F.right("qualified_name", i))).alias("token"))
+    tiers.append(asked.join(of_classes(ended, "file_id", "token"), ["file_id", "token"]))
 
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 3), lambda i: F.substring(c, i, F.lit(4))))
-    long_names, tokens = symbols.where(F.length("name") > 3).select("symbol_id", "name"), asked.where(F.length("token") > 3).select("token").distinct()
+    long_names, tokens = named.where(F.length("name") > 3).select("class", "size", "name").distinct(), asked.where(F.length("token") > 3).select("token").distinct()
     held_in = tokens.withColumn("g", F.left("token", F.lit(4))).join(long_names.withColumn("g", F.explode(grams(F.col("name")))), "g").where(F.col("name").contains(F.col("token")))
     holds = tokens.withColumn("g", F.explode(grams(F.col("token")))).join(long_names.withColumn("g", F.left("name", F.lit(4))), "g").where(F.col("token").contains(F.col("name")))
-    alike = held_in.select("token", "symbol_id").unionByName(holds.select("token", "symbol_id")).distinct()
-    tiers.append(asked.join(alike, "token").select(*key, "symbol_id"))
-
-    def counted(df: DataFrame, i: int) -> DataFrame:
-        return df.groupBy(*key).agg(F.countDistinct("symbol_id").alias("n"), F.min("symbol_id").alias("symbol_id")).withColumn("tier", F.lit(i))
+    alike = held_in.select("token", "class", "size").unionByName(holds.select("token", "class", "size"))
+    tiers.append(asked.join(of_classes(alike, "token"), "token"))
 
-    ordered = [counted(t, i) for i, t in zip((0, 1, 2, 4, 5), tiers)] + [unique.withColumn("tier", F.lit(3))]
-    best = reduce(DataFrame.unionByName, [t.select(*key, "tier", "n", "symbol_id") for t in ordered]).groupBy(*key).agg(F.min_by(F.struct("tier", "n", "symbol_id"), "tier").alias("b"))
+    ordered = [t.select(*key, F.lit(i).alias("tier"), "n", "symbol_id") for i, t in enumerate(tiers)]
+    best = reduce(DataFrame.unionByName, ordered).groupBy(*key).agg(F.min_by(F.struct("tier", "n", "symbol_id"), "tier").alias("b"))
     out = asked.join(best, key, "left")
     tier, n = F.col("b.tier"), F.coalesce("b.n", F.lit(0))
     common = (tier == 3) & (n > COMMON_NAME)

@@ -37,3 +37,22 @@ def test_names_of_one_use(spark):
     uses = spark.createDataFrame([(1, 1, "a"), (1, 1, "b"), (2, 1, "d"), (2, 1, "d"), (3, 1, "c"), (4, 1, "none")], "use_id int, file_id int, name string")
     got = sorted((r.use_id, r.status, r.candidates, r.symbol_id or 0, r.strategy or "") for r in R.resolve_names(uses, symbols).collect())
     assert got == [(1, "ambiguous", 2, 0, "same_file")] * 2 + [(2, "resolved", 1, 4, "same_file")] * 2 + [(3, "resolved", 1, 3, "project"), (4, "unresolved", 0, 0, "")]
+
+
+def test_tiers_meet_counts_of_symbols(spark):
+    symbols = spark.range(400).select(F.col("id").alias("symbol_id"), F.lit("symbol").alias("name"), F.lit("m::symbol").alias("qualified_name"), F.lit(1).alias("file_id"))
+    # each row finds its candidates by another tier: same file, same module, project, import, likeness
+    kinds = [("symbol", 1, "x"), ("symbol", 2, "m"), ("symbol", 2, "x"), ("ymbol", 3, "x"), ("a symbol", 2, "x")]
+    uses = spark.createDataFrame([(f, f"{m}{i}" if m == "x" else m, t) for t, f, m in kinds for i in range(80)], "file_id int, module string, token string")
+    imports = spark.createDataFrame([(3, "m.symbol", None, None)], "file_id int, imported string, target_file int, target_symbol int")
+    rows, most = run(G.resolve_symbols(uses, symbols, imports))
+    assert {(r.strategy, r.candidates) for r in rows} == {("same-file", 400), ("same-module", 400), ("common-name-cap", 400), ("suffix-import-reachability", 400), ("fuzzy-fallback", 400)}
+    assert most <= 5000
+
+
+def test_tiers_count_a_symbol_of_two_names_once(spark):
+    symbols = spark.createDataFrame([(1, "alpha", "m::alpha", 1), (1, "alphabet", "m::alphabet", 1), (2, "alphabet", "n::alphabet", 2)], "symbol_id int, name string, qualified_name string, file_id int")
+    uses = spark.createDataFrame([(9, "z", "alph")], "file_id int, module string, token string")
+    none = spark.createDataFrame([], "file_id int, imported string, target_file int, target_symbol int")
+    (r,) = G.resolve_symbols(uses, symbols, none).collect()
+    assert (r.strategy, r.candidates) == ("fuzzy-fallback", 2)
