@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import identifiers as N
 from tessera.functions import identity as I
 from tessera.functions.paths import parent
+from tessera.operators.rounds import cut
 
 # How common a project-wide name may be; endings that an import may leave out; where Java sources lie.
 COMMON_NAME, MOST_USES = 32, 80
@@ -118,7 +119,8 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases=(), base_url:
     one of `packages` or looks like one, else unresolved. Aliases, modules and packages are a manifest's few.
     """
     imported, language = F.col("imported"), F.col("language")
-    rows = imports.withColumn("imported", F.trim("imported"))
+    # imports may be read out of texts, so they are written once
+    rows = cut(imports.select("import_id", "path", "language", F.trim("imported").alias("imported")))
     script = language.isin("typescript", "javascript")
     relative = imported.startswith("./") | imported.startswith("../")
     nothing = F.array().cast("array<struct<path:string,strategy:string>>")
@@ -140,13 +142,22 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases=(), base_url:
     found.append(F.when(language == "python", F.array(one(dotted, "python-module"))).otherwise(nothing))
     found.append(F.when(language == "java", F.array(*[one(F.concat(F.lit(r), dotted), "java-package") for r in JAVA_ROOTS])).otherwise(nothing))
 
-    tries = rows.where(~N.is_builtin(language, imported)).select("import_id", F.explode(F.concat(*found)).alias("c")).select("import_id", "c.strategy", I.repo_path(F.col("c.path")).alias("stem")).where("stem IS NOT NULL")
-    known = files.select(F.col("path").alias("file")).distinct()
-    exact = tries.select("import_id", "strategy", F.explode(candidate_paths(F.col("stem"))).alias("file")).join(known, "file")
-    inside = tries.join(known.withColumn("stem", parent(F.col("file"))).where("stem <> ''"), "stem")
-    hits = exact.select("import_id", "strategy", "file").unionByName(inside.select("import_id", "strategy", "file"))
-    each = hits.groupBy("import_id").agg(F.countDistinct("file").alias("n"), F.min("file").alias("file"), F.min("strategy").alias("strategy"))
-    out = rows.select("import_id", "language", "imported").join(each, "import_id", "left")
+    # an import's stems in order, none twice, and for each the files that it may stand for, found once for all imports of it;
+    # folders are counted before an import meets them. Sides grow with the files, whatever Catalyst takes them for, so none
+    # is replicated
+    stems = F.filter(F.transform(F.concat(*found), lambda c: F.struct(c["strategy"].alias("strategy"), I.repo_path(c["path"]).alias("stem"))), lambda c: c["stem"].isNotNull())
+    tried = rows.where(~N.is_builtin(language, imported)).select("import_id", stems.alias("c"))
+    tries = tried.select("import_id", F.col("c.stem").alias("stems"), F.explode("c").alias("t")).select("import_id", "stems", "t.*")
+    asked, known = tries.select("stem").distinct(), files.select(F.col("path").alias("file")).distinct()
+    exact = asked.select("stem", F.explode(candidate_paths(F.col("stem"))).alias("file")).join(known.hint("merge"), "file")
+    folders = known.groupBy(parent(F.col("file")).alias("stem")).agg(F.count("*").alias("n"), F.min("file").alias("file")).where("stem <> ''")
+    # a file that is in a folder tried by the same import is counted there
+    among = F.col("folder").isNotNull() & F.array_contains("stems", F.col("folder"))
+    single = tries.join(exact.withColumn("folder", F.nullif(parent(F.col("file")), F.lit(""))).hint("merge"), "stem").select("import_id", "strategy", "file", F.concat(F.lit("file:"), "file").alias("of"), F.when(among, 0).otherwise(1).cast("long").alias("n"))
+    inside = tries.join(folders.hint("merge"), "stem").select("import_id", "strategy", "file", F.concat(F.lit("folder:"), "stem").alias("of"), "n")
+    hits = single.unionByName(inside).groupBy("import_id", "of").agg(F.max("n").alias("n"), F.min("file").alias("file"), F.min("strategy").alias("strategy"))
+    each = hits.groupBy("import_id").agg(F.sum("n").alias("n"), F.min("file").alias("file"), F.min("strategy").alias("strategy"))
+    out = rows.select("import_id", "language", "imported").join(each.hint("merge"), "import_id", "left")
     n = F.coalesce("n", F.lit(0))
     package = N.package_of(imported).isin(*packages) if packages else F.lit(False)
     bare = ~relative & ~imported.startswith("/") & ~imported.contains("::")

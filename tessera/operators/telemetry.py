@@ -177,7 +177,9 @@ def index_quality(files: DataFrame, symbols: DataFrame, facts: DataFrame, resolv
     """One row: files, files with symbols and their share, symbols, facts, imports by how they were resolved."""
     scalar = lambda df, c: df.agg(c).scalar()
     out = files.agg(F.count("*").alias("files"))
-    out = out.withColumn("symbols", scalar(symbols, F.count("*"))).withColumn("covered", scalar(symbols, F.countDistinct("file_id"))).withColumn("facts", scalar(facts, F.count("*")))
+    # both figures of symbols from one pass
+    each = symbols.groupBy("file_id").agg(F.count("*").alias("n"))
+    out = out.withColumn("symbols", scalar(each, F.coalesce(F.sum("n"), F.lit(0)))).withColumn("covered", scalar(each, F.count("file_id"))).withColumn("facts", scalar(facts, F.count("*")))
     for status in ("resolved", "external", "unresolved"):
         out = out.withColumn(status, scalar(resolved, F.count(F.when(F.col("status") == status, 1))))
     return out.withColumn("coverage", F.round(F.when(F.col("files") == 0, 1.0).otherwise(F.col("covered") / F.col("files")), 6))

@@ -94,13 +94,17 @@ class Tables:
 
     @property
     def code(self) -> DataFrame:
-        """(file_id, language, path, text): a small source file for each part, in one of five languages in turn."""
+        """(file_id, language, path, text): a small source file for each part, in one of five languages in turn.
+
+        A file's number is all that is read, so a million files are a few MB and one task; they are dealt out first.
+        """
         k = F.col("p_partkey")
         language = F.get(F.array(*[F.lit(name) for name, _, _ in CODE]), (k % len(CODE)).cast("int"))
         filled = [F.format_string(text.replace("{k}", "%1$d").replace("{m}", "%2$d"), k, k % 7) for _, _, text in CODE]
         paths = [F.format_string(path.replace("{k}", "%1$d"), k) for _, path, _ in CODE]
         at = (k % len(CODE)).cast("int")
-        return self.raw("part").select(k.alias("file_id"), language.alias("language"), F.get(F.array(*paths), at).alias("path"), F.get(F.array(*filled), at).alias("text"))
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism)
+        return self.raw("part").select("p_partkey").repartition(parts, "p_partkey").select(k.alias("file_id"), language.alias("language"), F.get(F.array(*paths), at).alias("path"), F.get(F.array(*filled), at).alias("text"))
 
     @property
     def facts(self) -> DataFrame:

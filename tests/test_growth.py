@@ -56,3 +56,22 @@ def test_tiers_count_a_symbol_of_two_names_once(spark):
     none = spark.createDataFrame([], "file_id int, imported string, target_file int, target_symbol int")
     (r,) = G.resolve_symbols(uses, symbols, none).collect()
     assert (r.strategy, r.candidates) == ("fuzzy-fallback", 2)
+
+
+def test_imports_meet_counts_of_folders(spark):
+    """A folder's files are counted, not listed, and no side that grows with the files is replicated."""
+    files = spark.range(300).select(F.concat(F.lit("lib/f"), F.col("id").cast("string"), F.lit(".py")).alias("path"))
+    imports = spark.range(300).select("id", F.lit("a.py").alias("path"), F.lit("python").alias("language"), F.lit("lib").alias("imported")).withColumnRenamed("id", "import_id")
+    df = G.resolve_imports(imports, files)
+    assert not [n for n in nodes_of(df._jdf.queryExecution().executedPlan()) if "Broadcast" in n.getClass().getSimpleName()]
+    rows, most = run(df)
+    assert {(r.status, r.candidates) for r in rows} == {("ambiguous", 300)} and len(rows) == 300
+    assert most <= 6000
+
+
+def test_imports_of_files_in_tried_folders(spark):
+    """A file found by its path and in its folder counts once, also where another path that is tried names the folder."""
+    files = spark.createDataFrame([("a/index.ts",), ("a/b.ts",), ("c.ts",), ("c/d.ts",), ("e/__init__.py",), ("e.py",)], "path string")
+    imports = spark.createDataFrame([(1, "x.ts", "typescript", "./a"), (2, "x.ts", "typescript", "./c"), (3, "x.ts", "typescript", "@/b"), (4, "x.py", "python", "e"), (5, "x.ts", "typescript", "./c/d")], "import_id int, path string, language string, imported string")
+    got = {r.import_id: (r.status, r.candidates, r.target) for r in G.resolve_imports(imports, files, aliases=[("@/*", ["a/*", "a"])], base_url="").collect()}
+    assert got == {1: ("ambiguous", 2, None), 2: ("ambiguous", 2, None), 3: ("ambiguous", 2, None), 4: ("ambiguous", 2, None), 5: ("resolved", 1, "c/d.ts")}
