@@ -1,9 +1,12 @@
 """Plans whose rows grow with the input and not with the product of its groups."""
 
+import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import registry as G
 from tessera.operators import resolve as R
+from tessera.operators import vectors as V
 
 
 def nodes_of(plan):
@@ -75,3 +78,25 @@ def test_imports_of_files_in_tried_folders(spark):
     imports = spark.createDataFrame([(1, "x.ts", "typescript", "./a"), (2, "x.ts", "typescript", "./c"), (3, "x.ts", "typescript", "@/b"), (4, "x.py", "python", "e"), (5, "x.ts", "typescript", "./c/d")], "import_id int, path string, language string, imported string")
     got = {r.import_id: (r.status, r.candidates, r.target) for r in G.resolve_imports(imports, files, aliases=[("@/*", ["a/*", "a"])], base_url="").collect()}
     assert got == {1: ("ambiguous", 2, None), 2: ("ambiguous", 2, None), 3: ("ambiguous", 2, None), 4: ("ambiguous", 2, None), 5: ("resolved", 1, "c/d.ts")}
+
+
+def test_flat_search_passes_on_few_rows(spark):
+    """Scores of all pairs stay in a block; of equal scores, the smaller ids; sums are rounded in order of components."""
+    n = 3000
+    at = lambda i: F.round(F.sin(F.col("id") * (i + 1)) * 2, 3)
+    pool = spark.range(n).select((F.col("id") + F.when(F.col("id") % 5 == 0, 100_000).otherwise(0)).alias("target_id"), F.when(F.col("id") == 7, F.lit(None)).otherwise(F.array(*[F.when((F.col("id") == 8) & F.lit(i == 1), F.lit(None)).otherwise(at(i).cast("float")) for i in range(3)])).alias("vector"))
+    pool = pool.unionByName(spark.range(40).select((F.col("id") + 500_000).alias("target_id"), F.expr("array(1.5f, 1.5f, 1.5f)").alias("vector")))
+    queries = pool.where("target_id % 50 = 1 OR target_id = 500001").select(F.col("target_id").alias("query"), F.col("vector").alias("q"))
+    rows, most = run(V.flat_search(pool, queries, 4))
+    sides = queries.crossJoin(pool.where("target_id <> 8"))
+    score = F.round(V.dot(F.col("vector"), F.col("q")), 6)
+    window = Window.partitionBy("query").orderBy(F.col("score").desc(), "target_id")
+    want = sides.select("query", "target_id", score.alias("score")).where("score > 0").withColumn("rank", F.row_number().over(window)).where("rank <= 4")
+    assert {(r.query, r.rank, r.target_id, r.score) for r in rows} == {(r.query, r.rank, r.target_id, r.score) for r in want.collect()}
+    assert most <= 20_000
+
+
+def test_flat_search_rounds_as_spark(spark):
+    values = [0.0000005, 0.0000015, 2.5e-6, 1.0000005, 0.1234565, 0.30000049999999995, 1e10 / 3, 123456.7890125, 5e-7 - 1e-22, 4.4e-7]
+    rows = spark.createDataFrame([(x,) for x in values], "x double").select("x", F.round("x", 6).alias("y")).collect()
+    assert [r.y for r in rows] == list(V._rounded(np.array([r.x for r in rows])))
