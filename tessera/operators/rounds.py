@@ -25,7 +25,7 @@ def cut(df: DataFrame) -> DataFrame:
     """df as a table written to the shared folder, so that a round's plan doesn't hold all rounds before, a lost executor
     costs a read, and Catalyst knows how large it is."""
     path = f"{shared_folder(df.sparkSession)}/round-{uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

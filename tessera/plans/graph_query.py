@@ -205,15 +205,30 @@ def matches(pattern: Pattern, nodes: DataFrame, edges: DataFrame, max_hops: int
         for f in pattern.filters:
             if f.variable == pattern.source.variable:
                 source = source.where(_holds(f, "source"))
-        step = chosen.select(F.col("from_id").alias("at"), F.col("to_id").alias("next")).distinct()
-        level, levels = source.select("source_id", F.col("source_id").alias("at")), []
-        real = nodes.select(F.col("id").alias("next"))
+        for f in pattern.filters:
+            if f.variable == pattern.target.variable:
+                target = target.where(_holds(f, "target"))
+        low, high = pattern.hops
+        real, ends = nodes.select(F.col("id").alias("next")), target.select(F.col("target_id").alias("next"))
         # edges and levels are written once: a level's plan doesn't hold the levels before
-        step = cut(step.join(real, "next", "left_semi"))
-        for depth in range(1, pattern.hops[1] + 1):
-            level = level.join(step, "at").select("source_id", F.col("next").alias("at")).distinct()
-            level = cut(level) if depth < pattern.hops[1] else level
-            if depth >= pattern.hops[0]:
+        step = chosen.select(F.col("from_id").alias("at"), F.col("to_id").alias("next"))
+        if pattern.target.kind or any(f.variable == pattern.target.variable for f in pattern.filters):
+            # from the last hop back, only edges to a target or to a node from which the hops that are left reach one: a node
+            # with very many neighbours of another kind doesn't lead to all of them
+            step = cut(step) if high > 1 else step
+            steps, useful = {}, ends
+            for depth in range(high, 0, -1):
+                steps[depth] = step.join(useful, "next", "left_semi")
+                if depth > 1:
+                    steps[depth] = cut(steps[depth])
+                    useful = ends.union(steps[depth].select(F.col("at").alias("next")).distinct().join(real, "next", "left_semi"))
+        else:
+            steps = dict.fromkeys(range(1, high + 1), cut(step.distinct().join(real, "next", "left_semi")))
+        level, levels = source.select("source_id", F.col("source_id").alias("at")), []
+        for depth in range(1, high + 1):
+            level = level.join(steps[depth], "at").select("source_id", F.col("next").alias("at")).distinct()
+            level = cut(level) if depth < high else level
+            if depth >= low:
                 levels.append(level.withColumn("depth", F.lit(depth)))
         out = reduce(DataFrame.unionByName, levels).withColumnRenamed("at", "target_id").join(source, "source_id").join(target, "target_id")
     for f in pattern.filters:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import registry as G
 from tessera.operators import resolve as R
 from tessera.operators import vectors as V
+from tessera.plans.graph_query import matches, parse
 
 
 def nodes_of(plan):
@@ -100,3 +101,16 @@ def test_flat_search_rounds_as_spark(spark):
     values = [0.0000005, 0.0000015, 2.5e-6, 1.0000005, 0.1234565, 0.30000049999999995, 1e10 / 3, 123456.7890125, 5e-7 - 1e-22, 4.4e-7]
     rows = spark.createDataFrame([(x,) for x in values], "x double").select("x", F.round("x", 6).alias("y")).collect()
     assert [r.y for r in rows] == list(V._rounded(np.array([r.x for r in rows])))
+
+
+def test_hops_lead_to_targets_only(spark):
+    """Nodes that share a neighbour of very many others don't meet these if they are no targets."""
+    n = 200
+    nodes = spark.range(n).select(F.concat(F.lit("c"), "id").alias("id"), F.lit("class").alias("node_type")).union(spark.createDataFrame([("hub", "package"), ("f", "function"), ("m", "module"), ("m2", "module")], "id string, node_type string")).withColumn("label", F.col("id"))
+    both = spark.range(n).select(F.concat(F.lit("c"), "id").alias("c"))
+    edges = both.select(F.col("c").alias("from_id"), F.lit("hub").alias("to_id")).union(both.select(F.lit("hub"), "c")).union(spark.createDataFrame([("c1", "f"), ("f", "m"), ("f", "gone"), ("gone", "m"), ("c2", "m"), ("m", "m2"), ("hub", "hub")], "from_id string, to_id string")).withColumn("edge_type", F.lit("CALLS")).withColumn("id", F.concat_ws(">", "from_id", "to_id"))
+    rows, most = run(matches(parse("MATCH (a:class)-[*1..2]->(b:module) RETURN a, b"), nodes, edges))
+    assert sorted((r.source_id, r.target_id, r.depth) for r in rows) == [("c1", "m", 2), ("c2", "m", 1), ("c2", "m2", 2)]
+    assert most <= 1000
+    far = matches(parse('MATCH (a:class)-[*2..3]->(b) WHERE b.id = "m2" RETURN a, b'), nodes, edges).collect()
+    assert sorted((r.source_id, r.target_id, r.depth) for r in far) == [("c1", "m2", 3), ("c2", "m2", 2)]
