@@ -1,5 +1,7 @@
 """Plans whose rows grow with the input and not with the product of its groups."""
 
+import glob
+
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.operators import registry as G
 from tessera.operators import resolve as R
 from tessera.operators import vectors as V
+from tessera.operators.graph import merge_edges, shortest_path
 from tessera.plans.graph_query import matches, parse
 
 
@@ -114,3 +117,25 @@ def test_hops_lead_to_targets_only(spark):
     assert most <= 1000
     far = matches(parse('MATCH (a:class)-[*2..3]->(b) WHERE b.id = "m2" RETURN a, b'), nodes, edges).collect()
     assert sorted((r.source_id, r.target_id, r.depth) for r in far) == [("c1", "m2", 3), ("c2", "m2", 2)]
+
+
+def test_shortest_path_keeps_ids_of_few_edges(spark):
+    """Edges are written without ids, and levels don't pass the node of very many neighbours if the other end is smaller."""
+    n = 500
+    spokes = spark.range(n).select(F.lit("hub").alias("from_id"), F.concat(F.lit("n"), "id").alias("to_id"))
+    more = spark.createDataFrame([("a", "b"), ("b", "hub"), ("n3", "y"), ("y", "z"), ("z", "a"), ("b", "b2"), ("b2", "hub")], "from_id string, to_id string")
+    edges = spokes.union(more).withColumn("id", F.concat_ws(">", "from_id", "to_id"))
+    edges = edges.union(edges.where("from_id = 'b' AND to_id = 'hub'").withColumn("id", F.lit("a twin")))
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    old = set(glob.glob(f"{folder}/round-*"))
+    path = shortest_path(edges, "a", "z", 5).orderBy("step").collect()
+    assert [r.id for r in path] == ["a>b", "a twin", "hub>n3", "n3>y", "y>z"]
+    written = [spark.read.parquet(p) for p in set(glob.glob(f"{folder}/round-*")) - old]
+    assert max(d.count() for d in written if "id" in d.columns) <= 10
+    assert max(d.count() for d in written if d.columns == ["node"]) <= 10
+    assert shortest_path(edges, "a", "z", 4).count() == shortest_path(edges, "a", "a").count() == shortest_path(edges, "z", "nowhere").count() == 0
+
+
+def test_merged_before_ids(spark):
+    rows = spark.createDataFrame([("a", "b", "CALLS", "low", 0.1), ("a", "b", "CALLS", "high", 0.8), ("a", "b", "CALLS", "exact", 0.8), ("a", "c", "CALLS", "low", None)], "from_id string, to_id string, edge_type string, confidence string, rank double")
+    assert sorted((r.to_id, r.confidence) for r in merge_edges(rows, "rank").collect()) == [("b", "exact"), ("c", "low")]
