@@ -190,7 +190,7 @@ def test_command(language: Column, path: Column, build: str | None = None) -> Co
 def tests(files: DataFrame, declared: DataFrame, build: str | None = None) -> DataFrame:
     """(test_id, file_id, name, line, command, confidence): symbols of test files, named as tests, or of files with test marks."""
     marked = files.select("file_id", F.col("text").rlike(r"#\[test\]|@Test").alias("marked"))
-    rows = declared.join(marked, "file_id").withColumn("in_tests", is_test(F.col("path")))
+    rows = declared.join(marked.hint("merge"), "file_id").withColumn("in_tests", is_test(F.col("path")))
     rows = rows.where(F.col("in_tests") | F.col("name").startswith("test") | F.col("marked"))
     key = I.stable_hash(F.concat_ws(":", F.lit("test"), "path", "name"))
     return rows.select(key.alias("test_id"), "file_id", "name", "line", test_command(F.col("language"), F.col("path"), build).alias("command"), F.when(F.col("in_tests"), "high").otherwise("medium").alias("confidence"))
@@ -205,9 +205,13 @@ def plausible_test(name: Column) -> Column:
 
 
 def symbol_ids(declared: DataFrame, files: DataFrame) -> DataFrame:
-    """declared with qualified_name and symbol_id, one row for each id."""
+    """declared with qualified_name and symbol_id, one row for each id.
+
+    Here and below a side that has a row for each file is joined by sorting: Catalyst takes it for small, as it does not know
+    how long the texts are that its columns are made of, and would replicate it.
+    """
     packages = files.select("file_id", I.package_of_text(F.col("text")).alias("package"))
-    named = declared.join(packages, "file_id").withColumn("qualified_name", I.qualified_name(F.col("path"), F.col("language"), F.col("package"), F.col("name"))).drop("package")
+    named = declared.join(packages.hint("merge"), "file_id").withColumn("qualified_name", I.qualified_name(F.col("path"), F.col("language"), F.col("package"), F.col("name"))).drop("package")
     return named.withColumn("symbol_id", I.stable_hash(F.concat_ws(":", "path", F.col("line").cast("string"), "qualified_name"))).dropDuplicates(["symbol_id"])
 
 
@@ -219,7 +223,7 @@ def occurrences(symbols: DataFrame) -> DataFrame:
 def fact_ids(facts: DataFrame, paths: DataFrame) -> DataFrame:
     """facts with fact_id, one row for each id, ambiguity, and properties of the target: protocol, method, raw and
     normalized path of endpoints, the trimmed name of topics, queues, keys and resources."""
-    out = facts.join(paths.select("file_id", "path"), "file_id")
+    out = facts.join(paths.select("file_id", "path").hint("merge"), "file_id")
     out = out.withColumn("fact_id", I.stable_hash(F.concat_ws(":", F.lit("analysis"), "path", "edge_type", "target", F.col("line").cast("string")))).dropDuplicates(["fact_id"])
     e = endpoint(F.col("target"))
     of_endpoint = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, ("protocol", "method", "raw_path", "normalized_path"))), F.array(e["protocol"], e["method"], e["raw"], e["path"])), lambda _, v: v.isNotNull())
@@ -243,7 +247,7 @@ def graph(files: DataFrame, symbols: DataFrame, imported: DataFrame, facts: Data
     ends.append(imported.select("file_id", I.target_node_id(F.lit("module"), F.col("imported")).alias("to_id"), F.lit("IMPORTS").alias("edge_type"), F.lit("medium").alias("confidence"), nothing.alias("properties")))
     own = F.create_map(F.lit("confidence"), F.lit("medium"), F.lit("target_kind"), F.col("target_kind"))
     ends.append(facts.select("file_id", I.target_node_id(F.col("target_kind"), F.col("target")).alias("to_id"), "edge_type", F.lit("medium").alias("confidence"), F.map_concat("properties", own).alias("properties")))
-    edges = reduce(DataFrame.unionByName, [e.select(*some) for e in ends]).join(paths, "file_id")
+    edges = reduce(DataFrame.unionByName, [e.select(*some) for e in ends]).join(paths.hint("merge"), "file_id")
     edges = edges.withColumn("id", I.edge_id("edge_type", "from_id", "to_id")).select("id", "from_id", "to_id", "edge_type", "confidence", "properties")
     # of rows that are one node, the least label; properties are those of the first by label
     merged = reduce(DataFrame.unionByName, nodes).groupBy("id").agg(F.min("node_type").alias("node_type"), F.min("label").alias("label"))

@@ -1,8 +1,10 @@
 """Plans whose rows grow with the input and not with the product of its groups."""
 
 import glob
+import os
 
 import numpy as np
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from tessera.operators import resolve as R
 from tessera.operators import vectors as V
 from tessera.operators.graph import merge_edges, shortest_path
 from tessera.plans.graph_query import matches, parse
+from tessera.queries import registered
+from tessera.sources.bindings import Tables
 
 
 def nodes_of(plan):
@@ -139,3 +143,13 @@ def test_shortest_path_keeps_ids_of_few_edges(spark):
 def test_merged_before_ids(spark):
     rows = spark.createDataFrame([("a", "b", "CALLS", "low", 0.1), ("a", "b", "CALLS", "high", 0.8), ("a", "b", "CALLS", "exact", 0.8), ("a", "c", "CALLS", "low", None)], "from_id string, to_id string, edge_type string, confidence string, rank double")
     assert sorted((r.to_id, r.confidence) for r in merge_edges(rows, "rank").collect()) == [("b", "exact"), ("c", "low")]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_files_are_dealt_out_and_not_replicated(spark):
+    """Source files' texts are made in as many tasks as there are, and no table with a row for each file is replicated."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert t.code.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    for name in ("parse_symbol_ids", "parse_tests", "parse_fact_properties", "graph_build_edges", "graph_build_node_stats"):
+        plan = registered()[name][0](t)._jdf.queryExecution().executedPlan()
+        assert not [n for n in nodes_of(plan) if n.getClass().getSimpleName() == "BroadcastExchangeExec"], name
