@@ -86,3 +86,11 @@ def fnv1a(token: Column) -> Column:
         return ((h - low + low.bitwiseXOR(octet)) * prime % whole).cast("decimal(38,0)")
 
     return F.aggregate(octets, start, step)
+
+
+def fnv1a_plain(token: str) -> int:
+    """The same of a Python string, as a number."""
+    h = 14695981039346656037
+    for byte in token.encode():
+        h = (h ^ byte) * 1099511628211 % 2**64
+    return h

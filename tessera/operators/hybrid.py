@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import identifiers as N
 from tessera.functions import scores as S
 from tessera.functions.identifiers import any_of
-from tessera.functions.text import query_variants
+from tessera.functions.text import fnv1a_plain, query_variants
 from tessera.operators.ranking import NEGLIGIBLE, PHRASES, WEIGHTS
 from tessera.operators.search import bm25
 from tessera.operators.vectors import hash_embedding
@@ -105,14 +105,6 @@ def hybrid(lexical: DataFrame, semantic: DataFrame, facts: DataFrame, query: str
     return unique_paths(scored, limit)
 
 
-def fnv1a_plain(token: str) -> int:
-    """64-bit FNV-1a; offset basis and prime are fixed values of the hash."""
-    h = 14695981039346656037
-    for byte in token.encode():
-        h = (h ^ byte) * 1099511628211 % 2**64
-    return h
-
-
 def embed(text: str, dims: int) -> dict[int, float]:
     """The non-zero components of a query's feature-hash embedding."""
     import re

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Context, Decimal
 
 import numpy as np
@@ -9,9 +11,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from tessera.functions.text import fnv1a, word_tokens
+from tessera.functions.text import fnv1a_plain
 
 # Rows of a block of vectors or queries; digits enough for any double to six places.
 BLOCK, CONTEXT = 16384, Context(prec=400)
@@ -30,13 +32,43 @@ def unit(v: Column) -> Column:
 def hash_embedding(docs: DataFrame, key: str, text: str, dims: int = 64) -> DataFrame:
     """(key, idx, weight): the non-zero components of each text's signed feature-hash embedding, unit length.
 
-    Each distinct token of the table is hashed once, since its hash is a long fold.
+    A text is one row on its way: its tokens are counted where it is read, and only `dims` sums a key are dealt out.
     """
-    tokens = docs.select(key, F.explode(word_tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
-    hashed = tokens.select("token").distinct().withColumn("h", fnv1a(F.col("token"))).select("token", (F.col("h") % dims).cast("int").alias("idx"), F.when(F.col("h") % 2 == 0, 1).otherwise(-1).alias("sign"))
-    parts = tokens.join(hashed, "token").groupBy(key, "idx").agg(F.sum(F.col("n") * F.col("sign")).alias("w")).where("w <> 0")
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return parts.select(key, "idx", (F.col("w") / norm).alias("weight"))
+    schema = StructType([docs.schema[key], StructField("w", ArrayType(LongType()))])
+    held = docs.select(key, F.col(text).alias("_text")).mapInArrow(lambda batches: _hashed(batches, dims), schema)
+    sums = held.groupBy(key).agg(*[F.sum(F.get("w", F.lit(i))).alias(f"_{i}") for i in range(dims)]).select(key, F.array(*[f"_{i}" for i in range(dims)]).alias("w"))
+    norm = F.sqrt(F.aggregate("w", F.lit(0).cast("long"), lambda s, x: s + x * x))
+    parts = sums.select(key, norm.alias("norm"), F.posexplode("w").alias("idx", "w")).where("w <> 0")
+    return parts.select(key, "idx", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+class _Places(dict):
+    """Of each token met, the component that it counts for, past `dims` if it counts against."""
+
+    def __init__(self, dims: int):
+        self.dims = dims
+
+    def __missing__(self, token: bytes) -> int:
+        if len(self) >= 1_000_000:
+            self.clear()
+        h = fnv1a_plain(token.decode())
+        out = self[token] = h % self.dims + (self.dims if h % 2 else 0)
+        return out
+
+
+def _hashed(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.RecordBatch]:
+    places, find = _Places(dims), re.compile(rb"[a-z0-9]+").findall
+    for batch in batches:
+        keys, texts = batch.column(0), batch.column(1)
+        out = np.zeros((len(batch), dims), dtype=np.int64)
+        for i in range(len(batch)):
+            text = texts[i].as_py()
+            # bytes have only ASCII letters to lower, as the pattern has
+            if text and (at := [places[t] for t in find(text.encode().lower())]):
+                n = np.bincount(at, minlength=2 * dims)
+                out[i] = n[:dims] - n[dims:]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dims, dtype=np.int32)), pa.array(out.ravel()))
+        yield pa.RecordBatch.from_arrays([keys, lists], names=[batch.schema.names[0], "w"])
 
 
 def flat_search(vectors: DataFrame, queries: DataFrame, k: int = 10, kind: Column | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import fnv1a, word_tokens
 from tessera.operators import registry as G
 from tessera.operators import resolve as R
 from tessera.operators import vectors as V
@@ -153,3 +154,14 @@ def test_files_are_dealt_out_and_not_replicated(spark):
     for name in ("parse_symbol_ids", "parse_tests", "parse_fact_properties", "graph_build_edges", "graph_build_node_stats"):
         plan = registered()[name][0](t)._jdf.queryExecution().executedPlan()
         assert not [n for n in nodes_of(plan) if n.getClass().getSimpleName() == "BroadcastExchangeExec"], name
+
+
+def test_hash_embedding_deals_out_no_tokens(spark):
+    texts = ["Heron the heron THE a1", "", None, "\u212aelvin \u0130x \u00e9t\u00e9", " ".join(f"w{i}" for i in range(900))]
+    docs = spark.createDataFrame([*enumerate(texts), (0, "more the")], "id int, t string")
+    rows, most = run(V.hash_embedding(docs, "id", "t", 8))
+    token = docs.select("id", F.explode(word_tokens(F.col("t"))).alias("token")).withColumn("h", fnv1a(F.col("token")))
+    want = token.groupBy("id", (F.col("h") % 8).cast("int").alias("idx")).agg(F.sum(F.when(F.col("h") % 2 == 0, 1).otherwise(-1)).alias("w")).where("w <> 0")
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    assert {(r.id, r.idx, r.weight) for r in rows} == {(r.id, r.idx, r.weight) for r in want.select("id", "idx", (F.col("w") / norm).alias("weight")).collect()} and rows
+    assert most <= 100
