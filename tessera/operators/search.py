@@ -9,6 +9,9 @@ from tessera.functions.text import ascii_lower, lexical_score, normalized, query
 
 from tessera.operators.rounds import cut
 
+# Fixed value: terms of queries that are replicated.
+MOST_TERMS = 100_000
+
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf, length): each document's distinct terms with their counts."""
@@ -21,21 +24,24 @@ def bm25(docs: DataFrame, key: str, text: str, asked: DataFrame, k: int = 10, k1
 
     Score: sum over the query's distinct terms of ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) /
     (tf + k1 * (1 - b + b * length / mean length)), rounded to six places. Only the queries' terms are kept of the
-    documents, by an equi-join on the term; partial sums precede the shuffle.
+    documents, by an equi-join on the term; partial sums precede the shuffle. Up to MOST_TERMS terms of queries are replicated,
+    so that a term of very many documents isn't one task, and a document's scores are summed where its terms are.
     """
     terms = asked.select("query", F.explode(F.array_distinct(word_tokens(F.col("text")))).alias("term"))
+    small = F.broadcast if terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS else lambda df: df
     sizes = Observation()
     # each text is taken apart once: its length is observed on the way, and the terms that are asked for are written
     tokens = docs.select(key, word_tokens(F.col(text)).alias("tokens")).withColumn("length", F.size("tokens"))
     tokens = tokens.observe(sizes, F.count("*").alias("n"), F.sum("length").alias("total"))
-    held = tokens.select(key, "length", F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    held = tokens.select(key, "length", F.explode("tokens").alias("term")).join(small(terms.select("term").distinct()), "term", "left_semi")
     wanted = cut(held.groupBy(key, "length", "term").agg(F.count("*").alias("tf")))
     n, total = sizes.get["n"], sizes.get["total"] or 0
     mean = total / n if n else 1.0
-    weighed = wanted.join(wanted.groupBy("term").agg(F.count("*").alias("df")), "term")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
+    weighed = wanted.repartition(parts, key).join(small(wanted.groupBy("term").agg(F.count("*").alias("df"))), "term")
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(float(mean))))
-    scored = weighed.select(key, "term", (idf * tf).alias("part")).join(terms, "term").groupBy("query", key).agg(F.round(F.sum("part"), 6).alias("score"))
+    scored = weighed.select(key, "term", (idf * tf).alias("part")).join(small(terms), "term").groupBy("query", key).agg(F.round(F.sum("part"), 6).alias("score"))
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), key)
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "rank", key, "score")
 

@@ -13,6 +13,7 @@ from tessera.operators import registry as G
 from tessera.operators import resolve as R
 from tessera.operators import vectors as V
 from tessera.operators.graph import merge_edges, shortest_path
+from tessera.operators.search import bm25
 from tessera.plans.graph_query import matches, parse
 from tessera.queries import registered
 from tessera.sources.bindings import Tables
@@ -165,3 +166,13 @@ def test_hash_embedding_deals_out_no_tokens(spark):
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     assert {(r.id, r.idx, r.weight) for r in rows} == {(r.id, r.idx, r.weight) for r in want.select("id", "idx", (F.col("w") / norm).alias("weight")).collect()} and rows
     assert most <= 100
+
+
+def test_bm25_deals_out_no_term(spark):
+    """Neither tokens nor postings are dealt out by term, so a word of all documents isn't one task."""
+    docs = spark.range(300).select("id", F.concat(F.lit("the the heron "), F.col("id").cast("string")).alias("text"))
+    df = bm25(docs, "id", "text", spark.createDataFrame([(1, "the heron"), (2, "the 7")], "query int, text string"), 3)
+    dealt = [str(n.outputPartitioning()) for n in nodes_of(df._jdf.queryExecution().executedPlan()) if n.getClass().getSimpleName() == "ShuffleExchangeExec"]
+    # one exchange by term is left: that of the counts of documents, summed before
+    assert len([d for d in dealt if "term" in d]) == 1 and len(dealt) == 3
+    assert [(r.query, r.id) for r in df.orderBy("query", "rank").collect()] == [(1, 0), (1, 1), (1, 2), (2, 7), (2, 0), (2, 1)]
