@@ -13,6 +13,7 @@ from tessera.operators import registry as G
 from tessera.operators import resolve as R
 from tessera.operators import vectors as V
 from tessera.operators.graph import merge_edges, shortest_path
+from tessera.operators.rules import difference
 from tessera.operators.search import bm25
 from tessera.plans.graph_query import matches, parse
 from tessera.queries import registered
@@ -176,3 +177,11 @@ def test_bm25_deals_out_no_term(spark):
     # one exchange by term is left: that of the counts of documents, summed before
     assert len([d for d in dealt if "term" in d]) == 1 and len(dealt) == 3
     assert [(r.query, r.id) for r in df.orderBy("query", "rank").collect()] == [(1, 0), (1, 1), (1, 2), (2, 7), (2, 0), (2, 1)]
+
+
+def test_difference_in_one_pass(spark):
+    before = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (None, 3), (None, 4)], "a int, b int")
+    after = spark.createDataFrame([(2, 1), (3, 1), (3, 1), (None, 3)], "a int, b int")
+    df = difference(before, after, "a", "b")
+    assert sorted((r.a or 0, r.b, r.change) for r in df.collect()) == [(0, 4, "removed"), (1, 1, "removed"), (3, 1, "added")]
+    assert not [n for n in nodes_of(df._jdf.queryExecution().executedPlan()) if "Join" in n.getClass().getSimpleName()]
